@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, block_knn, prefix_bpe, preference, telephony, url_filters
+from . import best_fit, block_knn, prefix_bpe, preference, telephony, toxicity, url_filters
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -45,7 +49,7 @@ def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digests(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_block_knn, op2_telephony, op3_preference, op4_url_filters, op7_best_fit, op8_prefix_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_block_knn, op2_telephony, op3_preference, op4_url_filters, op5_toxicity, op7_best_fit, op8_prefix_bpe)}
 
 SQL: dict[str, str] = {}
 
