@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, block_knn, prefix_bpe, preference, shingle_join, telephony, toxicity, url_filters
+from . import best_fit, block_knn, path_dedup, prefix_bpe, preference, shingle_join, telephony, toxicity, url_filters
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,11 @@ def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.alike(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_block_knn, op2_telephony, op3_preference, op4_url_filters, op5_toxicity, op7_best_fit, op8_prefix_bpe, op9_shingle_join)}
+def op10_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return path_dedup.digests(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_block_knn, op2_telephony, op3_preference, op4_url_filters, op5_toxicity, op7_best_fit, op8_prefix_bpe, op9_shingle_join, op10_path_dedup)}
 
 SQL: dict[str, str] = {}
 
