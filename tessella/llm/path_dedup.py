@@ -145,8 +145,8 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
 
 def without(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with _spans: [start, n, ...] of the removed windows, or null."""
-    found = spans(docs, key, text, window).groupBy("id").agg(F.flatten(F.collect_list(F.array("start", "n"))).alias("_spans"))
-    return docs.join(found, F.col(key).cast("long") == F.col("id"), "left").drop("id")
+    found = spans(docs, key, text, window).groupBy(F.col("id").alias("_span_id")).agg(F.flatten(F.collect_list(F.array("start", "n"))).alias("_spans"))
+    return docs.join(found, F.col(key).cast("long") == F.col("_span_id"), "left").drop("_span_id")
 
 
 def kept(texts: pa.Array, removed: pa.Array, window: int = WINDOW) -> Iterator[tuple[int, int, bytes]]:

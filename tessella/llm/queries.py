@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, block_knn, path_dedup, prefix_bpe, preference, shingle_join, telephony, toxicity, url_filters
+from . import best_fit, block_knn, ngram_trie, path_dedup, prefix_bpe, preference, shingle_join, telephony, toxicity, url_filters
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.judge(read(spark, sf_dir, "documents"))
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -57,7 +61,7 @@ def op10_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return path_dedup.digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_block_knn, op2_telephony, op3_preference, op4_url_filters, op5_toxicity, op7_best_fit, op8_prefix_bpe, op9_shingle_join, op10_path_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_block_knn, op2_telephony, op3_preference, op4_url_filters, op5_toxicity, op6_ngram_trie, op7_best_fit, op8_prefix_bpe, op9_shingle_join, op10_path_dedup)}
 
 SQL: dict[str, str] = {}
 
