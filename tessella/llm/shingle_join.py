@@ -11,11 +11,10 @@ same set are one class; classes with the same prefix and size are one group, and
 only groups enter the index. Links are then found in two rounds, so that large
 groups of near copies never meet pair by pair:
 1. in each bucket of the index every group is paired with the bucket's first
-   one, and every class with its group's first; sizes filter, sets verify, and
-   what links gives components;
+   one, and every class with its group's first; what sizes and places in the
+   prefix allow is verified by the sets, and what links gives components;
 2. buckets are expanded to classes, those of one component drop out, and only
-   pairs of different components remain; sizes and the number and places of
-   common prefix shingles filter them, sets verify.
+   pairs of different components remain, filtered and verified likewise.
 Pairs that are never compared are in one component already, so the components
 are those of all links. Sets are compared exactly, as sets of 64-bit hashes.
 
@@ -150,11 +149,13 @@ def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int =
 
     w = Window.partitionBy("tok")
     index = groups.select("gid", "n", "prefix").mapInArrow(unpack, "tok long, gid long, n long, pos int")
-    index = index.withColumns({"m": F.count("*").over(w), "leader": F.min(F.struct("gid", "n")).over(w)}).where("m > 1")
-    buckets = shared.table(index.select("tok", "gid", "n", "pos", F.col("leader.gid").alias("leader"), F.col("leader.n").alias("leader_n")), "buckets")
+    index = index.withColumns({"m": F.count("*").over(w), "leader": F.min(F.struct("gid", "n", "pos")).over(w)}).where("m > 1")
+    buckets = shared.table(index.select("tok", "gid", "n", "pos", F.col("leader.gid").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.pos").alias("leader_pos")), "buckets")
 
-    sized = lambda a, b: 100 * F.least(a, b) >= share * F.greatest(a, b)
-    star = buckets.where((F.col("gid") != F.col("leader")) & sized(F.col("n"), F.col("leader_n"))).select(F.col("leader").alias("x"), F.col("gid").alias("y"))
+    # Before the first shingle that two sets have in common there is none, so what is left
+    # of both has to hold all common ones. Other common shingles may fail this; the first may not.
+    enough = lambda nx, px, ny, py: (100 + share) * F.least(nx - px, ny - py) >= share * (nx + ny)
+    star = buckets.where((F.col("gid") != F.col("leader")) & enough(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos"))).select(F.col("leader").alias("x"), F.col("gid").alias("y"))
     inner = members.where("gid <> rep").select(F.col("gid").alias("x"), F.col("rep").alias("y"))
     links = verified(docs, star.unionByName(inner).distinct(), key, text, share)
     # rows that share an id are one node
@@ -163,15 +164,12 @@ def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int =
     links = links.unionByName(own.join(twice.select("id", "x"), "id").select("x", F.col("rep").alias("y")).where("x <> y"))
     known = components(links)
 
-    at = buckets.select("tok", "gid", "n", "pos").join(members.select("gid", "n", "rep"), ["gid", "n"]).join(known.withColumnRenamed("node", "rep"), "rep", "left").select("tok", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
-    mixed = at.groupBy("tok").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("tok")
-    at = shared.table(at.join(mixed, "tok"), "mixed")
+    placed = members.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "n", "rep", F.coalesce("component", "rep").alias("c"))
+    at = buckets.select("tok", "gid", "n", "pos").join(placed, ["gid", "n"])
+    at = at.withColumns({"c0": F.min("c").over(w), "c1": F.max("c").over(w)}).where("c0 < c1")
+    at = shared.table(at.select("tok", "rep", "n", "pos", "c"), "mixed")
     x, y = (at.select("tok", *[F.col(c).alias(f"{c}{s}") for c in ("rep", "n", "pos", "c")]) for s in "xy")
-    met = x.join(y, "tok").where((F.col("repx") < F.col("repy")) & (F.col("cx") != F.col("cy")) & sized(F.col("nx"), F.col("ny")))
-    met = met.groupBy("repx", "repy", "nx", "ny").agg(F.count("*").alias("m"), F.max("posx").alias("px"), F.max("posy").alias("py"))
-    # at most this many common shingles: those of the prefixes, and what follows the last of them
-    most = F.col("m") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1
-    met = met.where(most * (100 + share) >= share * (F.col("nx") + F.col("ny")))
+    met = x.join(y, "tok").where((F.col("repx") < F.col("repy")) & (F.col("cx") != F.col("cy")) & enough(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy")))
     more = verified(docs, met.select(F.col("repx").alias("x"), F.col("repy").alias("y")).distinct(), key, text, share)
     if more.isEmpty():
         final = known
