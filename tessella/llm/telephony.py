@@ -138,7 +138,7 @@ def to_pcm(df: DataFrame, media: str = "media", out: str = "pcm") -> DataFrame:
                 made.append(None if found is None else wav(PCM, double_rate(found, np.zeros(min(1, len(found)), int)).astype("<i2").tobytes() if len(found) else b"", 2 * RATE, 16, 2))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(made, pa.binary())], [*keep, out])
 
-    schema = df.select(*keep).withColumn(out, F.lit(b"")).schema
+    schema = df.select(*keep).withColumn(out, F.lit(None).cast("binary")).schema
     return df.mapInArrow(decode, schema)
 
 
