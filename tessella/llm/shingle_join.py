@@ -182,7 +182,14 @@ def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int =
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows of a component but its smallest id; rows without an id stay."""
-    found = alike(docs, key, text)
-    gone = shared.table(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
-    return docs.join(gone, key, "left_anti")
+    """docs with one row of each component: that of its smallest id and, among rows that share
+    this id, of the least text by hash. Rows without an id or without words stay."""
+    found = shared.table(alike(docs, key, text).where(F.col(key).isNotNull() & (F.col("n_shingles") > 0)).select(key, "component_id"), "found")
+    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    linked = F.col(key).isNotNull() & F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    left = docs.where(linked).join(gone, key, "left_anti")
+    twice = shared.table(found.where(F.col(key) == F.col("component_id")).groupBy(key).count().where("count > 1").select(key), "twice")
+    if not twice.isEmpty():
+        one = left.join(twice, key, "left_semi").groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias("_row"))
+        left = left.join(twice, key, "left_anti").unionByName(one.select("_row.*"))
+    return left.select(*docs.columns).unionByName(docs.where(~linked))

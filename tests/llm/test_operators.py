@@ -236,7 +236,7 @@ def test_shingle_join(spark, none):
         for _ in range(rng.randint(0, 3)):
             w[rng.randrange(len(w))] = f"z{rng.randint(0, 99)}"
         rows.append((i, " ".join(w)))
-    rows += [(7, rows[20][1]), (500, rows[9][1])]  # an id twice, an exact copy
+    rows += [(0, rows[6][1]), (0, rows[6][1]), (7, rows[20][1]), (500, rows[9][1])]  # ids again, an exact copy
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, id string").repartition(4)
     sets = [(i, shingles(t)) for i, t in rows]
     parent = {i: i for i, _ in sets}
@@ -254,7 +254,10 @@ def test_shingle_join(spark, none):
     want = collections.Counter((i, len(s), root(i)) for i, s in sets)
     assert collections.Counter(tuple(r) for r in shingle_join.alike(df).collect()) == want
     assert shingle_join.alike(none).count() == 0
-    assert shingle_join.keep_first(df).columns == df.columns
+    kept = shingle_join.keep_first(df)
+    first = {root(i) for i, s in sets if i is not None and s}
+    assert kept.columns == df.columns and kept.count() == len(first) + sum(i is None or not s for i, s in sets)
+    assert {r["doc_id"] for r in kept.collect()} == first | {None, 1000, 1001}
 
 
 def test_path_dedup(docs, none):
