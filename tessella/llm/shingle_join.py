@@ -29,6 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,23 +92,35 @@ def signatures(docs: DataFrame, common: np.ndarray, key: str, text: str, share:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, share: int = SHARE) -> DataFrame:
-    """Those of the distinct pairs x, y whose sets are alike. Sets are made again from
-    the texts, for the documents that a filter of fixed size lets through."""
+    """Those of the distinct pairs x, y whose sets are alike. Texts go to their pairs as y,
+    and sets are made where they are needed; sets of x go straight to where x is compared.
+    Filters of fixed size keep out documents without pairs; what they let through besides meets nothing."""
     pairs = shared.table(pairs, "pairs")
-    ends = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
     named = lambda ids: splitmix(ids.to_numpy().astype(np.int64).view(U64))
-    wanted = docs.sparkSession.sparkContext.broadcast(sketches.gather(ends, lambda b: iter([named(b.column("id"))]), top=1))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def among(ends: str) -> Broadcast:
+        return docs.sparkSession.sparkContext.broadcast(sketches.gather(pairs.select(ends).distinct(), lambda b: iter([named(b.column(ends))]), top=1))
+
+    def chosen(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(wanted.value[sketches.cells(named(batch.column("id")))] > 0))
-            for b in pieces(iter([batch]), "text"):
-                bounds, found = shingle_sets(b.column("text"))
-                yield pa.RecordBatch.from_arrays([b.column("id"), blobs(found, bounds)], ["id", "shingles"])
-
-    made = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(sets, "id long, shingles binary")
-    first = pairs.select("x").distinct().join(made.withColumnRenamed("id", "x"), "x").select("x", F.lit(None).cast("long").alias("y"), "shingles")
-    other = pairs.join(made.withColumnRenamed("id", "y"), "y").select("x", "y", "shingles")
+            yield batch.filter(pa.array(wanted.value[sketches.cells(named(batch.column(0)))] > 0))
+
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            texts = b.column("text")
+            new = np.ones(len(texts), bool)  # a text of several pairs in a row is split once
+            new[1:] = pc.fill_null(pc.not_equal(texts[1:], texts[:-1]), True).to_numpy(zero_copy_only=False)
+            bounds, found = shingle_sets(texts.filter(pa.array(new)))
+            made = blobs(found, bounds).take(pa.array(np.cumsum(new) - 1))
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), made], ["x", "y", "shingles"])
+
+    texts = docs.where(F.col(key).isNotNull())
+    in_x, in_y = among("x"), among("y")
+    schema = "x long, y long, shingles binary"
+    first = texts.select(F.col(key).cast("long").alias("x"), F.lit(None).cast("long").alias("y"), F.col(text).alias("text"))
+    first = first.mapInArrow(lambda batches: with_sets(chosen(batches, in_x)), schema)
+    other = texts.select(F.col(key).cast("long").alias("y"), F.col(text).alias("text")).mapInArrow(lambda batches: chosen(batches, in_y), "y long, text string")
+    other = pairs.join(other, "y").select("x", "y", "text").mapInArrow(with_sets, schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, []
