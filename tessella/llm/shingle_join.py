@@ -39,6 +39,7 @@ from .links import components
 from .words import U64, hashes, inside, pieces, runs, split, splitmix
 
 WORDS, SHARE = 5, 80
+PAIRS = 256  # of one x that meet in one place; an x of more is compared in several
 
 
 def shingle_sets(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +95,13 @@ def signatures(docs: DataFrame, common: np.ndarray, key: str, text: str, share:
 def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, share: int = SHARE) -> DataFrame:
     """Those of the distinct pairs x, y whose sets are alike. Texts go to their pairs as y,
     and sets are made where they are needed; sets of x go straight to where x is compared.
-    Filters of fixed size keep out documents without pairs; what they let through besides meets nothing."""
+    Filters of fixed size keep out documents without pairs; what they let through besides meets nothing.
+    An x of many pairs is sent to as many places as they need, so one that a third of all rows are
+    compared with is no hot task."""
     pairs = shared.table(pairs, "pairs")
+    many = pairs.groupBy("x").count().where(F.col("count") > PAIRS)
+    many = shared.table(many.select("x", F.ceil(F.col("count") / PAIRS).cast("int").alias("parts")), "many")
+    parts = F.coalesce("parts", F.lit(1))
     named = lambda ids: splitmix(ids.to_numpy().astype(np.int64).view(U64))
 
     def among(ends: str) -> Broadcast:
@@ -112,24 +118,25 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, share: int
             new[1:] = pc.fill_null(pc.not_equal(texts[1:], texts[:-1]), True).to_numpy(zero_copy_only=False)
             bounds, found = shingle_sets(texts.filter(pa.array(new)))
             made = blobs(found, bounds).take(pa.array(np.cumsum(new) - 1))
-            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), made], ["x", "y", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), b.column("part"), made], ["x", "y", "part", "shingles"])
 
     texts = docs.where(F.col(key).isNotNull())
     in_x, in_y = among("x"), among("y")
-    schema = "x long, y long, shingles binary"
-    first = texts.select(F.col(key).cast("long").alias("x"), F.lit(None).cast("long").alias("y"), F.col(text).alias("text"))
-    first = first.mapInArrow(lambda batches: with_sets(chosen(batches, in_x)), schema)
+    schema = "x long, y long, part int, shingles binary"
+    first = texts.select(F.col(key).cast("long").alias("x"), F.col(text).alias("text")).mapInArrow(lambda batches: chosen(batches, in_x), "x long, text string")
+    first = first.join(many, "x", "left").select("x", F.lit(None).cast("long").alias("y"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "text")
     other = texts.select(F.col(key).cast("long").alias("y"), F.col(text).alias("text")).mapInArrow(lambda batches: chosen(batches, in_y), "y long, text string")
-    other = pairs.join(other, "y").select("x", "y", "text").mapInArrow(with_sets, schema)
+    dealt = pairs.join(many, "x", "left").select("x", "y", F.pmod(F.xxhash64("y"), parts).cast("int").alias("part"))
+    other = dealt.join(other, "y").select("x", "y", "part", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, []
         for batch in batches:
             hit = []
-            for x, y, blob in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("shingles"), strict=True):
+            for x, y, part, blob in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "part")), batch.column("shingles"), strict=True):
                 found = np.frombuffer(blob.as_buffer(), U64)
                 if y is None:
-                    at, own = (at, [*own, found]) if x == at else (x, [found])
+                    at, own = (at, [*own, found]) if (x, part) == at else ((x, part), [found])
                     continue
                 for s in own:
                     same = len(np.intersect1d(s, found, assume_unique=True))
@@ -139,7 +146,8 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, share: int
             yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hit], pa.int64()), pa.array([h[1] for h in hit], pa.int64())], ["x", "y"])
 
     # a pair's first set arrives before all that are compared with it
-    dealt = first.unionByName(other).repartition(shared.partitions(docs.sparkSession), "x").sortWithinPartitions("x", F.col("y").asc_nulls_first())
+    sets = first.mapInArrow(with_sets, schema).unionByName(other.mapInArrow(with_sets, schema))
+    dealt = sets.repartition(shared.partitions(docs.sparkSession), "x", "part").sortWithinPartitions("x", "part", F.col("y").asc_nulls_first())
     return shared.table(dealt.mapInArrow(compare, "x long, y long").distinct(), "verified")
 
 

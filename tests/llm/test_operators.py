@@ -227,7 +227,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def test_shingle_join(spark, none):
+def test_shingle_join(spark, none, monkeypatch):
     rng = random.Random(9)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(rng.randint(20, 60))] for _ in range(12)]
     rows = [(None, "a b c d e"), (1000, None), (1001, ""), (1002, "a b"), (1003, "A B"), (1004, "a b c")]
@@ -253,6 +253,8 @@ def test_shingle_join(spark, none):
                 parent[hi] = lo
     want = collections.Counter((i, len(s), root(i)) for i, s in sets)
     assert collections.Counter(tuple(r) for r in shingle_join.alike(df).collect()) == want
+    monkeypatch.setattr(shingle_join, "PAIRS", 2)  # from here on in several places
+    assert collections.Counter(tuple(r) for r in shingle_join.alike(df).collect()) == want
     assert shingle_join.alike(none).count() == 0
     kept = shingle_join.keep_first(df)
     first = {root(i) for i, s in sets if i is not None and s}
