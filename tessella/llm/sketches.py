@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .words import release
+
 BITS, PARTS = 22, 256
 
 
@@ -30,6 +32,7 @@ def gather(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]]
             for k in keys(b):
                 np.add.at(table, cells(k, bits), np.uint32(1))
         table = np.minimum(table, top).astype(kind)
+        release()
         live = [(i, p) for i, p in enumerate(np.split(table, PARTS)) if p.any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in live], pa.int32()), pa.array([pa.compress(p.tobytes(), "zstd", asbytes=True) for _, p in live], pa.binary())], ["part", "counts"])
 

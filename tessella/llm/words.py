@@ -8,6 +8,7 @@ cut by bytes, so one very long text is a batch of its own and short ones share.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -128,6 +129,13 @@ def inside(docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return room >= k, count
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task keeps little."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only glibc has it
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each has at most `limit` bytes of `column`, or one row."""
     for batch in batches:
@@ -138,3 +146,5 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
             yield batch.slice(at, end - at)
             at = end
+        del batch, size
+        release()
