@@ -24,7 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(low, "u")
         small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        found = shared.table(small, "links")
+        last, found = found, shared.table(small, "links")
+        shared.drop(last)
         now = tuple(found.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark or not now[0]:
             break

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import urlparse
 from urllib.request import url2pathname
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# while a table is written: shuffle files go with the query, and rows of long values come to Python in small batches
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def root(spark: SparkSession) -> str:
     """The shared folder of this cluster. Where the session names none (a single
     machine, tests), a temporary folder is set for the session."""
@@ -26,10 +34,55 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read again: its lineage ends there. The shuffle
+    files behind it go when it is written."""
+    spark, path = df.sparkSession, folder(df.sparkSession, name)
+    if (made := _made.get()) is not None:
+        made.append(path)
+    was = {k: spark.conf.get(k) for k in WRITING}
+    try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(df: DataFrame) -> None:
+    """A table that nothing reads any more goes."""
+    if (made := _made.get()) is not None and df._shared_path in made:
+        made.remove(df._shared_path)
+    remove(df.sparkSession, df._shared_path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables made inside go at the end, but for those handed to the function it gives."""
+    own, kept = [], []
+    mark = _made.set(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._shared_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _made.reset(mark)
+        for path in own:
+            if path not in kept:
+                remove(spark, path)
+        if (outer := _made.get()) is not None:
+            outer.extend(kept)
 
 
 def local(path: str) -> str:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import shared, sketches
 from .links import components
-from .words import U64, hashes, inside, pieces, runs, split, splitmix
+from .words import U64, hashes, inside, pieces, release, runs, split, splitmix
 
 WORDS, SHARE = 5, 80
 PAIRS = 256  # of one x that meet in one place; an x of more is compared in several
@@ -107,9 +107,9 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, share: int
     def among(ends: str) -> Broadcast:
         return docs.sparkSession.sparkContext.broadcast(sketches.gather(pairs.select(ends).distinct(), lambda b: iter([named(b.column(ends))]), top=1))
 
-    def chosen(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(wanted.value[sketches.cells(named(batch.column(0)))] > 0))
+    def chosen(end: str, wanted: Broadcast) -> DataFrame:  # only ids go to Python
+        hit = F.arrow_udf(lambda ids: pa.array(wanted.value[sketches.cells(named(ids))] > 0), "boolean")
+        return texts.where(hit(F.col(key).cast("long"))).select(F.col(key).cast("long").alias(end), F.col(text).alias("text"))
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
@@ -123,11 +123,9 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, share: int
     texts = docs.where(F.col(key).isNotNull())
     in_x, in_y = among("x"), among("y")
     schema = "x long, y long, part int, shingles binary"
-    first = texts.select(F.col(key).cast("long").alias("x"), F.col(text).alias("text")).mapInArrow(lambda batches: chosen(batches, in_x), "x long, text string")
-    first = first.join(many, "x", "left").select("x", F.lit(None).cast("long").alias("y"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "text")
-    other = texts.select(F.col(key).cast("long").alias("y"), F.col(text).alias("text")).mapInArrow(lambda batches: chosen(batches, in_y), "y long, text string")
+    first = chosen("x", in_x).join(many, "x", "left").select("x", F.lit(None).cast("long").alias("y"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "text")
     dealt = pairs.join(many, "x", "left").select("x", "y", F.pmod(F.xxhash64("y"), parts).cast("int").alias("part"))
-    other = dealt.join(other, "y").select("x", "y", "part", "text")
+    other = dealt.join(chosen("y", in_y), "y").select("x", "y", "part", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, []
@@ -144,16 +142,25 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, share: int
                         hit.append((x, y))
                         break
             yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hit], pa.int64()), pa.array([h[1] for h in hit], pa.int64())], ["x", "y"])
+            del batch
+            release()
 
     # a pair's first set arrives before all that are compared with it
     sets = first.mapInArrow(with_sets, schema).unionByName(other.mapInArrow(with_sets, schema))
     dealt = sets.repartition(shared.partitions(docs.sparkSession), "x", "part").sortWithinPartitions("x", "part", F.col("y").asc_nulls_first())
-    return shared.table(dealt.mapInArrow(compare, "x long, y long").distinct(), "verified")
+    out = shared.table(dealt.mapInArrow(compare, "x long, y long").distinct(), "verified")
+    shared.drop(pairs)
+    shared.drop(many)
+    return out
 
 
 def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int = SHARE) -> DataFrame:
     """key, n_shingles, component_id (the smallest id that links reach) of every row."""
-    docs = docs.select(key, text)
+    with shared.temporary(docs.sparkSession) as keep:
+        return keep(shared.table(_alike(docs.select(key, text), key, text, share), "components"))
+
+
+def _alike(docs: DataFrame, key: str, text: str, share: int) -> DataFrame:
     common = sketches.gather(docs.select(F.col(text).alias("text")), lambda b: (shingle_sets(x.column("text"))[1] for x in pieces(iter([b]), "text")))
     rows = shared.table(signatures(docs, common, key, text, share), "signatures")
     some = rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
@@ -173,6 +180,8 @@ def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int =
     index = groups.select("gid", "n", "prefix").mapInArrow(unpack, "tok long, gid long, n long, pos int")
     index = index.withColumns({"m": F.count("*").over(w), "leader": F.min(F.struct("gid", "n", "pos")).over(w)}).where("m > 1")
     buckets = shared.table(index.select("tok", "gid", "n", "pos", F.col("leader.gid").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.pos").alias("leader_pos")), "buckets")
+    sets, rows = rows, shared.table(rows.drop("prefix", "p"), "rows")
+    shared.drop(sets)
 
     # Before the first shingle that two sets have in common there is none, so what is left
     # of both has to hold all common ones. Other common shingles may fail this; the first may not.
@@ -206,7 +215,7 @@ def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int =
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: that of its smallest id and, among rows that share
     this id, of the least text by hash. Rows without an id or without words stay."""
-    found = shared.table(alike(docs, key, text).where(F.col(key).isNotNull() & (F.col("n_shingles") > 0)).select(key, "component_id"), "found")
+    found = alike(docs, key, text).where(F.col(key).isNotNull() & (F.col("n_shingles") > 0)).select(key, "component_id")
     gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
     linked = F.col(key).isNotNull() & F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     left = docs.where(linked).join(gone, key, "left_anti")
