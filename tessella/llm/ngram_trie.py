@@ -37,6 +37,7 @@ from . import elias_fano, shared
 from .elias_fano import EliasFano
 from .words import U64, hashes, pieces, split, splitmix
 
+SLICE = 2 << 20  # bytes of text handled together: n-grams of larger pieces repeat more
 ORDER, LEAST, DISCOUNT = 3, 2, 0.5
 STEP = 4096  # quantisation: 1 / STEP of a decimal logarithm
 END = splitmix(np.array([1 << 44], U64))[0]
@@ -222,7 +223,7 @@ def learn(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[np.ndarray]:
-            for b in pieces(batches, text):
+            for b in pieces(batches, text, SLICE):
                 bounds, h = tokens(b.column(text))
                 yield np.delete(h, bounds[:-1])
 
@@ -265,7 +266,7 @@ def grow(docs: DataFrame, m: Model, n: int, cuts: np.ndarray, parents: int, text
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[np.ndarray]:
-            for b in pieces(batches, text):
+            for b in pieces(batches, text, SLICE):
                 bounds, h = tokens(b.column(text))
                 ids = known_ids(m, h)[0]
                 parent = np.full(len(ids), -1, np.int64)
@@ -383,7 +384,7 @@ def score(docs: DataFrame, m: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in pieces(batches, text):
+        for b in pieces(batches, text, SLICE):
             bounds, h = tokens(b.column(text))
             ids, counts = known_ids(m, h)
             out = quantise((counts + 1) / (m.n + m.v + 1)).astype(np.int64)
