@@ -81,12 +81,13 @@ class Paths:
 
 
 def firsts(*keys: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which rows are the earliest of their keys."""
+    """Which rows are the earliest of their keys; repeated rows at one place share that."""
     order = np.lexsort((start, ids, *keys))
     new = np.ones(len(order), bool)
     new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     out = np.zeros(len(order), bool)
-    out[order] = new
+    out[order] = (ids[order] == ids[head]) & (start[order] == start[head])
     return out
 
 
