@@ -18,6 +18,7 @@ packed row by row. An empty table gives no sequence.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -116,14 +117,16 @@ def tokenizer(path: str):
     def encode(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces that are one pretoken are encoded many at a time, joined by spaces."""
         texts = [x.decode() for x in found]
-        single = np.array([x.isalpha() and x.lower().isalpha() for x in texts], bool)
-        sizes, parts = np.zeros(len(texts), np.int64), [None] * len(texts)
-        alone = np.flatnonzero(~single).tolist()
-        for i, ids in zip(alone, run([texts[i] for i in alone]), strict=True):
-            parts[i], sizes[i] = ids, len(ids)
+        single = np.array([x.isalpha() and unicodedata.normalize("NFC", x).lower().isalpha() for x in texts], bool)
         joint = [x for x, s in zip(texts, single, strict=True) if s]
         ids = np.fromiter((y for x in run([" ".join(joint[i : i + 200]) for i in range(0, len(joint), 200)]) for y in x), np.int32)
         ends = np.flatnonzero(last[ids]) + 1
+        if len(ends) != len(joint):  # every piece has an end at least, so one is several pretokens by other Unicode tables
+            single[:], ids, ends = False, ids[:0], ends[:0]
+        sizes, parts = np.zeros(len(texts), np.int64), [None] * len(texts)
+        alone = np.flatnonzero(~single).tolist()
+        for i, one in zip(alone, run([texts[i] for i in alone]), strict=True):
+            parts[i], sizes[i] = one, len(one)
         sizes[single] = np.diff(ends, prepend=0)
         flat = np.zeros(int(sizes.sum()), np.int32)
         own = np.repeat(single, sizes)
