@@ -165,7 +165,8 @@ def _alike(docs: DataFrame, key: str, text: str, share: int) -> DataFrame:
     rows = shared.table(signatures(docs, common, key, text, share), "signatures")
     some = rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = some.groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.min("p").alias("p"))
-    groups = some.groupBy("n", "p").agg(F.min("id").alias("gid"), F.first("prefix").alias("prefix"))
+    several = (F.min("a") < F.max("a")) | (F.min("b") < F.max("b"))  # classes
+    groups = some.groupBy("n", "p").agg(F.min("id").alias("gid"), F.first("prefix").alias("prefix"), several.alias("several"))
     members = shared.table(classes.join(groups.select("n", "p", "gid"), ["n", "p"]).select("gid", "rep", "n", "a", "b"), "members")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,11 +175,11 @@ def _alike(docs: DataFrame, key: str, text: str, share: int) -> DataFrame:
             size = np.array([len(x.as_buffer()) // 8 for x in b.column("prefix")], np.int64)
             row = np.repeat(np.arange(len(size)), size)
             pos = np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)
-            yield pa.RecordBatch.from_arrays([pa.array(tok), b.column("gid").take(pa.array(row)), b.column("n").take(pa.array(row)), pa.array(pos, pa.int32())], ["tok", "gid", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(tok), b.column("gid").take(pa.array(row)), b.column("n").take(pa.array(row)), pa.array(pos, pa.int32()), b.column("several").take(pa.array(row))], ["tok", "gid", "n", "pos", "several"])
 
     w = Window.partitionBy("tok")
-    index = groups.select("gid", "n", "prefix").mapInArrow(unpack, "tok long, gid long, n long, pos int")
-    index = index.withColumns({"m": F.count("*").over(w), "leader": F.min(F.struct("gid", "n", "pos")).over(w)}).where("m > 1")
+    index = groups.select("gid", "n", "prefix", "several").mapInArrow(unpack, "tok long, gid long, n long, pos int, several boolean")
+    index = index.withColumns({"m": F.count("*").over(w), "leader": F.min(F.struct("gid", "n", "pos")).over(w)}).where("m > 1 or several and pos = 0")  # members of one group meet at its first shingle
     buckets = shared.table(index.select("tok", "gid", "n", "pos", F.col("leader.gid").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.pos").alias("leader_pos")), "buckets")
     sets, rows = rows, shared.table(rows.drop("prefix", "p"), "rows")
     shared.drop(sets)
