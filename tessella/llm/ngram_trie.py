@@ -3,7 +3,8 @@
 Tokens are words (runs without white space, A-Z lower-cased) and one end token a
 text, which also stands before the first word as context. Counts of all training
 rows are gathered level by level: words, then word pairs, then triples both of
-whose pairs were kept. N-grams above words are kept from LEAST occurrences on;
+whose pairs were kept. N-grams above words are kept from `least` occurrences on,
+all of them with 1;
 an n-gram's probability is discounted and interpolated with that of its shorter
 context, words with add-one smoothing, so the probabilities of all words and of
 an unknown one sum to 1 in every context.
@@ -215,7 +216,7 @@ def dealt(rows: list, first: np.ndarray, files: int, words: np.ndarray) -> np.nd
     return np.unique(np.array(cuts, U64))
 
 
-def learn(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
+def learn(docs: DataFrame, text: str = "text", order: int = ORDER, least: int = LEAST) -> Model:
     spark = docs.sparkSession
     folder = shared.local(shared.folder(spark, "ngrams"))
     files = shared.partitions(spark)
@@ -244,7 +245,7 @@ def learn(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     for n in range(2, order + 1):
         files = max(shared.partitions(spark), -(-m.n // FILE_TOKENS))
         cuts = dealt(rows, first, files, words)
-        rows, first, level = grow(docs, m, n, cuts, parents, text)
+        rows, first, level = grow(docs, m, n, cuts, parents, text, least)
         m = m._replace(levels=(*m.levels, level))
         parents = int(sum(r["nodes"] for r in rows))
     for path in glob.glob(f"{folder}/counts*"):
@@ -259,7 +260,7 @@ def starts(rows: list, files: int) -> np.ndarray:
     return np.cumsum(n)[:-1]
 
 
-def grow(docs: DataFrame, m: Model, n: int, cuts: np.ndarray, parents: int, text: str) -> tuple[list, np.ndarray, Level]:
+def grow(docs: DataFrame, m: Model, n: int, cuts: np.ndarray, parents: int, text: str, least: int) -> tuple[list, np.ndarray, Level]:
     """Count level n, keep its nodes, and write its files."""
     spark: SparkSession = docs.sparkSession
     folder = m.path
@@ -286,7 +287,7 @@ def grow(docs: DataFrame, m: Model, n: int, cuts: np.ndarray, parents: int, text
 
     def keep(part: pa.Table) -> pa.Table:
         f, keys, counts = gathered(part)
-        keys, counts = keys[counts >= LEAST], counts[counts >= LEAST]
+        keys, counts = keys[counts >= least], counts[counts >= least]
         elias_fano.save(f"{folder}/counts{n}-{f}", {"key": keys, "count": counts})
         own, edges = keys >> U64(32), []
         for p in {int(own[0]), int(own[-1])} if len(own) else ():
@@ -409,9 +410,9 @@ def score(docs: DataFrame, m: Model, text: str = "text") -> DataFrame:
     return docs.select(*keep).mapInArrow(run, schema)
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, least: int = LEAST) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows
     whose crc32 of the id as text mod folds is `held` are not learned from."""
     out = F.coalesce(F.crc32(F.col(key).cast("string")) % folds == held, F.lit(False))
-    m = learn(docs.where(~out), text)
+    m = learn(docs.where(~out), text, least=least)
     return score(docs.select(key, text), m, text).select(key, out.alias("held_out"), "n_tokens", "n_known", F.lit(m.n).cast("long").alias("train_tokens"), "base_score", "score")

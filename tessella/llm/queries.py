@@ -42,7 +42,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_trie.judge(read(spark, sf_dir, "documents"))
+    return ngram_trie.judge(read(spark, sf_dir, "documents"), least=1)
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
