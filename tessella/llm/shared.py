@@ -19,10 +19,12 @@ _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder of this cluster. Where the session names none (a single
-    machine, tests), a temporary folder is set for the session."""
+    """The shared folder of this cluster. Where the session names none, a temporary folder is
+    set for a session on a single machine (tests); a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessella.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("tessella.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,20 +35,27 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/tessella/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The session with these settings, which are put back at the end."""
+    was = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there. The shuffle
     files behind it go when it is written."""
     spark, path = df.sparkSession, folder(df.sparkSession, name)
     if (made := _made.get()) is not None:
         made.append(path)
-    was = {k: spark.conf.get(k) for k in WRITING}
-    try:
-        for k, v in WRITING.items():
-            spark.conf.set(k, v)
+    with settings(spark, WRITING):
         df.write.parquet(path)
-    finally:
-        for k, v in was.items():
-            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out

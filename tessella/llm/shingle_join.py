@@ -5,33 +5,42 @@ has its whole sequence as one shingle, one without words none. Two documents
 link when 100 * common >= 80 * all shingles of both.
 
 Grouped prefix join. Shingles are ordered by how common they are (counts over
-all documents, in a table of fixed size) and then by hash; two sets that link
-share a shingle among the first n - ceil(0.8 n) + 1 of each. Documents with the
-same set are one class; classes with the same prefix and size are one group, and
-only groups enter the index. Links are then found in two rounds, so that large
-groups of near copies never meet pair by pair:
+all documents, in a table of bounded size) and then by hash; two sets that link
+share a shingle among the first n - ceil(0.8 n) + 1 of each, and if they are not
+the same set a second one among one more. Documents with the same set are one
+class; classes with the same prefix and size are one group, and only groups
+enter the index. Links are then found in two rounds, so that large groups of
+near copies never meet pair by pair:
 1. in each bucket of the index every group is paired with the bucket's first
-   one, and every class with its group's first; what sizes and places in the
-   prefix allow is verified by the sets, and what links gives components;
+   one, and every class with its group's first. Of the pairs that the filters
+   leave, each group takes its nearest; what the sets verify gives components;
 2. buckets are expanded to classes, those of one component drop out, and only
-   pairs of different components remain, filtered and verified likewise.
+   pairs of different components and of like size remain. Buckets of more than
+   HOT rows are split by the second shingle that linked sets have in common.
 Pairs that are never compared are in one component already, so the components
-are those of all links. Sets are compared exactly, as sets of 64-bit hashes.
+are those of all links.
 
-Copies are one class, so a hot class is aggregated before any shuffle. Rows
+Before sets are compared, pairs pass an exact filter: a set's parity map has
+about a bit a shingle, and the maps of two sets differ in at most as many bits
+as the sets in shingles, which linked sets do in a ninth of all at most. Maps
+are an eightieth of the sets. Sets are compared exactly, by 64-bit hashes.
+
+Copies are one class, so a hot class is aggregated before any shuffle. A shingle
+that may be in more than HOT documents (by the table of counts) is dealt under
+several keys, and what all of them need is aggregated and sent to each. Rows
 without an id link with nothing and have a null component; rows that share an
 id are one node of the graph. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared, sketches
@@ -40,6 +49,7 @@ from .words import U64, hashes, inside, pieces, release, runs, split, splitmix
 
 WORDS, SHARE = 5, 80
 PAIRS = 256  # of one x that meet in one place; an x of more is compared in several
+HOT = 256  # rows of a bucket from which on it is dealt under several keys
 
 
 def shingle_sets(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -63,12 +73,38 @@ def shingle_sets(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarra
 
 
 def blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Consecutive ranges of 64-bit values as binaries."""
-    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+    """Consecutive ranges of 64-bit values (or bytes) as binaries."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def parity_maps(ends: np.ndarray, found: np.ndarray) -> pa.Array:
+    """Of each set: bit i tells whether an odd number of its shingles falls on i, by their low
+    bits. A map has the least power of two of bits that holds the set, 64 at least."""
+    n = np.diff(ends)
+    size = np.left_shift(1, np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)))
+    begin = np.concatenate([[0], np.cumsum(size)])
+    at = (splitmix(found) & (np.repeat(size, n) - 1).astype(U64)).astype(np.int64) + np.repeat(begin[:-1], n)
+    odd = (np.bincount(at, minlength=int(begin[-1])) & 1).astype(np.uint8)
+    return blobs(np.packbits(odd, bitorder="little"), begin // 8)
+
+
+def differing(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """In how many bits the parity maps of each row differ; the longer map is folded."""
+    out = np.empty(len(a), np.int64)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
+        while len(x) != len(y):
+            if len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            else:
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        out[i] = int(np.bitwise_count(x ^ y).sum())
+    return out
 
 
-def signatures(docs: DataFrame, common: np.ndarray, key: str, text: str, share: int = SHARE) -> DataFrame:
-    """id, n, a, b (hashes of the set), p (hash of the prefix), prefix of every document."""
+def signatures(docs: DataFrame, common: np.ndarray, bits: int, key: str, text: str, share: int = SHARE) -> DataFrame:
+    """id, n, a, b (hashes of the set), p (hash of the prefix), prefix (with one shingle more, in
+    which a second one in common has to be), map of every document."""
     counts = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,10 +112,10 @@ def signatures(docs: DataFrame, common: np.ndarray, key: str, text: str, share:
             ends, found = shingle_sets(batch.column("text"))
             n = np.diff(ends)
             doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
-            rank = counts.value[sketches.cells(found)].astype(U64) << U64(48) | found & U64((1 << 48) - 1)
+            rank = counts.value[sketches.cells(found, bits)].astype(U64) << U64(48) | found & U64((1 << 48) - 1)
             order = np.argsort(rank, kind="stable")
             order = order[np.argsort(doc[order], kind="stable")]
-            length = np.where(n > 0, n - (share * n + 99) // 100 + 1, 0)
+            length = np.where(n > 0, np.minimum(n, n - (share * n + 99) // 100 + 2), 0)
             front = found[order][np.arange(len(found)) - np.repeat(ends[:-1], n) < np.repeat(length, n)]
             cuts = np.concatenate([[0], np.cumsum(length)])
 
@@ -87,73 +123,89 @@ def signatures(docs: DataFrame, common: np.ndarray, key: str, text: str, share:
                 sums = np.concatenate([np.zeros(1, U64), np.cumsum(x, dtype=U64)])
                 return pa.array(splitmix(sums[at[1:]] - sums[at[:-1]]).view(np.int64))
 
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), total(splitmix(found), ends), total(splitmix(found ^ U64(1 << 42)), ends), total(splitmix(front), cuts), blobs(front, cuts)], ["id", "n", "a", "b", "p", "prefix"])
+            made = [batch.column("id"), pa.array(n, pa.int64()), total(splitmix(found), ends), total(splitmix(found ^ U64(1 << 42)), ends), total(splitmix(front), cuts), blobs(front, cuts), parity_maps(ends, found)]
+            yield pa.RecordBatch.from_arrays(made, ["id", "n", "a", "b", "p", "prefix", "map"])
+
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, n long, a long, b long, p long, prefix binary, map binary")
+
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, n long, a long, b long, p long, prefix binary")
+def near(pairs: DataFrame, maps: DataFrame, share: int = SHARE) -> DataFrame:
+    """x, y, far of the distinct pairs x, y whose parity maps allow a link. maps: rep, n, map."""
+    left, right = (maps.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("map").alias(f"map{s}")) for s in "xy")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            far = differing(b.column("mapx"), b.column("mapy"))
+            # linked sets have at least share / (100 + share) of all their members in common
+            hit = pa.array((100 + share) * far <= (100 - share) * (b.column("nx").to_numpy() + b.column("ny").to_numpy()))
+            yield pa.RecordBatch.from_arrays([b.column("x").filter(hit), b.column("y").filter(hit), pa.array(far).filter(hit)], ["x", "y", "far"])
+
+    sized = pairs.join(left, "x").join(right, "y").where((100 * F.col("nx") >= share * F.col("ny")) & (100 * F.col("ny") >= share * F.col("nx")))
+    return sized.select("x", "y", "nx", "ny", "mapx", "mapy").mapInArrow(measure, "x long, y long, far long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, share: int = SHARE) -> DataFrame:
-    """Those of the distinct pairs x, y whose sets are alike. Texts go to their pairs as y,
-    and sets are made where they are needed; sets of x go straight to where x is compared.
-    Filters of fixed size keep out documents without pairs; what they let through besides meets nothing.
-    An x of many pairs is sent to as many places as they need, so one that a third of all rows are
-    compared with is no hot task."""
-    pairs = shared.table(pairs, "pairs")
-    many = pairs.groupBy("x").count().where(F.col("count") > PAIRS)
-    many = shared.table(many.select("x", F.ceil(F.col("count") / PAIRS).cast("int").alias("parts")), "many")
-    parts = F.coalesce("parts", F.lit(1))
+    """Those of the distinct pairs x, y whose sets are alike. Texts go to their pairs, and sets are
+    made where they are compared. The end of more pairs is x, so that no y has many; an x of many
+    pairs is sent to as many places as they need, so one that a third of all rows are compared with
+    is no hot task. Filters of fixed size keep out documents without pairs; what they let through
+    besides meets nothing."""
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("e")).groupBy("e").count()
+    x_n, y_n = (ends.select(F.col("e").alias(s), F.col("count").alias(f"of_{s}")) for s in "xy")
+    turn = F.struct("of_x", "x") < F.struct("of_y", "y")
+    pick = lambda s, t: F.when(turn, F.col(t)).otherwise(F.col(s))
+    pairs = pairs.join(x_n, "x").join(y_n, "y").select(pick("x", "y").alias("x"), pick("y", "x").alias("y"), F.ceil(pick("of_x", "of_y") / PAIRS).cast("int").alias("parts"))
+    pairs = shared.table(pairs.distinct(), "pairs")
     named = lambda ids: splitmix(ids.to_numpy().astype(np.int64).view(U64))
 
-    def among(ends: str) -> Broadcast:
-        return docs.sparkSession.sparkContext.broadcast(sketches.gather(pairs.select(ends).distinct(), lambda b: iter([named(b.column(ends))]), top=1))
+    def among(end: str) -> Broadcast:
+        return docs.sparkSession.sparkContext.broadcast(sketches.gather(pairs.select(end).distinct(), lambda b: iter([named(b.column(end))])))
 
     def chosen(end: str, wanted: Broadcast) -> DataFrame:  # only ids go to Python
         hit = F.arrow_udf(lambda ids: pa.array(wanted.value[sketches.cells(named(ids))] > 0), "boolean")
         return texts.where(hit(F.col(key).cast("long"))).select(F.col(key).cast("long").alias(end), F.col(text).alias("text"))
 
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
-            texts = b.column("text")
-            new = np.ones(len(texts), bool)  # a text of several pairs in a row is split once
-            new[1:] = pc.fill_null(pc.not_equal(texts[1:], texts[:-1]), True).to_numpy(zero_copy_only=False)
-            bounds, found = shingle_sets(texts.filter(pa.array(new)))
-            made = blobs(found, bounds).take(pa.array(np.cumsum(new) - 1))
-            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), b.column("part"), made], ["x", "y", "part", "shingles"])
-
     texts = docs.where(F.col(key).isNotNull())
     in_x, in_y = among("x"), among("y")
-    schema = "x long, y long, part int, shingles binary"
-    first = chosen("x", in_x).join(many, "x", "left").select("x", F.lit(None).cast("long").alias("y"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "text")
-    dealt = pairs.join(many, "x", "left").select("x", "y", F.pmod(F.xxhash64("y"), parts).cast("int").alias("part"))
-    other = dealt.join(chosen("y", in_y), "y").select("x", "y", "part", "text")
+    first = chosen("x", in_x).join(pairs.select("x", "parts").distinct(), "x").select("x", F.lit(None).cast("long").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text")
+    other = pairs.select("x", "y", F.pmod(F.xxhash64("y"), "parts").cast("int").alias("part")).join(chosen("y", in_y), "y").select("x", "y", "part", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, []
-        for batch in batches:
-            hit = []
-            for x, y, part, blob in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "part")), batch.column("shingles"), strict=True):
-                found = np.frombuffer(blob.as_buffer(), U64)
+        for b in pieces(batches, "text"):
+            texts, hit = b.column("text"), []
+            new = np.ones(len(texts), bool)  # a text of several rows together is split once
+            new[1:] = pc.fill_null(pc.not_equal(texts[1:], texts[:-1]), True).to_numpy(zero_copy_only=False)
+            bounds, found = shingle_sets(texts.filter(pa.array(new)))
+            for x, y, part, i in zip(*(b.column(c).to_pylist() for c in ("x", "y", "part")), (np.cumsum(new) - 1).tolist(), strict=True):
+                one = found[bounds[i] : bounds[i + 1]]
                 if y is None:
-                    at, own = (at, [*own, found]) if (x, part) == at else ((x, part), [found])
+                    at, own = (at, [*own, one]) if (x, part) == at else ((x, part), [one])
                     continue
                 for s in own:
-                    same = len(np.intersect1d(s, found, assume_unique=True))
-                    if len(s) and 100 * same >= share * (len(s) + len(found) - same):
+                    same = len(np.intersect1d(s, one, assume_unique=True))
+                    if len(s) and 100 * same >= share * (len(s) + len(one) - same):
                         hit.append((x, y))
                         break
             yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hit], pa.int64()), pa.array([h[1] for h in hit], pa.int64())], ["x", "y"])
-            del batch
-            release()
 
-    # a pair's first set arrives before all that are compared with it
-    sets = first.mapInArrow(with_sets, schema).unionByName(other.mapInArrow(with_sets, schema))
-    dealt = sets.repartition(shared.partitions(docs.sparkSession), "x", "part").sortWithinPartitions("x", "part", F.col("y").asc_nulls_first())
+    # a pair's first text arrives before all that are compared with it
+    dealt = first.unionByName(other).repartition(shared.partitions(docs.sparkSession), "x", "part").sortWithinPartitions("x", "part", F.col("y").asc_nulls_first())
     out = shared.table(dealt.mapInArrow(compare, "x long, y long").distinct(), "verified")
     shared.drop(pairs)
-    shared.drop(many)
     return out
 
 
+def by_token(rows: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """rows (tok, parts, ...) with aggregates over all rows of their token. Tokens of one part
+    meet in a window; those of more are aggregated and the result is sent to each of their parts."""
+    cold = rows.where("parts <= 1").withColumns({k: c.over(Window.partitionBy("tok")) for k, c in made.items()})
+    hot = rows.where("parts > 1").withColumn("part", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("tok", "parts")]), "parts").cast("int"))
+    sums = hot.groupBy("tok", "parts").agg(*[c.alias(k) for k, c in made.items()])
+    sums = sums.select("tok", *made, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return cold.unionByName(hot.join(sums, ["tok", "part"]).select(*cold.columns))
+
+
 def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int = SHARE) -> DataFrame:
     """key, n_shingles, component_id (the smallest id that links reach) of every row."""
     with shared.temporary(docs.sparkSession) as keep:
@@ -161,13 +213,20 @@ def alike(docs: DataFrame, key: str = "doc_id", text: str = "text", share: int =
 
 
 def _alike(docs: DataFrame, key: str, text: str, share: int) -> DataFrame:
-    common = sketches.gather(docs.select(F.col(text).alias("text")), lambda b: (shingle_sets(x.column("text"))[1] for x in pieces(iter([b]), "text")))
-    rows = shared.table(signatures(docs, common, key, text, share), "signatures")
-    some = rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = some.groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.min("p").alias("p"))
+    bits = sketches.bits_for(docs)
+    common = sketches.gather(docs.select(F.col(text).alias("text")), lambda b: (shingle_sets(x.column("text"))[1] for x in pieces(iter([b]), "text")), bits)
+    rows = shared.table(signatures(docs, common, bits, key, text, share), "signatures")
+    linked = F.col("id").isNotNull() & (F.col("n") > 0)
+    some = rows.where(linked)
+    classes = some.groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.min("p").alias("p"), F.first("map").alias("map"))
     several = (F.min("a") < F.max("a")) | (F.min("b") < F.max("b"))  # classes
-    groups = some.groupBy("n", "p").agg(F.min("id").alias("gid"), F.first("prefix").alias("prefix"), several.alias("several"))
-    members = shared.table(classes.join(groups.select("n", "p", "gid"), ["n", "p"]).select("gid", "rep", "n", "a", "b"), "members")
+    groups = shared.table(some.groupBy("n", "p").agg(F.min("id").alias("gid"), F.first("prefix").alias("prefix"), several.alias("several")), "groups")
+    members = shared.table(classes.join(groups.select("n", "p", "gid"), ["n", "p"]).select("gid", "rep", "n", "a", "b", "map"), "members")
+    whole, rows = rows, shared.table(rows.select("id", "n", "a", "b"), "rows")
+    shared.drop(whole)
+    maps = members.select("rep", "n", "map")
+    parts_of = np.maximum(1, np.ceil(sketches.count_of(np.arange(256, dtype=np.uint8)) / HOT)).clip(max=1 << 20).astype(np.int32)
+    counts = docs.sparkSession.sparkContext.broadcast(common)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "prefix", 4 << 20):
@@ -175,42 +234,57 @@ def _alike(docs: DataFrame, key: str, text: str, share: int) -> DataFrame:
             size = np.array([len(x.as_buffer()) // 8 for x in b.column("prefix")], np.int64)
             row = np.repeat(np.arange(len(size)), size)
             pos = np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)
-            yield pa.RecordBatch.from_arrays([pa.array(tok), b.column("gid").take(pa.array(row)), b.column("n").take(pa.array(row)), pa.array(pos, pa.int32()), b.column("several").take(pa.array(row))], ["tok", "gid", "n", "pos", "several"])
+            own = np.flatnonzero(pos < np.repeat((lambda n: n - (share * n + 99) // 100 + 1)(b.column("n").to_numpy()), size))
+            tok, row, pos = tok[own], pa.array(row[own]), pos[own]
+            parts = parts_of[counts.value[sketches.cells(tok.view(U64), bits)]]
+            yield pa.RecordBatch.from_arrays([pa.array(tok), *(b.column(c).take(row) for c in ("gid", "n")), pa.array(pos, pa.int32()), b.column("several").take(row), pa.array(parts)], ["tok", "gid", "n", "pos", "several", "parts"])
 
-    w = Window.partitionBy("tok")
-    index = groups.select("gid", "n", "prefix", "several").mapInArrow(unpack, "tok long, gid long, n long, pos int, several boolean")
-    index = index.withColumns({"m": F.count("*").over(w), "leader": F.min(F.struct("gid", "n", "pos")).over(w)}).where("m > 1 or several and pos = 0")  # members of one group meet at its first shingle
-    buckets = shared.table(index.select("tok", "gid", "n", "pos", F.col("leader.gid").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.pos").alias("leader_pos")), "buckets")
-    sets, rows = rows, shared.table(rows.drop("prefix", "p"), "rows")
-    shared.drop(sets)
+    index = groups.select("gid", "n", "prefix", "several").mapInArrow(unpack, "tok long, gid long, n long, pos int, several boolean, parts int")
+    index = by_token(index, {"m": F.count("*"), "leader": F.min(F.struct("gid", "n", "pos"))}).where("m > 1 or several and pos = 0")  # members of one group meet at its first shingle
+    buckets = shared.table(index.select("tok", "gid", "n", "pos", "parts", F.col("leader.gid").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.pos").alias("leader_pos")), "buckets")
 
     # Before the first shingle that two sets have in common there is none, so what is left
     # of both has to hold all common ones. Other common shingles may fail this; the first may not.
     enough = lambda nx, px, ny, py: (100 + share) * F.least(nx - px, ny - py) >= share * (nx + ny)
-    star = buckets.where((F.col("gid") != F.col("leader")) & enough(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos"))).select(F.col("leader").alias("x"), F.col("gid").alias("y"))
-    inner = members.where("gid <> rep").select(F.col("gid").alias("x"), F.col("rep").alias("y"))
-    links = verified(docs, star.unionByName(inner).distinct(), key, text, share)
+    star = buckets.where((F.col("gid") != F.col("leader")) & enough(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos"))).select(F.col("leader").alias("x"), F.col("gid").alias("y")).distinct()
+    nearest = near(star, maps, share).groupBy("y").agg(F.min_by("x", F.struct("far", "x")).alias("x"))
+    inner = near(members.where("gid <> rep").select(F.col("gid").alias("x"), F.col("rep").alias("y")), maps, share)
+    links = verified(docs, nearest.select("x", "y").unionByName(inner.select("x", "y")).distinct(), key, text, share)
     # rows that share an id are one node
-    own = rows.where(F.col("id").isNotNull() & (F.col("n") > 0)).select("id", "n", "a", "b").join(members.select("n", "a", "b", "rep"), ["n", "a", "b"])
+    own = rows.where(linked).join(members.select("n", "a", "b", "rep"), ["n", "a", "b"])
     twice = own.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y")
     links = links.unionByName(own.join(twice.select("id", "x"), "id").select("x", F.col("rep").alias("y")).where("x <> y"))
     known = components(links)
 
     placed = members.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "n", "rep", F.coalesce("component", "rep").alias("c"))
-    at = buckets.select("tok", "gid", "n", "pos").join(placed, ["gid", "n"])
-    at = at.withColumns({"c0": F.min("c").over(w), "c1": F.max("c").over(w)}).where("c0 < c1")
-    at = shared.table(at.select("tok", "rep", "n", "pos", "c"), "mixed")
-    x, y = (at.select("tok", *[F.col(c).alias(f"{c}{s}") for c in ("rep", "n", "pos", "c")]) for s in "xy")
-    met = x.join(y, "tok").where((F.col("repx") < F.col("repy")) & (F.col("cx") != F.col("cy")) & enough(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy")))
-    more = verified(docs, met.select(F.col("repx").alias("x"), F.col("repy").alias("y")).distinct(), key, text, share)
+    at = buckets.select("tok", "gid", "n", "pos", "parts").join(placed, ["gid", "n"])
+    at = by_token(at, {"c0": F.min("c"), "c1": F.max("c"), "size": F.count("*")}).where("c0 < c1")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / share)) + 1e-9).cast("int")  # of linked sets these differ by 1 at most
+    at = shared.table(at.select("tok", "gid", "rep", "n", "pos", "c", band.alias("band"), (F.col("size") > HOT).alias("hot")), "mixed")
+
+    def seconds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "prefix", 1 << 20):
+            after = [np.frombuffer(x.as_buffer(), np.int64)[p + 1 :] for x, p in zip(b.column("prefix"), b.column("pos").to_pylist(), strict=True)]
+            row = pa.array(np.repeat(np.arange(len(after)), [len(x) for x in after]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in ("tok", "rep", "n", "pos", "c", "band")), pa.array(np.concatenate([*after, np.zeros(0, np.int64)]))], ["tok", "rep", "n", "pos", "c", "band", "tok2"])
+
+    hot = at.where("hot").join(groups.select("gid", "n", "prefix"), ["gid", "n"]).select("tok", "rep", "n", "pos", "c", "band", "prefix")
+    hot = hot.mapInArrow(seconds, "tok long, rep long, n long, pos int, c long, band int, tok2 long")
+    cold = at.where("not hot").select("tok", "rep", "n", "pos", "c", "band", F.lit(0).cast("long").alias("tok2"))
+    at = cold.unionByName(hot)
+    x, y = (at.select("tok", "tok2", "band", *[F.col(c).alias(f"{c}{s}") for c in ("rep", "n", "pos", "c")]) for s in "xy")
+    wider = y.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))  # meets sets of its own band and of the next lower
+    met = x.join(wider, ["tok", "tok2", "band"]).where((F.col("cx") != F.col("cy")) & enough(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy")))
+    met = near(met.select(F.least("repx", "repy").alias("x"), F.greatest("repx", "repy").alias("y")).distinct(), maps, share)
+    more = verified(docs, met.select("x", "y").distinct(), key, text, share)
     if more.isEmpty():
         final = known
     else:
         final = components(known.select(F.col("component").alias("x"), F.col("node").alias("y")).unionByName(more))
-    final = own.select("n", "a", "b", "rep").distinct().join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component_id"))
-    linked = rows.where(F.col("id").isNotNull() & (F.col("n") > 0)).select("id", "n", "a", "b").join(final, ["n", "a", "b"])
-    alone = rows.where(F.col("id").isNull() | (F.col("n") == 0)).select("id", "n", F.col("id").alias("component_id"))
-    return linked.select("id", "n", "component_id").unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    final = members.select("n", "a", "b", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component_id"))
+    found = rows.where(linked).join(final, ["n", "a", "b"])
+    alone = rows.where(~linked).select("id", "n", F.col("id").alias("component_id"))
+    return found.select("id", "n", "component_id").unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
