@@ -43,7 +43,7 @@ ORDER, LEAST, DISCOUNT = 3, 2, 0.5
 STEP = 4096  # quantisation: 1 / STEP of a decimal logarithm
 END = splitmix(np.array([1 << 44], U64))[0]
 HELD, MARKS, FILE_TOKENS = 1_500_000, 64, 4_000_000
-LOW = U64(0xFFFFFFFF)
+FILE_BYTES = 128 << 20  # of input for a vocabulary file
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,12 +77,33 @@ class Model(NamedTuple):
     v: int
     levels: tuple[Level, ...]
 
+    @property
+    def base(self) -> int:
+        """Of keys parent * base + word; word v stands for an unknown one."""
+        return self.v + 1
+
+    def keys(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return parent.astype(U64) * U64(self.base) + word.astype(U64)
+
+    def parts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parent = keys // U64(self.base)
+        return parent.astype(np.int64), (keys - parent * U64(self.base)).astype(np.int64)
+
+    def room_for(self, parents: int) -> None:
+        if parents * self.base >= 1 << 63:
+            raise OverflowError(f"{parents} contexts of {self.v} words do not fit 63 bits")
+
 
 @lru_cache(4096)
 def opened(path: str) -> dict[str, np.ndarray]:
     return elias_fano.load(path)
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """The counts in as few bytes each as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
 def word_file(h: np.ndarray, files: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(files) >> U64(32)).astype(np.int64)
 
@@ -121,22 +142,23 @@ def look_up(m: Model, n: int, parent: np.ndarray, word: np.ndarray) -> tuple[np.
     Negative parents or words have no node, and negative parents weigh nothing."""
     node, prob, back = np.full(len(parent), -1, np.int64), np.zeros(len(parent), np.int64), np.zeros(len(parent), np.int64)
     some = np.flatnonzero(parent >= 0)
-    keys, where = np.unique(parent[some].astype(U64) << U64(32) | np.where(word[some] >= 0, word[some], 0xFFFFFFFF).astype(U64), return_inverse=True)
-    level, own = m.levels[n - 2], (keys >> U64(32)).astype(np.int64)
+    keys, where = np.unique(m.keys(parent[some], np.where(word[some] >= 0, word[some], m.v)), return_inverse=True)
+    level, (own, last) = m.levels[n - 2], m.parts(keys)
     k_node, k_prob, k_back = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     for f, at in ranges(np.searchsorted(level.cuts, keys, "right")):
-        held = opened(f"{m.path}/level{n}-{f}")
+        held, weights = opened(f"{m.path}/nodes{n}-{f}"), opened(f"{m.path}/weights{n}-{f}")
         start, words = EliasFano(held, "start"), EliasFano(held, "words")
         low = int(held["low"][0])
-        p, new, where_p = own[at] - low, *np.unique(own[at], return_inverse=True)
-        begin, end = (start.get(new - low + j).astype(np.int64)[where_p] for j in (0, 1))
-        k_back[at] = held["back"][p]
-        w = keys[at] & LOW
-        known = np.flatnonzero((begin < end) & (w < U64(m.v)))
-        i = words.find(p[known].astype(U64) * U64(m.v) + w[known], begin[known], end[known])
+        first = np.flatnonzero(np.diff(own[at], prepend=-1))  # keys are sorted, so parents are
+        many = np.diff(first, append=at.stop - at.start)
+        new = own[at][first] - low
+        begin, end = (np.repeat(start.get(new + j).astype(np.int64), many) for j in (0, 1))
+        k_back[at] = np.repeat(weights["back"][new], many)
+        known = np.flatnonzero((begin < end) & (last[at] < m.v))
+        i = words.find(keys[at][known] - U64(low * m.base), begin[known], end[known])
         hit = i >= 0
         to = at.start + known[hit]
-        k_node[to], k_prob[to] = level.first[f] + i[hit], held["prob"][i[hit]]
+        k_node[to], k_prob[to] = level.first[f] + i[hit], weights["prob"][i[hit]]
     for p, b in level.back.items():
         k_back[own == p] = b
     node[some], prob[some], back[some] = k_node[where], k_prob[where], k_back[where]
@@ -201,7 +223,7 @@ def stats(file: int, counts: np.ndarray, edges: list[int]) -> pa.Table:
     return pa.table([pa.array([file], pa.int32()), pa.array([len(counts)], pa.int64()), pa.array([total], pa.int64()), pa.array([marks.tolist()], pa.list_(pa.int64())), pa.array([edges], pa.list_(pa.int64()))], ["file", "nodes", "mass", "marks", "edges"])
 
 
-def dealt(rows: list, first: np.ndarray, files: int, words: np.ndarray) -> np.ndarray:
+def dealt(rows: list, first: np.ndarray, files: int, words: np.ndarray, base: int) -> np.ndarray:
     """Cuts of the order (parent, word) into files of about equal counts. rows: the parents'
     stats; words: word ids at equal steps of their counts. A parent that fills several files is cut by words."""
     at = np.concatenate([[0], *[first[r["file"]] + np.array(r["marks"], np.int64) for r in rows if r["marks"]]]).astype(np.int64)
@@ -211,16 +233,17 @@ def dealt(rows: list, first: np.ndarray, files: int, words: np.ndarray) -> np.nd
     parents, n = np.unique(at[np.minimum(i, len(at) - 1)], return_counts=True)
     cuts = []
     for p, k in zip(parents.tolist(), n.tolist(), strict=True):
-        cuts.append(p << 32)
-        cuts += [p << 32 | int(words[len(words) * j // k]) for j in range(1, k)]
+        cuts.append(p * base)
+        cuts += [p * base + int(words[len(words) * j // k]) for j in range(1, k)]
     return np.unique(np.array(cuts, U64))
 
 
 def learn(docs: DataFrame, text: str = "text", order: int = ORDER, least: int = LEAST) -> Model:
     spark = docs.sparkSession
     folder = shared.local(shared.folder(spark, "ngrams"))
-    files = shared.partitions(spark)
     docs = docs.select(text)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = max(shared.partitions(spark), min(1 << 16, -(-size // FILE_BYTES)))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[np.ndarray]:
@@ -232,7 +255,7 @@ def learn(docs: DataFrame, text: str = "text", order: int = ORDER, least: int =
 
     def keep_words(part: pa.Table) -> pa.Table:
         f, keys, counts = gathered(part)
-        elias_fano.save(f"{folder}/words-{f}", {"hash": keys, "count": counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64)})
+        elias_fano.save(f"{folder}/words-{f}", {"hash": keys, "count": narrow(counts)})
         return stats(f, counts, [])
 
     rows = sorted(docs.mapInArrow(count_words, "file int, keys binary, counts binary").groupBy("file").applyInArrow(keep_words, STATS).collect(), key=lambda r: r["file"])
@@ -244,7 +267,8 @@ def learn(docs: DataFrame, text: str = "text", order: int = ORDER, least: int =
     parents = m.v
     for n in range(2, order + 1):
         files = max(shared.partitions(spark), -(-m.n // FILE_TOKENS))
-        cuts = dealt(rows, first, files, words)
+        m.room_for(parents)
+        cuts = dealt(rows, first, files, words, m.base)
         rows, first, level = grow(docs, m, n, cuts, parents, text, least)
         m = m._replace(levels=(*m.levels, level))
         parents = int(sum(r["nodes"] for r in rows))
@@ -281,15 +305,28 @@ def grow(docs: DataFrame, m: Model, n: int, cuts: np.ndarray, parents: int, text
                     node[bounds[:-1]] = -1
                     node[here < 0] = -1  # a kept n-gram has a kept end
                 ok = node >= 0
-                yield node[ok].astype(U64) << U64(32) | word[ok].astype(U64)
+                yield m.keys(node[ok], word[ok])
 
         return tally(found(), lambda k: np.searchsorted(cuts, k, "right"))
 
+    def span_of(f: int) -> tuple[int, int]:
+        """The parents that a file may have nodes of."""
+        low = int(cuts[f - 1]) // m.base if f else 0
+        return low, min(parents, int(cuts[f]) // m.base + 1) if f < len(cuts) else parents
+
+    def put_nodes(f: int, keys: np.ndarray, counts: np.ndarray) -> None:
+        low, high = span_of(f)
+        size = np.bincount(m.parts(keys)[0] - low, minlength=high - low)
+        start = elias_fano.encode(np.concatenate([[0], np.cumsum(size)]).astype(U64), len(keys) + 1)
+        words = elias_fano.encode(keys - U64(low * m.base), max(1, high - low) * m.base)
+        elias_fano.save(f"{folder}/nodes{n}-{f}", {f"start.{a}": v for a, v in start.items()} | {f"words.{a}": v for a, v in words.items()} | {"low": np.array([low])})
+        elias_fano.save(f"{folder}/counts{n}-{f}", {"count": narrow(counts)})
+
     def keep(part: pa.Table) -> pa.Table:
         f, keys, counts = gathered(part)
         keys, counts = keys[counts >= least], counts[counts >= least]
-        elias_fano.save(f"{folder}/counts{n}-{f}", {"key": keys, "count": counts})
-        own, edges = keys >> U64(32), []
+        put_nodes(f, keys, counts)
+        own, edges = m.parts(keys)[0], []
         for p in {int(own[0]), int(own[-1])} if len(own) else ():
             edges += [p, int((own == p).sum()), int(counts[own == p].sum())]
         return stats(f, counts, edges)
@@ -299,7 +336,7 @@ def grow(docs: DataFrame, m: Model, n: int, cuts: np.ndarray, parents: int, text
     first = starts(rows, files)
     have = {r["file"] for r in rows}
     # a parent that a cut goes through: what its files kept, together
-    shares: dict[int, list[int]] = {int(c) >> 32: [0, 0] for c in cuts if int(c) & 0xFFFFFFFF}
+    shares: dict[int, list[int]] = {int(c) // m.base: [0, 0] for c in cuts if int(c) % m.base}
     for r in rows:
         for p, k, c in zip(*[iter(r["edges"])] * 3, strict=True):
             if p in shares:
@@ -311,24 +348,19 @@ def grow(docs: DataFrame, m: Model, n: int, cuts: np.ndarray, parents: int, text
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f in b.column("id").to_pylist():
-                low = int(cuts[f - 1]) >> 32 if f else 0
-                high = min(parents, (int(cuts[f]) >> 32) + 1) if f < len(cuts) else parents
-                held = elias_fano.load(f"{folder}/counts{n}-{f}") if f in have else {"key": np.zeros(0, U64), "count": np.zeros(0, np.int64)}
-                own, word, counts = (held["key"] >> U64(32)).astype(np.int64), (held["key"] & LOW).astype(np.int64), held["count"]
-                span = np.arange(low, high)
-                total = np.maximum(parent_counts(m, n, span), 1)
-                k, c = np.bincount(own - low, minlength=len(span)), np.bincount(own - low, counts, len(span))
+                low, high = span_of(f)
+                if f not in have:
+                    put_nodes(f, np.zeros(0, U64), np.zeros(0, np.int64))
+                own, word = m.parts(node_keys(folder, n, f, m.base))
+                counts = elias_fano.load(f"{folder}/counts{n}-{f}")["count"].astype(np.int64)
+                total = np.maximum(parent_counts(m, n, np.arange(low, high)), 1)
+                k, c = np.bincount(own - low, minlength=high - low), np.bincount(own - low, counts, high - low)
                 lam = (total - c + DISCOUNT * k) / total
                 for p, w in weight.items():
                     if low <= p < high:
                         lam[p - low] = w
                 prob = (counts - DISCOUNT) / total[own - low] + lam[own - low] * lower(m, n, own, word)
-                start = elias_fano.encode(np.concatenate([[0], np.cumsum(k)]).astype(U64), len(own) + 1)
-                words = elias_fano.encode((own - low).astype(U64) * U64(m.v) + word.astype(U64), max(1, len(span)) * max(1, m.v))
-                arrays = {f"start.{a}": v for a, v in start.items()} | {f"words.{a}": v for a, v in words.items()}
-                elias_fano.save(f"{folder}/level{n}-{f}", arrays | {"low": np.array([low]), "prob": quantise(prob), "back": quantise(lam)})
-                if f not in have:
-                    elias_fano.save(f"{folder}/counts{n}-{f}", held)
+                elias_fano.save(f"{folder}/weights{n}-{f}", {"prob": quantise(prob), "back": quantise(lam)})
             yield b
 
     spark.range(0, files, 1, min(files, 4 * shared.partitions(spark))).mapInArrow(write, "id long").count()
@@ -340,11 +372,20 @@ def parent_counts(m: Model, n: int, parents: np.ndarray) -> np.ndarray:
     return word_counts(m, parents) if n == 2 else node_values(m, n - 1, parents, "count")
 
 
+def node_keys(path: str, n: int, f: int, base: int, at: np.ndarray | None = None) -> np.ndarray:
+    """parent * base + word of nodes of a file, by their places in it, or of all."""
+    held = elias_fano.load(f"{path}/nodes{n}-{f}")
+    words = EliasFano(held, "words")
+    return words.get(np.arange(words.n) if at is None else at) + U64(int(held["low"][0]) * base)
+
+
 def node_values(m: Model, n: int, nodes: np.ndarray, name: str) -> np.ndarray:
-    out, first = np.zeros(len(nodes), U64), m.levels[n - 2].first
+    """Counts, or last words, of sorted nodes."""
+    out, first = np.zeros(len(nodes), np.int64), m.levels[n - 2].first
     for f, at in ranges(np.searchsorted(first, nodes, "right") - 1):
-        out[at] = elias_fano.load(f"{m.path}/counts{n}-{f}")[name][nodes[at] - first[f]]
-    return out.astype(np.int64) if name == "count" else out
+        here = nodes[at] - first[f]
+        out[at] = elias_fano.load(f"{m.path}/counts{n}-{f}")["count"][here] if name == "count" else m.parts(node_keys(m.path, n, f, m.base, here))[1]
+    return out
 
 
 def lower(m: Model, n: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -353,7 +394,7 @@ def lower(m: Model, n: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         ids, back = np.unique(word, return_inverse=True)
         return ((word_counts(m, ids) + 1) / (m.n + m.v + 1))[back]
     ids, back = np.unique(parent, return_inverse=True)
-    shorter = (node_values(m, n - 1, ids, "key") & LOW).astype(np.int64)[back]  # of (a, b): b
+    shorter = node_values(m, n - 1, ids, "word")[back]  # of (a, b): b
     if n > 3:
         raise ValueError("at most three words")
     return 10 ** (-score_from(m, 2, [shorter], word) / STEP)
