@@ -16,6 +16,8 @@ import numpy as np
 from .words import U64
 
 _STEP = 4  # words of the bit vector to a count
+_PAIRS, _FOURS, _BYTES, _ONES, _TOPS = (U64(x * 0x0101010101010101) for x in (0x55, 0x33, 0x0F, 0x01, 0x80))
+_SELECT = np.array([([b for b in range(8) if x >> b & 1] + [0] * 8)[:8] for x in range(256)], np.int64).ravel()  # the k-th one of a byte
 
 
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -54,25 +56,35 @@ class EliasFano:
             rest = np.where(on, rest - c, rest)
             word = word + on
         w = ~self.upper[word] if flip else self.upper[word]
-        out = word * 64
-        for half in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(w & U64((1 << half) - 1)).astype(np.int64)
-            on = rest >= c
-            rest = np.where(on, rest - c, rest)
-            w = np.where(on, w >> U64(half), w)
-            out = out + on * half
-        return out
+        # ones of each byte, summed up to it; the byte is where that passes rest
+        sums = w - ((w >> U64(1)) & _PAIRS)
+        sums = (sums & _FOURS) + ((sums >> U64(2)) & _FOURS)
+        sums = ((sums + (sums >> U64(4))) & _BYTES) * _ONES
+        passed = (((rest.astype(U64) * _ONES) | _TOPS) - sums) & _TOPS
+        byte = np.bitwise_count(passed).astype(np.int64) << 3
+        before = (sums << U64(8) >> byte.astype(U64) & U64(255)).astype(np.int64)
+        return word * 64 + byte + _SELECT[(w >> byte.astype(U64) & U64(255)).astype(np.int64) << 3 | rest - before]
+
+    def run_after(self, at: np.ndarray) -> np.ndarray:
+        """How many ones follow the bit places at, up to the next zero; 64 if it is farther."""
+        word, shift = (at + 1) >> 6, ((at + 1) & 63).astype(U64)
+        more = np.where(word + 1 < len(self.upper), self.upper[np.minimum(word + 1, len(self.upper) - 1)], U64(0))
+        rest = ~(self.upper[word] >> shift | (more << U64(1)) << (U64(63) - shift))
+        return np.bitwise_count((rest & (~rest + U64(1))) - U64(1)).astype(np.int64)
 
     def zero(self, k: np.ndarray) -> np.ndarray:
         block = np.searchsorted(self.zeros, k, "right") - 1
         return self._place(block, k - self.zeros[block], True)
 
-    def get(self, i: np.ndarray) -> np.ndarray:
-        """Values at places i."""
+    def one(self, i: np.ndarray) -> np.ndarray:
+        """Bit places of the i-th ones."""
         ones = np.arange(len(self.zeros)) * 64 * _STEP - self.zeros
         block = np.searchsorted(ones, i, "right") - 1
-        high = self._place(block, i - ones[block], False) - i
-        return high.astype(U64) << U64(self.low) | self.small(i)
+        return self._place(block, i - ones[block], False)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """Values at places i."""
+        return (self.one(i) - i).astype(U64) << U64(self.low) | self.small(i)
 
     def small(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -86,8 +98,13 @@ class EliasFano:
         """Place of each value within [begin, end), or -1: a successor search in the
         values that share its high part."""
         high = (value >> U64(self.low)).astype(np.int64)
-        left = np.where(high > 0, self.zero(np.maximum(high - 1, 0)) - high + 1, 0)
-        right = np.minimum(self.zero(high) - high, end)
+        zero = np.where(high > 0, self.zero(np.maximum(high - 1, 0)), -1)
+        left = zero - high + 1
+        right = left + self.run_after(zero)
+        far = np.flatnonzero(right == left + 64)
+        if len(far):
+            right[far] = self.zero(high[far]) - high[far]
+        right = np.minimum(right, end)
         left, stop = np.maximum(left, begin), np.maximum(right, begin)
         want = value & U64((1 << self.low) - 1)
         a, b = left.copy(), np.maximum(stop, left)

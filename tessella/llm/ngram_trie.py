@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import glob
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -258,7 +258,7 @@ def learn(docs: DataFrame, text: str = "text", order: int = ORDER, least: int =
         elias_fano.save(f"{folder}/words-{f}", {"hash": keys, "count": narrow(counts)})
         return stats(f, counts, [])
 
-    rows = sorted(docs.mapInArrow(count_words, "file int, keys binary, counts binary").groupBy("file").applyInArrow(keep_words, STATS).collect(), key=lambda r: r["file"])
+    rows = collected(docs, count_words, keep_words)
     for f in set(range(files)) - {r["file"] for r in rows}:
         elias_fano.save(f"{folder}/words-{f}", {"hash": np.zeros(0, U64), "count": np.zeros(0, np.uint32)})
     first = starts(rows, files)
@@ -277,6 +277,13 @@ def learn(docs: DataFrame, text: str = "text", order: int = ORDER, least: int =
     return m
 
 
+def collected(docs: DataFrame, count: Callable, keep: Callable) -> list:
+    """A row of stats for each file, once what count makes of all documents has met there."""
+    with shared.settings(docs.sparkSession, shared.TIDY):
+        rows = docs.mapInArrow(count, "file int, keys binary, counts binary").groupBy("file").applyInArrow(keep, STATS).collect()
+    return sorted(rows, key=lambda r: r["file"])
+
+
 def starts(rows: list, files: int) -> np.ndarray:
     n = np.zeros(files + 1, np.int64)
     for r in rows:
@@ -331,7 +338,7 @@ def grow(docs: DataFrame, m: Model, n: int, cuts: np.ndarray, parents: int, text
             edges += [p, int((own == p).sum()), int(counts[own == p].sum())]
         return stats(f, counts, edges)
 
-    rows = sorted(docs.mapInArrow(count, "file int, keys binary, counts binary").groupBy("file").applyInArrow(keep, STATS).collect(), key=lambda r: r["file"])
+    rows = collected(docs, count, keep)
     files = len(cuts) + 1
     first = starts(rows, files)
     have = {r["file"] for r in rows}

@@ -13,8 +13,9 @@ from urllib.request import url2pathname
 from pyspark.sql import DataFrame, SparkSession
 
 
-# while a table is written: shuffle files go with the query, and rows of long values come to Python in small batches
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+# TIDY: shuffle files go with the query. While a table is written besides: rows of long values come to Python in small batches
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+WRITING = TIDY | {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 

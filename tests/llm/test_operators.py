@@ -297,3 +297,14 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "shingle_join", "path_dedup", "best_fit"]
+
+
+def test_elias_fano_runs():
+    """Many values that share their high part, and parts without any."""
+    for values, universe in ((np.arange(1000), 1000), (np.arange(700) + 5000, 1 << 30), (np.repeat(7, 400), 9), (np.concatenate([np.arange(300), np.arange(300) + 10**9]), 2 * 10**9)):
+        v = values.astype(np.uint64)
+        e = elias_fano.EliasFano({f"a.{k}": x for k, x in elias_fano.encode(v, universe).items()}, "a")
+        assert (e.get(np.arange(len(v))) == v).all()
+        distinct, first = np.unique(v, return_index=True)
+        got = e.find(distinct, np.zeros(len(distinct), np.int64), np.full(len(distinct), len(v)))
+        assert (got == first).all()
