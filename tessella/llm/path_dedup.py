@@ -1,25 +1,33 @@
-"""Substring dedup on a compacted de Bruijn graph of word windows.
-
-Windows of 20 words are the edges of a de Bruijn graph over words. A window's
-anchor is its least 6-word run by hash, so equal windows have equal anchors at
-equal places, and consecutive windows with one anchor are a path of the graph
-that is handled as a single row: about an eighth as many rows as windows.
-1. Paths meet by anchor. A path whose whole content occurs earlier is removed at
-   once, from its source coordinates. An anchor with one content does not branch
-   and is thereby done.
-2. The paths of branching anchors are taken apart into their windows, which meet
-   by window. A window that also starts earlier is removed.
-Spans of removed windows are put together by document and applied to the text.
-
-Earlier is a smaller id, or a smaller start in the same document. Copies inside
-a batch are settled in the batch: only the first of each content leaves it, and
-the others are sent on under keys of their own, so a passage that a third of
-all documents share is a few rows a batch when paths meet. All windows of all
+"""Substring dedup by compaction of the de Bruijn graph of repeated word windows.
+
+The windows of 20 words are the edges of a graph whose nodes are runs of 19.
+1. Local compaction: a window's anchor is its least 6-word run by hash, so equal
+   windows have equal anchors at equal places, and consecutive windows with one
+   anchor are a path that stays together as one row, about an eighth as many
+   rows as windows. Paths meet by anchor, and those that occur again are kept.
+   Paths of an anchor with several contents are also taken apart into windows,
+   which meet by window. Edges that occur once leave here.
+2. Compaction by joins: an edge of the repeated graph (a path or a window) and
+   its successor are one where the node between them does not branch: every
+   occurrence of the first is followed by the second, and every one of the
+   second follows the first. Chains are joined by pointer doubling, in a number
+   of rounds that grows with the logarithm of the longest chain.
+3. The source coordinates of all occurrences of a compacted path verify it: what
+   lies end to end in its document is one span, and all but the earliest
+   occurrence are removed.
+Spans are put together by document and applied to the text.
+
+Earlier is a smaller id, or a smaller start in the same document. A task sends
+two occurrences of an edge to where it meets; further ones, which are surely
+later, are sent on under keys of their own, so a passage that a third of all
+documents share is a few rows a task when edges meet. All windows of all
 documents take part; nothing is collected.
 
 Null texts have no words. Rows without an id lose nothing and count for nobody.
 Rows that share an id are one document: what is removed from one goes at the
-same places from the others. Empty tables give empty results.
+same places from the others, and what stands at one place is no copy of itself.
+Texts of any length and columns of any name are fine. Empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -38,10 +46,13 @@ from .words import U64, Words, hashes, inside, pieces, runs, split, splitmix
 WINDOW, ANCHOR = 20, 6
 CELLS = 24
 _PLACE = U64((1 << 26) - 1)
+PART = 1 << 25  # words that are handled together: their places fit those bits
 
 
 def least_runs(g: np.ndarray, width: int) -> np.ndarray:
     """For each window of `width` values the place of its least one (by the upper bits), the first of equals."""
+    if len(g) > PART + width:
+        return np.concatenate([least_runs(g[i : i + PART + width - 1], width) + i for i in range(0, len(g) - width + 1, PART)])
     key = g & ~_PLACE | np.arange(len(g), dtype=U64)
     size = 1
     while 2 * size <= width:
@@ -91,63 +102,129 @@ def firsts(*keys: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def own_keys(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return splitmix(splitmix(ids.astype(np.int64).view(U64)) + start.astype(U64))
+class Sent:
+    """What a task has sent of each edge, in a table of fixed size that newer edges overwrite."""
+
+    def __init__(self, slots: int = 1 << 18):
+        self.key, self.rows = np.zeros(slots, U64), np.zeros(slots, np.int64)
+        self.id, self.start = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
+
+    def batch(self, key: np.ndarray, content: np.ndarray, ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """A row for each place of an edge. One with two places before it that were sent is surely
+        later and needs no meeting; it goes under a key of its own."""
+        mixed = splitmix(content ^ splitmix(key))
+        order = np.lexsort((start, ids, mixed))
+        k, i, s = mixed[order], ids[order].astype(np.int64), start[order].astype(np.int64)
+        same = np.zeros(len(k), bool)
+        same[1:] = k[1:] == k[:-1]
+        once = ~same
+        once[1:] |= (i[1:] != i[:-1]) | (s[1:] != s[:-1])
+        order, k, i, s, new = order[once], k[once], i[once], s[once], ~same[once]
+        head = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        slot = (k & U64(len(self.key) - 1)).astype(np.int64)
+        held = np.where(self.key[slot] == k, self.rows[slot], 0)
+        above = (i > self.id[slot]) | (i == self.id[slot]) & (s > self.start[slot])
+        sure = np.arange(len(k)) - head[group] + np.where(above, held, 0) >= 2
+        sent = np.add.reduceat(~sure, head) if len(head) else head
+        last = head + np.maximum(sent, 1) - 1  # sure rows come last
+        low = held[head] < 2
+        at = slot[head]
+        up = low & (sent > 0) & ((held[head] == 0) | above[last])
+        self.id[at[up]], self.start[at[up]] = i[last[up]], s[last[up]]
+        self.key[at[low]], self.rows[at[low]] = k[head[low]], np.minimum(2, held[head[low]] + sent[low])
+        key, content, n = key[order], content[order], n[order]
+        key = np.where(sure, splitmix(splitmix(i.view(U64)) + s.astype(U64)), key)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(i), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(sure)], ["key", "content", "id", "start", "n", "sure"])
 
 
 ROWS = "key long, content long, id long, start int, n int, sure boolean"
 
 
-def batch(key: np.ndarray, content: np.ndarray, ids: np.ndarray, start: np.ndarray, n: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
-    """A row each; what is not first in its batch is surely removed and needs no meeting."""
-    key = np.where(first, key, own_keys(ids, start))
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(~first)], ["key", "content", "id", "start", "n", "sure"])
-
-
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """id, start, n: windows start .. start + n - 1 of the document also start earlier."""
-    docs = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+def repeated(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """layer, content, id, start, n, late: all places of paths (layer 0) that occur again, and of
+    windows (layer 1) of anchors with several contents that do. docs: id, text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Paths]]:
         for b in pieces(batches, "text"):
             yield b.column("id").to_numpy(), Paths(split(b.column("text")), window, anchor)
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = Sent()
         for ids, p in cut(batches):
-            own = ids[p.doc]
-            yield batch(p.anchor, p.content, own, p.start, p.count, firsts(p.content, p.anchor, ids=own, start=p.start))
+            yield sent.batch(p.anchor, p.content, ids[p.doc], p.start, p.count)
 
     place = F.struct("id", "start")
     same, met = Window.partitionBy("key", "content"), Window.partitionBy("key")
-    rows = docs.mapInArrow(paths, ROWS)
-    rows = rows.withColumn("first", F.min(place).over(same)).withColumns({"c0": F.min("content").over(met), "c1": F.max("content").over(met)})
-    late = F.col("sure") | (F.col("first") < place)
-    rows = shared.table(rows.where(late | (F.col("c0") != F.col("c1"))).select("key", "id", "start", "n", late.alias("late")), "paths")
-    whole = rows.where("late").select("id", "start", "n")
+    ends = {"first": F.min(place).over(same), "last": F.max(place).over(same)}
+    late, again = F.col("sure") | (F.col("first") < place), F.col("sure") | (F.col("first") < F.col("last"))
+    rows = docs.mapInArrow(paths, ROWS).withColumns(ends).withColumns({"c0": F.min("content").over(met), "c1": F.max("content").over(met)})
+    rows = rows.select("key", "content", "id", "start", "n", late.alias("late"), again.alias("again"), (F.col("c0") != F.col("c1")).alias("branching"))
+    rows = shared.table(rows.where("again or branching"), "paths")
 
-    # every path of a branching anchor, and of anchors that share its cell
-    branching = rows.where(~F.col("late")).select("key").distinct()
-    cells = docs.sparkSession.sparkContext.broadcast(sketches.gather(branching, lambda b: iter([b.column("key").to_numpy().view(U64)]), bits=CELLS, top=1))
+    # every path of an anchor with several contents, and of anchors that share its cell
+    branching = rows.where("branching").select("key").distinct()
+    cells = docs.sparkSession.sparkContext.broadcast(sketches.gather(branching, lambda b: iter([b.column("key").to_numpy().view(U64)]), bits=CELLS))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = Sent()
         for ids, p in cut(batches):
             on = cells.value[sketches.cells(p.anchor, CELLS)] > 0
             own = ids[p.doc]
-            on[on] = firsts(p.content[on], p.anchor[on], ids=own[on], start=p.start[on])  # later copies are in `whole`
+            on[on] = firsts(p.content[on], p.anchor[on], ids=own[on], start=p.start[on])  # later copies are paths that occur again
             n = p.count[on]
             step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            at, h_ids, start = np.repeat(p.flat[on], n) + step, np.repeat(own[on], n), np.repeat(p.start[on], n) + step
-            h = p.windows[at]
-            yield batch(h, h, h_ids, start, np.ones(len(h), np.int32), firsts(h, ids=h_ids, start=start))
+            h = p.windows[np.repeat(p.flat[on], n) + step]
+            yield sent.batch(h, h, np.repeat(own[on], n), np.repeat(p.start[on], n) + step, np.ones(len(h), np.int32))
+
+    single = docs.mapInArrow(windows, ROWS).withColumns(ends).where(again)
+    columns = ["content", "id", "start", "n"]
+    whole = rows.where("again").select(F.lit(0).alias("layer"), *columns, "late")
+    return whole.unionByName(single.select(F.lit(1).alias("layer"), *columns, late.alias("late")))
+
+
+def compacted(places: DataFrame) -> DataFrame:
+    """content, head, ahead: the first edge of each edge's chain, and how many windows it lies behind that one's start."""
+    w = Window.partitionBy("layer", "id").orderBy("start", "content")
+    step = lambda f, c: f(c).over(w)
+    beside = places.withColumns({
+        "next": F.when(step(F.lead, "start") == F.col("start") + F.col("n"), step(F.lead, "content")),
+        "prev": F.when(step(F.lag, "start") + step(F.lag, "n") == F.col("start"), step(F.lag, "content")),
+    })
+    only = lambda c: F.when((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.min(c)).alias(c)
+    edges = shared.table(beside.groupBy("content").agg(F.first("n").alias("n"), only("next"), only("prev")), "edges")
+    before = edges.select(F.col("content").alias("prev"), F.col("next").alias("content"), F.col("n").alias("ahead"))
+    # the node between prev and content has one edge in and one out, and no occurrence begins or ends there
+    state = edges.select("content", "prev").join(before, ["content", "prev"], "left")
+    state = state.select("content", F.when(F.col("ahead").isNull(), F.col("content")).otherwise(F.col("prev")).alias("head"), F.coalesce("ahead", F.lit(0)).cast("long").alias("ahead"), F.col("ahead").isNull().alias("done"))
+    state = shared.table(state, "chains")
+    while not state.where("not done").isEmpty():
+        of = state.select(F.col("content").alias("head"), F.col("head").alias("_head"), F.col("ahead").alias("_ahead"), F.col("done").alias("_done"))
+        on = state.where("not done").drop("done").join(of, "head").select("content", F.col("_head").alias("head"), (F.col("ahead") + F.col("_ahead")).alias("ahead"), F.col("_done").alias("done"))
+        last, state = state, shared.table(state.where("done").unionByName(on), "chains")
+        shared.drop(last)
+    return state.select("content", "head", "ahead")
+
 
-    edges = docs.mapInArrow(windows, ROWS).withColumn("first", F.min(place).over(met))
-    return whole.unionByName(edges.where(F.col("sure") | (F.col("first") < place)).select("id", "start", "n"))
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """id, start, n: windows start .. start + n - 1 of the document also start earlier."""
+    docs = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    # rows that are repeated in several tasks have one place
+    places = repeated(docs, window, anchor).repartition("layer", "id").dropDuplicates(["layer", "id", "start", "content"])
+    places = shared.table(places, "places")
+    of = places.where("late").join(compacted(places), "content").groupBy("head", "id", (F.col("start") - F.col("ahead")).alias("origin"))
+    of = of.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.sum("n").alias("sum"), F.collect_list(F.struct("start", "n")).alias("parts"))
+    one = F.array(F.struct("start", F.col("sum").cast("int").alias("n")))
+    return of.select("id", F.explode(F.when(F.col("end") - F.col("start") == F.col("sum"), one).otherwise(F.col("parts"))).alias("s")).select("id", "s.start", "s.n")
 
 
-def without(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with _spans: [start, n, ...] of the removed windows, or null."""
-    found = spans(docs, key, text, window).groupBy(F.col("id").alias("_span_id")).agg(F.flatten(F.collect_list(F.array("start", "n"))).alias("_spans"))
-    return docs.join(found, F.col(key).cast("long") == F.col("_span_id"), "left").drop("_span_id")
+def without(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: [start, n, ...] of the removed windows, or null."""
+    name = "_spans"
+    while name in docs.columns or f"{name}_id" in docs.columns:
+        name += "_"
+    found = spans(docs, key, text, window).groupBy(F.col("id").alias(f"{name}_id")).agg(F.flatten(F.collect_list(F.array("start", "n"))).alias(name))
+    return docs.join(found, F.col(key).cast("long") == F.col(f"{name}_id"), "left").drop(f"{name}_id"), name
 
 
 def kept(texts: pa.Array, removed: pa.Array, window: int = WINDOW) -> Iterator[tuple[int, int, bytes]]:
@@ -178,10 +255,11 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, text):
-            got = [(n, m, hashlib.sha256(x).hexdigest()) for n, m, x in kept(b.column(text), b.column("_spans"), window)]
+            got = [(n, m, hashlib.sha256(x).hexdigest()) for n, m, x in kept(b.column(text), b.column(name), window)]
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.string())], [key, "n_words", "n_removed", "kept_sha256"])
 
-    return without(docs.select(key, text), key, text, window).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+    rows, name = without(docs.select(key, text), key, text, window)
+    return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -191,7 +269,8 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, text):
             old = b.column(text)
-            new = [x.decode() if m else y.as_py() for (_, m, x), y in zip(kept(old, b.column("_spans"), window), old, strict=True)]
+            new = [x.decode() if m else y.as_py() for (_, m, x), y in zip(kept(old, b.column(name), window), old, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, old.type) if c == text else b.column(c) for c in columns], columns)
 
-    return without(docs, key, text, window).select(*columns, "_spans").mapInArrow(run, schema)
+    rows, name = without(docs, key, text, window)
+    return rows.select(*columns, name).mapInArrow(run, schema)

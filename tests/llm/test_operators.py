@@ -308,3 +308,40 @@ def test_elias_fano_runs():
         distinct, first = np.unique(v, return_index=True)
         got = e.find(distinct, np.zeros(len(distinct), np.int64), np.full(len(distinct), len(v)))
         assert (got == first).all()
+
+
+def brute_repeats(rows):
+    seen, want = {}, {}
+    for i, t in sorted(set(rows)):
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            x = tuple(w[k : k + 20])
+            if seen.setdefault(x, (i, k)) != (i, k):
+                gone[k : k + 20] = [True] * 20
+        want[i] = (len(w), sum(gone))
+    return want
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_path_dedup_chains(spark, parts, monkeypatch):
+    """Passages in every document, cut differently, nested, running on, and repeated rows."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        a = rng.randint(0, 300)
+        own = [f"d{i}x{k}" for k in range(rng.randint(0, 30))]
+        rows.append((i, " ".join(own + passage[a : a + rng.randint(20, 100)] + own[:7] + (passage if i % 7 == 0 else []))))
+    rows += [(100, "na " * 90), (101, "na " * 50), (102, " ".join(["x y"] * 40))] + [(200, " ".join(passage))] * 3
+    monkeypatch.setattr(path_dedup.Sent.__init__, "__defaults__", (4,))  # newer edges overwrite
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, _spans string, _spans_id long").repartition(parts)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in path_dedup.digests(df).collect()} == brute_repeats(rows)
+    clean = path_dedup.clean(df)
+    assert clean.columns == df.columns and clean.count() == len(rows) and {r["_spans"] for r in clean.collect()} == {"c"}
+
+
+def test_least_runs_in_parts(monkeypatch):
+    g = np.random.default_rng(3).integers(0, 1 << 62, 100).astype(np.uint64)
+    monkeypatch.setattr(path_dedup, "PART", 9)
+    assert path_dedup.least_runs(g, 15).tolist() == [i + int(g[i : i + 15].argmin()) for i in range(86)]
