@@ -91,27 +91,16 @@ class Paths:
         self.start = self.flat - words.docs[self.doc]
 
 
-def firsts(*keys: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which rows are the earliest of their keys; repeated rows at one place share that."""
-    order = np.lexsort((start, ids, *keys))
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    out = np.zeros(len(order), bool)
-    out[order] = (ids[order] == ids[head]) & (start[order] == start[head])
-    return out
-
-
 class Sent:
-    """What a task has sent of each edge, in a table of fixed size that newer edges overwrite."""
+    """How many places of each edge (up to `most`) a task has sent, in a table of fixed size that newer edges overwrite."""
 
-    def __init__(self, slots: int = 1 << 18):
+    def __init__(self, most: int = 2, slots: int = 1 << 18):
+        self.most = most
         self.key, self.rows = np.zeros(slots, U64), np.zeros(slots, np.int64)
         self.id, self.start = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
 
-    def batch(self, key: np.ndarray, content: np.ndarray, ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        """A row for each place of an edge. One with two places before it that were sent is surely
-        later and needs no meeting; it goes under a key of its own."""
+    def places(self, key: np.ndarray, content: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows, one for each place of an edge, and which of them have `most` places before them that were sent."""
         mixed = splitmix(content ^ splitmix(key))
         order = np.lexsort((start, ids, mixed))
         k, i, s = mixed[order], ids[order].astype(np.int64), start[order].astype(np.int64)
@@ -125,15 +114,21 @@ class Sent:
         slot = (k & U64(len(self.key) - 1)).astype(np.int64)
         held = np.where(self.key[slot] == k, self.rows[slot], 0)
         above = (i > self.id[slot]) | (i == self.id[slot]) & (s > self.start[slot])
-        sure = np.arange(len(k)) - head[group] + np.where(above, held, 0) >= 2
+        sure = np.arange(len(k)) - head[group] + np.where(above, held, 0) >= self.most
         sent = np.add.reduceat(~sure, head) if len(head) else head
         last = head + np.maximum(sent, 1) - 1  # sure rows come last
-        low = held[head] < 2
+        low = held[head] < self.most
         at = slot[head]
         up = low & (sent > 0) & ((held[head] == 0) | above[last])
         self.id[at[up]], self.start[at[up]] = i[last[up]], s[last[up]]
-        self.key[at[low]], self.rows[at[low]] = k[head[low]], np.minimum(2, held[head[low]] + sent[low])
-        key, content, n = key[order], content[order], n[order]
+        self.key[at[low]], self.rows[at[low]] = k[head[low]], np.minimum(self.most, held[head[low]] + sent[low])
+        return order, sure
+
+    def batch(self, key: np.ndarray, content: np.ndarray, ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """A row for each place of an edge. One with two places before it that were sent is surely
+        later and needs no meeting; it goes under a key of its own."""
+        order, sure = self.places(key, content, ids, start)
+        key, content, i, s, n = key[order], content[order], ids[order].astype(np.int64), start[order].astype(np.int64), n[order]
         key = np.where(sure, splitmix(splitmix(i.view(U64)) + s.astype(U64)), key)
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(i), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(sure)], ["key", "content", "id", "start", "n", "sure"])
 
@@ -167,11 +162,12 @@ def repeated(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     cells = docs.sparkSession.sparkContext.broadcast(sketches.gather(branching, lambda b: iter([b.column("key").to_numpy().view(U64)]), bits=CELLS))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = Sent()
+        taken, sent = Sent(most=1), Sent()
         for ids, p in cut(batches):
-            on = cells.value[sketches.cells(p.anchor, CELLS)] > 0
+            on = np.flatnonzero(cells.value[sketches.cells(p.anchor, CELLS)] > 0)
             own = ids[p.doc]
-            on[on] = firsts(p.content[on], p.anchor[on], ids=own[on], start=p.start[on])  # later copies are paths that occur again
+            order, later = taken.places(p.anchor[on], p.content[on], own[on], p.start[on])
+            on = on[order[~later]]  # later copies are paths that occur again
             n = p.count[on]
             step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             h = p.windows[np.repeat(p.flat[on], n) + step]

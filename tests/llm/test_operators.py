@@ -334,7 +334,7 @@ def test_path_dedup_chains(spark, parts, monkeypatch):
         own = [f"d{i}x{k}" for k in range(rng.randint(0, 30))]
         rows.append((i, " ".join(own + passage[a : a + rng.randint(20, 100)] + own[:7] + (passage if i % 7 == 0 else []))))
     rows += [(100, "na " * 90), (101, "na " * 50), (102, " ".join(["x y"] * 40))] + [(200, " ".join(passage))] * 3
-    monkeypatch.setattr(path_dedup.Sent.__init__, "__defaults__", (4,))  # newer edges overwrite
+    monkeypatch.setattr(path_dedup.Sent.__init__, "__defaults__", (2, 4))  # newer edges overwrite
     df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, _spans string, _spans_id long").repartition(parts)
     assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in path_dedup.digests(df).collect()} == brute_repeats(rows)
     clean = path_dedup.clean(df)
