@@ -16,7 +16,7 @@ near copies never meet pair by pair:
    leave, each group takes its nearest; what the sets verify gives components;
 2. buckets are expanded to classes, those of one component drop out, and only
    pairs of different components and of like size remain. Buckets of more than
-   HOT rows are split by the second shingle that linked sets have in common.
+   SPLIT rows are split by the second shingle that linked sets have in common.
 Pairs that are never compared are in one component already, so the components
 are those of all links.
 
@@ -50,6 +50,7 @@ from .words import U64, hashes, inside, pieces, release, runs, split, splitmix
 WORDS, SHARE = 5, 80
 PAIRS = 256  # of one x that meet in one place; an x of more is compared in several
 HOT = 256  # rows of a bucket from which on it is dealt under several keys
+SPLIT = 1024  # rows of a bucket of several components from which on it is split by a second shingle
 
 
 def shingle_sets(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -260,7 +261,7 @@ def _alike(docs: DataFrame, key: str, text: str, share: int) -> DataFrame:
     at = buckets.select("tok", "gid", "n", "pos", "parts").join(placed, ["gid", "n"])
     at = by_token(at, {"c0": F.min("c"), "c1": F.max("c"), "size": F.count("*")}).where("c0 < c1")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / share)) + 1e-9).cast("int")  # of linked sets these differ by 1 at most
-    at = shared.table(at.select("tok", "gid", "rep", "n", "pos", "c", band.alias("band"), (F.col("size") > HOT).alias("hot")), "mixed")
+    at = shared.table(at.select("tok", "gid", "rep", "n", "pos", "c", band.alias("band"), (F.col("size") > SPLIT).alias("hot")), "mixed")
 
     def seconds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "prefix", 1 << 20):
@@ -272,9 +273,12 @@ def _alike(docs: DataFrame, key: str, text: str, share: int) -> DataFrame:
     hot = hot.mapInArrow(seconds, "tok long, rep long, n long, pos int, c long, band int, tok2 long")
     cold = at.where("not hot").select("tok", "rep", "n", "pos", "c", "band", F.lit(0).cast("long").alias("tok2"))
     at = cold.unionByName(hot)
-    x, y = (at.select("tok", "tok2", "band", *[F.col(c).alias(f"{c}{s}") for c in ("rep", "n", "pos", "c")]) for s in "xy")
-    wider = y.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))  # meets sets of its own band and of the next lower
-    met = x.join(wider, ["tok", "tok2", "band"]).where((F.col("cx") != F.col("cy")) & enough(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy")))
+    x, y = (at.select("tok", "tok2", F.col("band").alias(f"band{s}"), *[F.col(c).alias(f"{c}{s}") for c in ("rep", "n", "pos", "c")]) for s in "xy")
+    like = (100 * F.col("nx") >= share * F.col("ny")) & (100 * F.col("ny") >= share * F.col("nx"))
+    apart = (F.col("cx") != F.col("cy")) & like & enough(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy"))
+    same = ["tok", "tok2"]
+    met = x.withColumn("band", F.col("bandx")).join(y.withColumn("band", F.col("bandy")), [*same, "band"]).where(apart & (F.col("repx") < F.col("repy")))
+    met = met.unionByName(x.withColumn("band", F.col("bandx") + 1).join(y.withColumn("band", F.col("bandy")), [*same, "band"]).where(apart))
     met = near(met.select(F.least("repx", "repy").alias("x"), F.greatest("repx", "repy").alias("y")).distinct(), maps, share)
     more = verified(docs, met.select("x", "y").distinct(), key, text, share)
     if more.isEmpty():
