@@ -95,3 +95,20 @@ def html_escape(x: Column) -> Column:
 
 def megabytes(size: Column) -> Column:
     return size / 1_048_576
+
+
+def posix(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
+def seconds(milliseconds: Column) -> Column:
+    """Seconds of whole milliseconds given as text; null where it is no number."""
+    return milliseconds.try_cast("int") / 1000.0
+
+
+def track_url(key: Column) -> Column:
+    return F.concat(F.lit("https://open.spotify.com/track/"), key)
+
+
+def thousands(n: Column) -> Column:
+    return F.format_number(n, 0)

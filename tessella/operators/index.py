@@ -6,9 +6,13 @@ steps, upserts and removals give what a full build gives.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -23,9 +27,24 @@ class MissingError(KeyError):
     pass
 
 
+def partial_sums(raw: DataFrame, vector: str = "v") -> DataFrame:
+    """n, sums: the vectors of each task added up, one row a task and width."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = 0, None
+        for b in batches:
+            if b.num_rows:
+                part = kernel.matrix(b.column(0)).sum(0)
+                n, sums = n + b.num_rows, part if sums is None else sums + part
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tolist()], pa.list_(pa.float64()))], ["n", "sums"])
+
+    return raw.select(V.doubles(F.col(vector)).alias("v")).mapInArrow(add, "n long, sums array<double>")
+
+
 def centroid_rows(raw: DataFrame, vector: str = "v") -> DataFrame:
-    """i, m: the mean of each component; partial sums come before the one shuffle."""
-    return raw.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
+    """i, m: the mean of each component, from a row a task."""
+    return partial_sums(raw, vector).select("n", F.posexplode("sums").alias("i", "x")).groupBy("i").agg((F.sum("x") / F.sum("n")).alias("m"))
 
 
 def centroid(raw: DataFrame, vector: str = "v") -> DataFrame:
@@ -42,7 +61,7 @@ def ranked(scored: DataFrame, k: int, least: float = -1.0) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("raw_score") >= least).withColumn("score", V.shown(F.col("raw_score")))
 
 
-@dataclass(frozen=True)
+@dataclass
 class VectorIndex:
     """rows: id long, v array<double>."""
 
@@ -50,52 +69,65 @@ class VectorIndex:
     dim: int
 
     @classmethod
-    def of(cls, df: DataFrame, dim: int, key: str = "id", vector: str = "v", strict: bool = False) -> VectorIndex:
+    def of(cls, df: DataFrame, dim: int, key: str = "id", vector: str = "v", strict: bool = False, extra: Sequence[str] = ()) -> VectorIndex:
         """Rows whose vector fits; with strict any other one fails the query."""
         why = V.problem(F.col(vector), dim)
         if strict:
             df = df.where(F.when(why.isNotNull(), F.raise_error(F.concat(F.lit("bad vector: "), why)).cast("boolean")).otherwise(True))
-        return cls(df.where(why.isNull()).select(F.col(key).cast("long").alias("id"), V.doubles(F.col(vector)).alias("v")), dim)
+        return cls(df.where(why.isNull()).select(F.col(key).cast("long").alias("id"), V.doubles(F.col(vector)).alias("v"), *extra), dim)
 
-    def upsert(self, new: DataFrame) -> VectorIndex:
-        return VectorIndex(self.rows.join(new.select("id").distinct(), "id", "left_anti").unionByName(new.select("id", "v")), self.dim)
+    def upsert(self, new: DataFrame, order: str | None = None, strict: bool = True) -> VectorIndex:
+        """New rows replace those of their ids. A bad vector fails the query, or with strict off
+        stays out. Of a repeated id the highest `order` counts, without one the greatest vector."""
+        last = F.max_by("v", order) if order else F.max("v")
+        fit = VectorIndex.of(new, self.dim, strict=strict, extra=[order] if order else []).rows.groupBy("id").agg(last.alias("v"))
+        return VectorIndex(self.rows.join(fit.select("id"), "id", "left_anti").unionByName(fit), self.dim)
 
     def remove(self, ids: DataFrame, strict: bool = True) -> VectorIndex:
         if strict and not ids.join(self.rows, "id", "left_anti").isEmpty():
             raise MissingError("an id to remove is not in the index")
         return VectorIndex(self.rows.join(ids, "id", "left_anti"), self.dim)
 
+    @cached_property
+    def centre(self) -> list[float] | None:
+        """The mean vector, dim numbers; None of an empty index. Found once for an index."""
+        row = centroid(self.rows).first()
+        return row["c"] or None
+
     def unit(self) -> DataFrame:
         """id, v: centred rows of length one; a row at the centroid is zero."""
-        c = F.broadcast(centroid(self.rows))  # one row of dim numbers
-        return self.rows.join(c).select("id", V.unit_row(V.minus(F.col("v"), F.col("c"))).alias("v"))
+        return kernel.centred(self.rows, self.centre)
 
-    def centred_queries(self, queries: DataFrame) -> DataFrame:
-        return queries.join(F.broadcast(centroid(self.rows))).select("query_id", V.unit_query(V.minus(F.col("v"), F.col("c"))).alias("v"))
-
-    def search(self, query: Column | list[float], k: int = 10, least: float = -1.0, exclude: list[int] | None = None) -> DataFrame:
-        """id, raw_score, rank, score for one query vector."""
-        q = query if isinstance(query, Column) else F.array(*map(F.lit, map(float, query)))
-        if not isinstance(query, Column) and len(query) != self.dim:
+    def centred_query(self, query: Sequence[float]) -> np.ndarray:
+        if len(query) != self.dim:
             raise DimensionError(f"query has {len(query)} components, the index {self.dim}")
-        one = self.rows.sparkSession.range(1).select(F.lit(-1).cast("long").alias("query_id"), q.alias("v"))
-        return self._scored(self.centred_queries(one), exclude).transform(lambda d: ranked(d, k, least))
+        q = np.asarray(query, np.float64)
+        if not np.isfinite(q).all():
+            raise ValueError("the query holds components that are not finite")
+        q = q - np.asarray(self.centre) if self.centre else q
+        n = np.linalg.norm(q)
+        return q / n if n > 0 else q  # a zero query scores 0 everywhere
+
+    def scored(self, query: Sequence[float], exclude: list[int] | None = None) -> DataFrame:
+        """id, raw_score of every row; excluded ids are left out, unknown ones ignored."""
+        rows = self.rows.where(~F.col("id").isin(exclude)) if exclude else self.rows
+        return kernel.scores(rows, self.centre, self.centred_query(query))
+
+    def search(self, query: Sequence[float], k: int = 10, least: float = -1.0, exclude: list[int] | None = None) -> DataFrame:
+        """id, raw_score, rank, score for one query vector."""
+        return ranked(self.scored(query, exclude), k, least)
 
     def like(self, key: int, k: int = 10, least: float = -1.0) -> DataFrame:
-        """What is most like a stored row, without it and without embedding it again."""
-        one = self.rows.where(F.col("id") == key).select(F.col("id").alias("query_id"), "v")
-        return self._scored(self.centred_queries(one), [key]).transform(lambda d: ranked(d, k, least))
-
-    def _scored(self, query: DataFrame, exclude: list[int] | None) -> DataFrame:
-        unit = self.unit().where(~F.col("id").isin(exclude)) if exclude else self.unit()
-        return unit.join(F.broadcast(query.select(F.col("v").alias("q")))).select("id", V.dot(F.col("v"), F.col("q")).alias("raw_score"))
+        """What is most like a stored row, without it and without embedding it again; nothing for an unknown id."""
+        one = self.get(key).first()
+        return self.search(one["v"] if one else [0.0] * self.dim, k if one else 0, least, [key])
 
     def search_batch(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """query_id, id, raw_score, rank for many queries (query_id, v), never the query's own id."""
-        return kernel.top(self.unit(), self.centred_queries(queries), k, dim=self.dim)
+        return kernel.top(self.rows, queries, k, self.centre)
 
-    def get(self, key: int) -> DataFrame:
-        return self.rows.where(F.col("id") == key)
+    def get(self, key: int, centred: bool = False) -> DataFrame:
+        return (self.unit() if centred else self.rows).where(F.col("id") == key)
 
     def stats(self) -> DataFrame:
         return self.rows.agg(F.count("*").alias("total"), F.max(F.size("v")).alias("dim"))

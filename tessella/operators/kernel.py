@@ -1,49 +1,116 @@
-"""Top-k scoring of a batch of queries by block products.
+"""Scoring by blocks: centred unit rows times queries, in numpy.
 
-Candidate and query blocks meet by an equi-join on their numbers, so a task holds
-ROWS and QUERIES vectors at most. Each block gives a query its k best with ties
-broken by id; a ranked window (with a group limit before its shuffle) merges.
+Queries go to all tasks while they are few (SENT bytes); a task keeps each
+query's k best over its batches, so k rows a query and task leave it. Larger
+query sets meet the rows block by block, by an equi-join on block numbers, so a
+task holds ROWS and QUERIES vectors at most. A ranked window merges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS, QUERIES = 16_384, 1024
+ROWS, QUERIES, SENT = 16_384, 1024, 64 << 20
+FLOOR = 1e-8  # the least norm a centred row is divided by
+FOUND = "query_id long, id long, raw_score double"
 
 
-def _matrix(t: pa.Table) -> np.ndarray:
-    flat = t.column("v").combine_chunks()
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def top(rows: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, dim: int = 64) -> DataFrame:
-    """query_id, id, raw_score, rank. rows: id, v; queries: query_id, v (array<double>, unit)."""
-    cb, qb = max(1, -(-rows.count() // ROWS)), max(1, -(-queries.count() // QUERIES))
+def unit(x: np.ndarray, centre: list[float] | None, floor: float = FLOOR) -> np.ndarray:
+    x = x - np.asarray(centre) if centre else x
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / (np.maximum(n, floor) if floor else np.where(n > 0, n, 1))
+
+
+def centred(rows: DataFrame, centre: list[float] | None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                u = unit(matrix(b.column("v")), centre)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(np.arange(len(u) + 1, dtype=np.int32) * u.shape[1], u.ravel())], ["id", "v"])
+
+    return rows.select("id", "v").mapInArrow(run, "id long, v array<double>")
+
+
+def scores(rows: DataFrame, centre: list[float] | None, query: np.ndarray) -> DataFrame:
+    """id, raw_score of one centred unit query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(unit(matrix(b.column("v")), centre) @ query)], ["id", "raw_score"])
+
+    return rows.select("id", "v").mapInArrow(run, "id long, raw_score double")
+
+
+class Best:
+    """The k best of each query so far, ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.q, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.floor = np.full(len(ids), -np.inf)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        if not len(ids) or not self.k:
+            return
+        score = self.queries @ x.T
+        score[self.ids[:, None] == ids] = -np.inf
+        floor = self.floor
+        if score.shape[1] >= self.k:
+            floor = np.maximum(floor, np.partition(score, -self.k, axis=1)[:, -self.k])
+        q, j = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+        q, i, s = np.concatenate([self.q, q]), np.concatenate([self.id, ids[j]]), np.concatenate([self.score, score[q, j]])
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        self.q, self.id, self.score = (v[rank < self.k] for v in (q, i, s))
+        last = rank == self.k - 1
+        self.floor[q[last]] = s[last]
+
+    def table(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.q], pa.int64()), pa.array(self.id, pa.int64()), pa.array(self.score)], ["query_id", "id", "raw_score"])
+
+
+def top(rows: DataFrame, queries: DataFrame, k: int, centre: list[float] | None = None) -> DataFrame:
+    """query_id, id, raw_score, rank. rows: id, v; queries: query_id, v (array<double>), raw both."""
+    queries = queries.select("query_id", "v")
+    n_q = queries.count()
+    order = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "id")
+    rank = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    width = queries.select(F.size("v")).first()
+    if width and n_q * width[0] * 8 <= SENT:
+        sent = queries.toArrow()
+        asked = sent.column("query_id").to_numpy(), unit(matrix(sent.column("v")), centre, 0)
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(*asked, k)
+            for b in batches:
+                for at in range(0, b.num_rows, QUERIES):
+                    part = b.slice(at, QUERIES)
+                    best.add(part.column("id").to_numpy(), unit(matrix(part.column("v")), centre))
+            yield best.table()
+
+        return rank(rows.select("id", "v").mapInArrow(near, FOUND))
+    cb, qb = max(1, -(-rows.count() // ROWS)), max(1, -(-n_q // QUERIES))
     number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("query_id", "v", number("query_id", qb).alias("q"), every(cb).alias("c"))
     right = rows.select("id", "v", number("id", cb).alias("c"), every(qb).alias("q"))
-    kinds = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("raw_score", pa.float64())])
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            return kinds.empty_table()
-        qid, cid = a.column("query_id").to_numpy(), b.column("id").to_numpy()
-        score = _matrix(a) @ _matrix(b).T
-        if exclude_self:
-            score[qid[:, None] == cid] = -np.inf
-        out = []
-        for i, row in enumerate(score):
-            near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if k < len(row) else np.arange(len(row))
-            near = near[np.lexsort((cid[near], -row[near]))][:k]
-            near = near[row[near] > -np.inf]
-            out.append((np.full(len(near), qid[i]), cid[near], row[near]))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=kinds)
-
-    met = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(best, "query_id long, id long, raw_score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found = Best(a.column("query_id").to_numpy(), unit(matrix(a.column("v")), centre, 0) if len(a) else np.zeros((0, 1)), k)
+        if len(a) and len(b):
+            found.add(b.column("id").to_numpy(), unit(matrix(b.column("v")), centre))
+        return pa.Table.from_batches([found.table()])
+
+    return rank(left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(best, FOUND))

@@ -1,13 +1,17 @@
 """Versioned Parquet tables of a library: new versions are written whole, then a pointer moves.
 
-The pointer is itself a one-row table with a rising number, so any store that
-Spark writes to will do; the highest complete number is the current version.
+The pointer is a small file with a rising number that only one writer can
+create; the highest number is the current version. A writer that based its work
+on an older number fails and changes nothing.
 """
 
 from __future__ import annotations
 
+import datetime
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,27 +26,51 @@ class EmbedderMismatch(ValueError):
     pass
 
 
-def save(root: str, tables: dict[str, DataFrame], embedder: str, dim: int) -> str:
+class ConcurrentWrite(RuntimeError):
+    pass
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
+def save(root: str, tables: dict[str, DataFrame], embedder: str, dim: int, after: int | None = None, library: str = "") -> str:
+    """Publishes a version behind number `after` (the current one, if not given)."""
     spark = next(iter(tables.values())).sparkSession
+    if after is None:
+        after = (current(spark, root) or {"number": 0})["number"]
     version = f"v-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
-    last = current(spark, root)
-    row = spark.range(1).select(F.lit((last["number"] if last else 0) + 1).alias("number"), F.lit(version).alias("version"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(embedder).alias("embedder"), F.lit(dim).alias("dim"), F.current_timestamp().alias("built_at"))
-    row.write.mode("append").parquet(f"{root}/current")
+    head = {"number": after + 1, "version": version, "schema_version": SCHEMA_VERSION, "embedder": embedder, "dim": dim, "library": library, "built_at": datetime.datetime.now(datetime.timezone.utc).isoformat()}
+    fs, at = _fs(spark, f"{root}/current/{after + 1:012d}.json")
+    try:
+        out = fs.create(at, False)
+    except Py4JJavaError as e:
+        if fs.exists(at):
+            raise ConcurrentWrite(f"another writer published number {after + 1}") from e
+        raise
+    out.write(bytearray(json.dumps(head).encode()))
+    out.close()
     return version
 
 
-def current(spark: SparkSession, root: str):
-    try:
-        return spark.read.parquet(f"{root}/current").orderBy(F.desc("number")).first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER" in str(e):
-            return None
-        raise
+def current(spark: SparkSession, root: str) -> dict | None:
+    """The pointer of the current version."""
+    fs, at = _fs(spark, f"{root}/current")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+    names = [n for n in names if n.endswith(".json")]
+    return json.loads(spark.read.text(f"{root}/current/{names[-1]}", wholetext=True).first()[0]) if names else None
 
 
 def load(spark: SparkSession, root: str, name: str, embedder: str | None = None) -> DataFrame:
+    """A table of the current version; vectors of another width than the pointer's fail the query."""
     at = current(spark, root)
     if at is None:
         raise FileNotFoundError(f"no index at {root}")
@@ -50,4 +78,15 @@ def load(spark: SparkSession, root: str, name: str, embedder: str | None = None)
         raise SchemaError(f"version {at['schema_version']} is not {SCHEMA_VERSION}")
     if embedder and at["embedder"] != embedder:
         raise EmbedderMismatch(f"the index was built with {at['embedder']}, not {embedder}")
-    return spark.read.parquet(f"{root}/{at['version']}/{name}")
+    out = spark.read.parquet(f"{root}/{at['version']}/{name}")
+    if name == "vectors":
+        wrong = F.raise_error(F.lit(f"a vector is not of width {at['dim']}")).cast("boolean")
+        out = out.where(F.when(F.size("v") == at["dim"], True).otherwise(wrong))
+    return out
+
+
+def disk_usage(spark: SparkSession, path: str) -> DataFrame:
+    """One row: files, bytes and megabytes directly in a folder."""
+    sizes = [(s.getLen(),) for s in _fs(spark, path)[0].listStatus(_fs(spark, path)[1]) if s.isFile()]
+    rows = spark.createDataFrame(sizes, "size long")
+    return rows.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), (F.coalesce(F.sum("size"), F.lit(0)) / 1_048_576).alias("megabytes"))

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import engine
 from ..operators import tables as O
+from ..operators.catalog import Catalog
 from ..operators.index import VectorIndex, centroid, centroid_rows, ranked
+from ..sources import library, remote
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,7 +91,7 @@ def cosine_pairs(spark, d):
 @query(ONE_ + f" SELECT id, round({CLIP_}, 6) AS score FROM r")
 def clip_score(spark, d):
     i = index(spark, d)
-    return i._scored(i.centred_queries(i.get(0).select(F.col("id").alias("query_id"), "v")), [0]).select("id", six(V.shown(F.col("raw_score")), "score"))
+    return i.scored(i.get(0).first()["v"], [0]).select("id", six(V.shown(F.col("raw_score")), "score"))
 
 
 @query(ONE_ + f" SELECT id, CASE WHEN {CLIP_} >= 0.7 THEN 'similar' WHEN {CLIP_} >= 0.5 THEN 'somewhat similar' ELSE 'low' END AS band, floor({CLIP_} * 100 + 0.5)::INTEGER AS percent FROM r WHERE rank <= 50")
@@ -255,7 +258,7 @@ def incremental_plan(spark, d):
 
 @query(PLAN_ + " SELECT count(*) FILTER (status = 'index') AS indexed, count(*) FILTER (status = 'skipped') AS skipped FROM p")
 def build_counters(spark, d):
-    return O.counters(build_plan(spark, d))
+    return O.counters(build_plan(spark, d)).drop("failed")
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -289,12 +292,12 @@ def index_stats(spark, d):
 # pooling and features
 @query(C_ + " SELECT label, (i - 1)::INTEGER AS i, round(avg(x), 6) AS x FROM d JOIN e USING (id) GROUP BY label, i")
 def mean_pool(spark, d):
-    return read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(six(F.avg(F.col("x").cast("double")), "x"))
+    return O.mean_pool(read(spark, d, "embeddings"), "label", "embedding").select("label", "i", six(F.col("x"), "x"))
 
 
 @query("SELECT l_returnflag, round(avg(l_quantity), 4) AS mean, round(stddev_pop(l_quantity), 4) AS std FROM lineitem GROUP BY 1")
 def feature_mean_std(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg("l_quantity"), 4).alias("mean"), F.round(F.stddev_pop("l_quantity"), 4).alias("std"))
+    return O.feature_stats(read(spark, d, "lineitem"), "l_returnflag", "l_quantity").select("l_returnflag", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
 @query(E_ + ", d AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e), s AS (SELECT id, avg(x) AS m, stddev_pop(x) AS s FROM d GROUP BY id) SELECT id, (i - 1)::INTEGER AS i, round((x - m) / (s + 1e-6), 5) AS x FROM d JOIN s USING (id)")
@@ -324,9 +327,7 @@ def clip_offset(spark, d):
 def tsv_parse(spark, d):
     p = read(spark, d, "part")
     line = F.when(F.col("p_partkey") % 11 == 0, "TRACK_ID\tARTIST\tALBUM\tPATH\tDURATION\tTAGS").otherwise(F.concat_ws("\t", F.concat(F.lit("track_00"), "p_partkey"), F.lit("a"), F.lit("b"), F.lit("c.mp3"), F.col("p_size").cast("string"), F.lit("genre---x")))
-    from ..sources.library import dataset_tsv
-
-    return dataset_tsv(p.select(line.alias("value"))).select(F.col("track_id").cast("long").alias("id"), F.col("duration").cast("int").alias("duration"))
+    return library.dataset_tsv(p.select(line.alias("value"))).select(F.col("track_id").cast("long").alias("id"), F.col("duration").cast("int").alias("duration"))
 
 
 @query("SELECT p_partkey AS id, coalesce(nullif(ltrim(replace('track_000' || (p_partkey % 100), 'track_', ''), '0'), ''), '0') AS number FROM part")
@@ -346,7 +347,7 @@ def duration_filter(spark, d):
 
 @query("SELECT event_id FROM events WHERE event_type <> 'click' ORDER BY ts, event_id LIMIT 25")
 def limit_in_order(spark, d):
-    return read(spark, d, "events").where("event_type <> 'click'").orderBy("ts", "event_id").limit(25).select("event_id")
+    return O.in_order(read(spark, d, "events").where("event_type <> 'click'"), 25, "ts", "event_id").select("event_id")
 
 
 @query("SELECT doc_id AS id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END, ''), nullif(source, ''), 'Unknown') AS title FROM documents")
@@ -356,8 +357,7 @@ def falsy_coalesce(spark, d):
 
 @query("SELECT conv_id AS id, nullif(string_agg(role, ', ' ORDER BY turn), '') AS names FROM conversations GROUP BY conv_id")
 def artist_join(spark, d):
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    return read(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(T.present(F.array_join(F.transform(turns, lambda t: t["role"]), ", ")).alias("names"))
+    return O.artists(read(spark, d, "conversations").withColumnRenamed("conv_id", "id"), "id", "role", "turn")
 
 
 SIDE_ = "SELECT d.doc_id AS id, coalesce(nullif(CASE WHEN d.doc_id % 2 = 0 THEN '' ELSE d.lang END, ''), 'q' || l.quality) AS title, coalesce(l.toxic, d.n_chars)::BIGINT AS length FROM documents d LEFT JOIN labels l USING (doc_id)"
@@ -401,20 +401,143 @@ def unsafe_paths(spark, d):
 
 @query("SELECT p_brand AS brand, arg_max(p_partkey, (p_size, -p_partkey)) AS id FROM part GROUP BY 1")
 def argmax_by_size(spark, d):
-    return read(spark, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.max_by("p_partkey", F.struct("p_size", -F.col("p_partkey"))).alias("id"))
+    return O.largest(read(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), "p_size"), "brand", "id", F.col("p_size"), -F.col("id"))
 
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def pending_downloads(spark, d):
-    return read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left_anti").select(F.col("doc_id").alias("id"))
+    return O.pending(read(spark, d, "documents"), read(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("id"))
 
 
 @query("SELECT conv_id AS id, arg_min(role, turn) AS first FROM conversations GROUP BY conv_id")
 def metadata_first_value(spark, d):
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    return read(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.get(turns, F.lit(0))["role"].alias("first"))
+    return O.keep_first(read(spark, d, "conversations"), "conv_id", "turn").select(F.col("conv_id").alias("id"), F.col("role").alias("first"))
 
 
 @query("SELECT 'index-' || p_partkey AS name, p_size * 1048576.0::DOUBLE / 1048576 AS size_mb FROM part WHERE p_partkey <= 20")
 def registry_list(spark, d):
     return read(spark, d, "part").where("p_partkey <= 20").select(F.concat(F.lit("index-"), "p_partkey").alias("name"), T.megabytes(F.col("p_size") * F.lit(1048576.0)).alias("size_mb"))
+
+
+# validated changes, catalogs, remote catalogs
+@query(E_ + ", n AS (SELECT id, CASE WHEN id % 10 = 0 THEN 'NaN'::DOUBLE ELSE 2 * v[1] END AS x FROM e WHERE id % 5 = 0) SELECT e.id, round(coalesce((SELECT n.x FROM n WHERE n.id = e.id AND NOT isnan(n.x)), e.v[1]), 6) AS x FROM e")
+def upsert_invalid(spark, d):
+    i = index(spark, d)
+    bad = F.when(F.col("id") % 10 == 0, float("nan")).otherwise(2.0)
+    return i.upsert(i.rows.where("id % 5 = 0").select("id", F.transform("v", lambda x: x * bad).alias("v")), strict=False).rows.select("id", six(F.get("v", F.lit(0)), "x"))
+
+
+@query("SELECT d.doc_id AS id, coalesce(s.t, d.lang) AS title, coalesce(s.l, d.n_chars)::BIGINT AS length FROM documents d LEFT JOIN (SELECT item_id AS k, 'late' AS t, item_id + 1 AS l FROM benchmark) s ON s.k = d.doc_id")
+def enrich_repeated(spark, d):
+    tracks = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id").isin([]), "").otherwise(F.col("lang")).alias("title"), F.col("n_chars").alias("length"))
+    b = read(spark, d, "benchmark")
+    side = b.select(F.col("item_id").alias("id"), F.lit("early").alias("title"), F.col("item_id").alias("length"), F.lit(0).alias("seq")).unionByName(b.select(F.col("item_id").alias("id"), F.lit("late").alias("title"), (F.col("item_id") + 1).alias("length"), F.lit(1).alias("seq")))
+    return O.enrich(tracks, side, "id", [], ["title", "length"], "seq")
+
+
+def catalog(spark, d) -> Catalog:
+    docs = read(spark, d, "documents")
+    return Catalog.of(docs.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(F.lit("lib\\"), "lang", F.lit("\\"), "doc_id", F.lit(".mp3")).alias("path"), F.col("source").alias("title"), F.col("n_chars").cast("double").alias("mtime")))
+
+
+@query("SELECT 'd' || doc_id AS id, 'lib/' || lang || '/' || doc_id || '.mp3' AS path, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE source END AS title, n_chars::DOUBLE AS mtime FROM documents WHERE doc_id % 9 <> 0")
+def catalog_upsert(spark, d):
+    c = catalog(spark, d)
+    number = F.substring("id", 2, 20).cast("long")
+    new = c.rows.where(number % 4 == 0).withColumn("title", F.lit("new"))
+    return c.add(new).remove(c.ids().where(number % 9 == 0)).rows.select("id", "path", "title", "mtime")
+
+
+@query("SELECT page_id, page_id IN (SELECT doc_id FROM documents) AS known FROM pages")
+def catalog_contains(spark, d):
+    pages = read(spark, d, "pages").select("page_id", F.concat(F.lit("d"), "page_id").alias("id"))
+    return catalog(spark, d).contains(pages).select("page_id", "known")
+
+
+@query("SELECT 'd' || d.doc_id AS id, CASE WHEN l.doc_id IS NOT NULL THEN l.quality::VARCHAR END AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def catalog_extra(spark, d):
+    side = read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("doc_id"), "quality")
+    c = catalog(spark, d).enrich(side, library.T.stem(F.col("path")), "doc_id", ["quality"])
+    return c.rows.select("id", F.col("extra")["quality"].alias("quality"))
+
+
+@query("SELECT 'd' || doc_id AS id, '{\"id\":\"d' || doc_id || '\",\"path\":\"lib/' || lang || '/' || doc_id || '.mp3\",\"title\":\"' || source || '\",\"artist\":null,\"album\":null,\"duration_seconds\":null}' AS line FROM documents")
+def catalog_json(spark, d):
+    rows = catalog(spark, d).rows
+    return rows.select("id", F.regexp_replace(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), ',"mtime".*$', "}").alias("line"))
+
+
+@query("WITH p AS (SELECT 'lib/' || doc_id || '.mp3' AS path FROM documents WHERE doc_id % 7 = 0) SELECT array_to_string(list(path ORDER BY path)[1:10], ',') AS first, greatest(count(*) - 10, 0) AS more FROM p")
+def build_failures(spark, d):
+    plan = read(spark, d, "documents").select(F.concat(F.lit("lib/"), "doc_id", F.lit(".mp3")).alias("path"), F.when(F.col("doc_id") % 7 == 0, "failed").otherwise("index").alias("status"))
+    return O.failures(plan).select(F.array_join("first", ",").alias("first"), "more")
+
+
+JSON_ = "SELECT doc_id AS seq, doc_id % 50 AS tid, lang, source, n_chars, doc_id % 6 = 0 AS bare FROM documents"
+
+
+@query(f"SELECT tid::VARCHAR AS track_id, arg_min(lang, seq) AS title, arg_min(lang || ', ' || source, seq) AS artist, arg_min('A' || source, seq) AS album, arg_min('u' || seq, seq) AS album_art_url, arg_min(n_chars, seq) / 1000.0::DOUBLE AS seconds FROM ({JSON_}) WHERE NOT bare AND tid <> 0 GROUP BY tid")
+def remote_search_tracks(spark, d):
+    docs, tid = read(spark, d, "documents"), (F.col("doc_id") % 50).cast("string")
+    name = lambda c: F.struct(c.alias("name"))
+    album = F.struct(F.concat(F.lit("A"), "source").alias("name"), F.array(F.struct(F.concat(F.lit("u"), "doc_id").alias("url"))).alias("images"))
+    line = F.to_json(F.struct(F.when(tid != "0", tid).alias("id"), F.col("lang").alias("name"), F.when(F.col("doc_id") % 6 != 0, "p").alias("preview_url"), F.col("n_chars").alias("duration_ms"), F.array(name(F.col("lang")), name(F.lit("")), name(F.col("source"))).alias("artists"), album.alias("album")))
+    rows = remote.spotify_tracks(docs.select(F.col("doc_id").alias("seq"), line.alias("value")))
+    return rows.select("track_id", "title", "artist", "album", "album_art_url", T.seconds(F.col("duration_ms")).alias("seconds"))
+
+
+@query(f"SELECT tid::VARCHAR AS track_id, arg_min(CASE WHEN seq % 2 = 0 THEN 'own' ELSE 'listed' END, seq) AS album, arg_min(CASE WHEN seq % 2 = 0 THEN 'big' ELSE 'm' || seq END, seq) AS album_art_url, arg_min(n_chars::VARCHAR, seq) AS duration_sec FROM ({JSON_}) WHERE NOT bare GROUP BY tid")
+def remote_album_tracks(spark, d):
+    docs = read(spark, d, "documents")
+    own = F.struct(F.lit("own").alias("title"), F.lit("").alias("cover_medium"), F.lit("big").alias("cover_big"))
+    line = F.to_json(F.struct((F.col("doc_id") % 50).alias("id"), F.when(F.col("doc_id") % 6 != 0, "p").alias("preview"), F.col("n_chars").alias("duration"), F.when(F.col("doc_id") % 2 == 0, own).alias("album")))
+    parent = F.to_json(F.struct(F.lit("listed").alias("title"), F.concat(F.lit("m"), "doc_id").alias("cover_medium")))
+    rows = remote.deezer_tracks(docs.select(F.col("doc_id").alias("seq"), line.alias("value"), parent.alias("album")), album="album")
+    return rows.select("track_id", "album", "album_art_url", "duration_sec")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE n_chars > 200 AND doc_id % 5 <> 0")
+def downloadable_tracks(spark, d):
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 != 0, "u").otherwise("").alias("url"), F.col("n_chars").alias("duration"))
+    return remote.downloadable(rows, "url", "duration", 200).select("id")
+
+
+@query("SELECT doc_id AS id, doc_id % 3 <> 0 AS same FROM documents")
+def checksum_equality(spark, d):
+    content = F.encode("text", "UTF-8")
+    expected = F.when(F.col("doc_id") % 3 == 0, F.lit("0")).otherwise(F.upper(F.sha2(content, 256)))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), remote.checksum_matches(content, expected).alias("same"))
+
+
+@query("SELECT p_partkey AS id, format('{:,}', p_partkey * 1000 + p_size) AS shown FROM part")
+def thousands_format(spark, d):
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), T.thousands(F.col("p_partkey") * 1000 + F.col("p_size")).alias("shown"))
+
+
+@query("SELECT 'index-' || p_brand AS name, arg_min(p_partkey, p_partkey) AS at, arg_min(p_size, p_partkey) * 1048576.0::DOUBLE / 1048576 AS size_mb FROM part GROUP BY p_brand")
+def registry_lookup(spark, d):
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("at"), F.concat(F.lit("index-"), "p_brand").alias("name"), (F.col("p_size") * F.lit(1048576)).alias("size_bytes"))
+    return O.keep_first(library.registry_rows(rows), "name", "at").select("name", "at", "size_mb")
+
+
+@query(ONE_ + f" SELECT r.rank::INTEGER AS rank, round({CLIP_}, 6) AS score, round(raw, 6) AS raw_score, 'd' || r.id AS track_id, d.source AS title, d.doc_id % 2 = 0 AS has_audio FROM r JOIN documents d ON d.doc_id = r.id WHERE rank <= 10")
+def api_result_rows(spark, d):
+    i, c = index(spark, d), catalog(spark, d)
+    ids = i.rows.select("id", F.concat(F.lit("d"), "id").alias("track"))
+    e = engine.Engine(i, c, ids, "mock")
+    files = c.rows.where(F.substring("id", 2, 20).cast("long") % 2 == 0).select("path")
+    return engine.api_rows(e.like("d0", 10), files).select("rank", "score", "raw_score", "track_id", "title", "has_audio")
+
+
+@query(ONE_ + f""" SELECT r.rank::INTEGER AS rank, '{{"rank":' || rank || ',"title":"' || d.source || '","artist":null,"path":"lib/' || d.lang || '/' || d.doc_id || '.mp3"}}' AS line FROM r JOIN documents d ON d.doc_id = r.id WHERE rank <= 10""")
+def cli_json_rows(spark, d):
+    i, c = index(spark, d), catalog(spark, d)
+    e = engine.Engine(i, c, i.rows.select("id", F.concat(F.lit("d"), "id").alias("track")), "mock")
+    return engine.json_rows(e.like("d0", 10)).select("rank", F.regexp_replace("line", '"score":[^,]*,"raw_score":[^,]*,', "").alias("line"))
+
+
+@query("SELECT doc_id AS id, left(sha256(encode(text)[1:163840]), 24) IN (SELECT left(sha256(encode(text)[1:163840]), 24) FROM documents WHERE doc_id % 2 = 0) AS known FROM documents")
+def self_exclusion_all(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("doc"), T.content_id(F.encode("text", "UTF-8")).alias("id"))
+    stored = Catalog.of(docs.where("doc % 2 = 0").select("id", F.col("doc").cast("string").alias("path")))
+    return stored.contains(docs).select(F.col("doc").alias("id"), "known")

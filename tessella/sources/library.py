@@ -33,21 +33,109 @@ def listing(root: str, max_depth: int = 20) -> list[str]:
     return sorted(found)
 
 
-def wav_tags(path: str) -> tuple[str | None, float | None]:
-    """(title, seconds); nulls for anything unreadable."""
+def _id3(data: bytes) -> dict[str, str]:
+    """Text frames of an ID3v2.3 or 2.4 header: the first value of each."""
+    if data[:3] != b"ID3":
+        return {}
+    found, at, safe = {}, 10, lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
+    end = 10 + safe(data[6:10])
+    while at + 10 <= min(end, len(data)) and data[at] != 0:
+        name, raw = data[at : at + 4].decode("latin-1"), data[at + 4 : at + 8]
+        size = safe(raw) if data[3] == 4 else int.from_bytes(raw, "big")
+        body = data[at + 10 : at + 10 + size]
+        if name[0] == "T" and body:
+            text = body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[body[0] % 4], "replace")
+            found.setdefault(name, text.split("\0")[0])
+        at += 10 + size
+    return found
+
+
+def _riff(f: io.BufferedReader) -> dict[str, str]:
+    """The INFO texts and the ID3 chunk of a WAV."""
+    found = {}
+    if f.read(4) != b"RIFF" or len(f.read(8)) < 8:
+        return found
+    while len(head := f.read(8)) == 8:
+        size = int.from_bytes(head[4:], "little")
+        if head[:4] == b"LIST":
+            body, at = f.read(min(size, 1 << 20)), 4
+            while body[:4] == b"INFO" and at + 8 <= len(body):
+                n = int.from_bytes(body[at + 4 : at + 8], "little")
+                found.setdefault(body[at : at + 4].decode("latin-1"), body[at + 8 : at + 8 + n].rstrip(b"\0").decode("utf-8", "replace"))
+                at += 8 + n + n % 2
+            f.seek(size + size % 2 - len(body), 1)
+        elif head[:4].lower() == b"id3 ":
+            found |= _id3(f.read(size))
+            f.seek(size % 2, 1)
+        else:
+            f.seek(size + size % 2, 1)
+    return found
+
+
+def _flac(f: io.BufferedReader) -> tuple[dict[str, str], float | None]:
+    """The Vorbis comments and length of a FLAC."""
+    found, seconds, last = {}, None, f.read(4) != b"fLaC"
+    while not last and len(head := f.read(4)) == 4:
+        last, kind, body = bool(head[0] & 128), head[0] & 127, f.read(int.from_bytes(head[1:], "big"))
+        if kind == 0:
+            bits = int.from_bytes(body[10:18], "big")
+            seconds = (bits & (1 << 36) - 1) / (bits >> 44) if bits >> 44 else None
+        elif kind == 4:
+            word = lambda at: int.from_bytes(body[at : at + 4], "little")
+            at = 4 + word(0)
+            n, at = word(at), at + 4
+            for _ in range(n):
+                name, _, value = body[at + 4 : at + 4 + word(at)].decode("utf-8", "replace").partition("=")
+                found.setdefault(name.upper(), value)
+                at += 4 + word(at)
+    return found, seconds
+
+
+# Names of title, artist and album in ID3, WAV INFO and Vorbis comments.
+TAGS = {"title": ("TIT2", "INAM", "TITLE"), "artist": ("TPE1", "IART", "ARTIST"), "album": ("TALB", "IPRD", "ALBUM")}
+
+
+def tags(path: str) -> tuple[str | None, str | None, str | None, float | None]:
+    """(title, artist, album, seconds): the first value of each; nulls for what cannot be read, never an error."""
+    found, seconds = {}, None
     try:
-        with wave.open(path) as w:
-            return None, w.getnframes() / w.getframerate()
-    except Exception:
-        return None, None
-
-
-SCHEMA = "path string, id string, mtime double, title string, duration_seconds double, error string"
-
-
-def scan(spark: SparkSession, root: str, max_depth: int = 20) -> DataFrame:
+        with open(path, "rb") as f:
+            start = f.read(10)
+            if start[:3] == b"ID3":
+                f.seek(0)
+                found = _id3(f.read(1 << 20))
+            f.seek(0)
+            if start[:4] == b"fLaC":
+                found, seconds = _flac(f)
+            elif start[:4] == b"RIFF":
+                found = _riff(f)
+                with wave.open(path) as w:
+                    seconds = w.getnframes() / w.getframerate()
+    except Exception:  # files of any kind come here; a broken one has no tags
+        pass
+    first = [next((found[k] for k in keys if found.get(k)), None) for keys in TAGS.values()]
+    return first[0], first[1], first[2], seconds
+
+
+SCHEMA = "path string, id string, mtime double, title string, artist string, album string, duration_seconds double, error string"
+
+
+def check_file(path: str) -> None:
+    if not os.path.exists(path):
+        raise FileNotFoundError(path)
+    if not os.path.isfile(path):
+        raise IsADirectoryError(f"{path} is no file")
+
+
+def check_folder(path: str) -> None:
+    if not os.path.exists(path):
+        raise FileNotFoundError(path)
+    if not os.path.isdir(path):
+        raise NotADirectoryError(f"{path} is no folder")
+
+
+def rows_of(spark: SparkSession, paths: list[str]) -> DataFrame:
     """A row a file. Only the first bytes of each are read, on the executors."""
-    paths = spark.createDataFrame([(p,) for p in listing(root, max_depth)], "path string")
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -56,16 +144,40 @@ def scan(spark: SparkSession, root: str, max_depth: int = 20) -> DataFrame:
                 try:
                     with open(p, "rb") as f:
                         key = hashlib.sha256(f.read(T.SAMPLE_BYTES)).hexdigest()[: T.ID_LETTERS]
-                    rows.append((p, key, os.path.getmtime(p), *wav_tags(p), None))
+                    rows.append((p, key, os.path.getmtime(p), *tags(p), None))
                 except OSError as e:
-                    rows.append((p, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "id", "mtime", "title", "duration_seconds", "error"])
+                    rows.append((p, None, None, None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "id", "mtime", "title", "artist", "album", "duration_seconds", "error"])
 
-    return paths.repartition(spark.sparkContext.defaultParallelism).mapInPandas(measure, SCHEMA)
+    n = max(1, min(len(paths), spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartitionByRange(n, "path").mapInPandas(measure, SCHEMA)
+
+
+def scan(spark: SparkSession, root: str, max_depth: int = 20) -> DataFrame:
+    """A row a file of a library, partitions in the order of paths."""
+    check_folder(root)
+    return rows_of(spark, listing(root, max_depth))
+
+
+def resampled(x: np.ndarray, own: int, rate: int, half: int = 16) -> np.ndarray:
+    """Windowed-sinc interpolation, low-passed at the lower of both Nyquist rates."""
+    if own == rate or not len(x):
+        return x
+    low = min(1.0, rate / own)
+    reach = int(np.ceil(half / low))
+    out = np.empty(int(len(x) * rate / own))
+    wide = np.pad(x.astype(np.float64), reach + 1)
+    for at in range(0, len(out), 1 << 14):
+        t = np.arange(at, min(at + (1 << 14), len(out))) * own / rate
+        first = np.floor(t).astype(np.int64) - reach + 1
+        d = t[:, None] - (first[:, None] + np.arange(2 * reach))
+        w = np.sinc(d * low) * low * np.where(np.abs(d) < reach, 0.5 + 0.5 * np.cos(np.pi * d / reach), 0)
+        out[at : at + len(t)] = (wide[first[:, None] + np.arange(2 * reach) + reach + 1] * w).sum(1)
+    return out
 
 
 def clip(content: bytes, rate: int = 22_050, seconds: float = 180.0, start: float = 0.10) -> np.ndarray:
-    """Mono float32 of a PCM WAV, from start of its length on, at most `seconds`, linearly resampled."""
+    """Mono float32 of a PCM WAV (8, 16, 24 or 32 bits), from start of its length on, at most `seconds`."""
     with wave.open(io.BytesIO(content)) as w:
         own, n, width, channels = w.getframerate(), w.getnframes(), w.getsampwidth(), w.getnchannels()
         offset = int(n * start)
@@ -74,11 +186,10 @@ def clip(content: bytes, rate: int = 22_050, seconds: float = 180.0, start: floa
     if width == 1:
         x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
     else:
-        x = np.frombuffer(data, f"<i{width}").astype(np.float32) / float(1 << (8 * width - 1))
-    x = x.reshape(-1, channels).mean(1)
-    if own != rate and len(x):
-        x = np.interp(np.arange(int(len(x) * rate / own)) * own / rate, np.arange(len(x)), x)
-    return x.astype(np.float32)
+        raw = np.zeros((len(data) // width, 4), np.uint8)
+        raw[:, 4 - width :] = np.frombuffer(data, np.uint8).reshape(-1, width)  # the upper bytes of 32 bits
+        x = raw.view("<i4")[:, 0] / np.float64(1 << 31)
+    return resampled(x.reshape(-1, channels).mean(1), own, rate).astype(np.float32)
 
 
 def tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -96,8 +207,13 @@ def dataset_tsv(lines: DataFrame, line: str = "value", shortest: float = 10.0) -
 REGISTRY = "schema_version int, indexes array<struct<name string, description string, embedder string, tracks long, url string, sha256 string, size_bytes long>>"
 
 
+def registry_rows(entries: DataFrame) -> DataFrame:
+    """Entries (`at` their place, and the fields) with size_mb; one that lacks a field fails."""
+    fields = [c for c in entries.columns if c != "at"]
+    bad = F.greatest(*[F.col(c).isNull().cast("int") for c in fields]) == 1
+    return entries.where(F.when(bad, F.raise_error(F.lit("a registry entry lacks a field")).cast("boolean")).otherwise(True)).withColumn("size_mb", T.megabytes(F.col("size_bytes")))
+
+
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """Index entries of a registry file; extra keys are dropped, missing ones fail."""
-    e = spark.read.schema(REGISTRY).option("multiLine", True).json(path).select(F.explode("indexes").alias("e")).select("e.*")
-    bad = F.greatest(*[F.col(c).isNull().cast("int") for c in e.columns]) == 1
-    return e.where(F.when(bad, F.raise_error(F.lit("a registry entry lacks a field")).cast("boolean")).otherwise(True)).withColumn("size_mb", T.megabytes(F.col("size_bytes")))
+    return registry_rows(spark.read.schema(REGISTRY).option("multiLine", True).json(path).select(F.posexplode("indexes").alias("at", "e")).select("at", "e.*"))

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import vectors as V
 from ..operators import store
 from ..operators.tables import keep_last
 
 
 def index_stream(spark: SparkSession, rows: DataFrame, root: str, checkpoint: str, embedder: str, dim: int) -> StreamingQuery:
     """rows: a stream of id, v, seq. Of one id the highest seq of a batch wins, a later batch over an
-    earlier one. A batch that is repeated after a failure writes the same rows again."""
+    earlier one. Bad vectors stay out. A batch that is repeated after a failure writes the same rows again."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        new = keep_last(batch, "id", "seq").select("id", "v")
+        new = keep_last(batch.where(V.problem(F.col("v"), dim).isNull()), "id", "seq").select("id", V.doubles(F.col("v")).alias("v"))
         if store.current(spark, root) is not None:
             old = store.load(spark, root, "vectors", embedder)
             new = old.join(new.select("id"), "id", "left_anti").unionByName(new)
