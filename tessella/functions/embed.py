@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from ..sources.library import clip
 
@@ -92,8 +93,8 @@ def embed(df: DataFrame, name: str, path: str = "path", content: str | None = No
                 out, errors = each(model, list(frame[path]), list(frame[content]) if content else [None] * len(frame), dim)
                 yield frame[columns].assign(embedding=out, embed_error=errors)
 
-    fields = df.select(*columns).schema.add("embedding", "array<float>").add("embed_error", "string")
-    return df.mapInPandas(run, fields)
+    fields = [*df.select(*columns).schema, StructField("embedding", ArrayType(FloatType())), StructField("embed_error", StringType())]
+    return df.mapInPandas(run, StructType(fields))
 
 
 class TextUnsupported(ValueError):

@@ -115,4 +115,4 @@ class Engine:
 
     def results(self, ranked: DataFrame) -> DataFrame:
         tracks = self.catalog.rows.select(*FIELDS)
-        return ranked.join(self.ids, "id").drop("id").join(tracks, F.col("track") == F.col("id")).select("rank", "score", "raw_score", *FIELDS)
+        return ranked.join(self.ids, "id").drop("id").join(tracks, F.col("track") == F.col("id")).select("rank", "score", "raw_score", *FIELDS).orderBy("rank")
