@@ -4,8 +4,9 @@ Vectors are quantised to int8 with one scale each. A tile is the product of a
 block of queries with a block of candidates in int8 (held as float32, exact for
 integers of this size); with the norms of what quantisation left out it bounds
 every inner product from both sides. Pairs whose upper bound reaches the query's
-k-th best lower bound survive and are recomputed in double precision, components
-added in order. Each query keeps a heap of its k best over the tiles of a block;
+k-th best lower bound survive, as do those whose bound is not finite (very small
+or large components), and are recomputed in double precision, components added in
+order. Each query keeps a heap of its k best over the tiles of a block;
 the k best of all blocks then meet in a ranked window, at most k rows a block.
 
 Blocks are made by row counts, so a task's memory is bounded whatever the table:
@@ -27,21 +28,21 @@ BLOCK_QUERIES, BLOCK_ROWS, TILE = 4096, 16384, 256
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """id, v: the vectors that take part, in double precision."""
+    """id, v: the vectors that take part, as they are stored; products are in double precision."""
     v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
+    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes as float32, each row's scale, and the norm of what is left out."""
     scale = np.abs(x).max(1) / 127
-    codes = np.rint(x / scale[:, None])
+    codes = np.rint(x / scale[:, None])  # without a scale (subnormal vectors) not finite, like their bounds
     return codes.astype(np.float32), scale, np.linalg.norm(x - codes * scale[:, None], axis=1)
 
 
@@ -53,6 +54,7 @@ def ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@np.errstate(all="ignore")
 def block_best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score) of the k nearest candidates of each query in this block, by tiles."""
     qc, qs, qe = quantise(q)
@@ -68,12 +70,17 @@ def block_best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k
             # q.c = q'.c' + q'.(c - c') + (q - q').c, with |q'| <= |q| + |q - q'|
             off = (qn[rows, None] + qe[rows, None]) * ce[cols] + qe[rows, None] * cn[cols] + slack[rows]
             low = near - off
+            low[~np.isfinite(low)] = -np.inf
             low[qid[rows, None] == cid[cols]] = -np.inf
             floor = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps[rows]])
             if low.shape[1] >= k:
                 floor = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
-            i, j = np.nonzero((near + off >= floor[:, None]) & (qid[rows, None] != cid[cols]))
+            i, j = np.nonzero(~(near + off < floor[:, None]) & (qid[rows, None] != cid[cols]))
             score = ordered_dot(q[rows][i], c[cols][j])
+            order = np.lexsort((cid[cols][j], -score, i))  # no more than k of a tile reach a heap, whatever ties
+            i, j, score = i[order], j[order], score[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            i, j, score = i[first], j[first], score[first]
             for a, s, x in zip((i + at).tolist(), score.tolist(), (-cid[cols][j]).tolist(), strict=True):
                 h = heaps[a]
                 if len(h) < k:
@@ -95,7 +102,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vect
     c_blocks, q_blocks = max(1, -(-n_c // BLOCK_ROWS)), max(1, -(-n_q // BLOCK_QUERIES))
     dim = F.size("v").alias("dim")
     # every block of one side meets every block of the other, by an equi-join on the pair of block numbers
-    right = c.select("id", "v", dim, F.pmod(F.xxhash64("id"), F.lit(c_blocks)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    right = c.select("id", "v", dim, F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(c_blocks)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
     left = q.select("id", "v", dim, F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("cb"))
     keys = ["dim", "qb", "cb"]
 

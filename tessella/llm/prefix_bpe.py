@@ -71,6 +71,9 @@ class PrefixBPE:
         self.n, self.pair_keys, self.pair_made = size, np.array(keys)[order], np.array(joined)[order]
         self._automaton(text)
         self.seen: dict[int, bool] = {}
+        # the same as plain lists, for pretokens that are worked off one by one
+        self.pairs = dict(zip(keys, joined, strict=True))
+        self.lists = {k: getattr(self, k).tolist() for k in ("back", "out", "shorter", "sizes", "made", "left", "right")}
 
     def _automaton(self, text: dict[int, bytes]) -> None:
         """Transitions of the vocabulary's trie, each state's longest proper suffix state
@@ -102,6 +105,7 @@ class PrefixBPE:
         for s, i in enumerate(token):
             if i >= 0 and back[s]:
                 shorter[i] = out[back[s]]
+        self.nodes = nodes
         edges = sorted((s * 256 + b, t) for s, n in enumerate(nodes) for b, t in n.items())
         self.edge_keys, self.edge_to = (np.array(x, np.int64) for x in zip(*edges, strict=True))
         self.back, self.out, self.shorter = np.array(back), np.array(out), shorter
@@ -137,26 +141,44 @@ class PrefixBPE:
             limit[live] = np.where(undo, mx, my + 1)
         return good[where]
 
+    def fits_one(self, a: int, b: int) -> bool:
+        """As fits, of one pair."""
+        made, left, right, limit = self.lists["made"], self.lists["left"], self.lists["right"], 1 << 40
+        while True:
+            if self.pairs.get(a * self.n + b, limit) < limit:
+                return False
+            x, y = made[a], made[b]
+            if not x and not y:
+                return True
+            if x > y:
+                a, limit = right[a], x
+            else:
+                b, limit = left[b], y + 1
+
     def encode_long(self, text: bytes) -> list[int]:
         """One pretoken, of any length."""
-        last, state, zero = [-1], 0, np.zeros(1, np.int64)
+        nodes, back, out, shorter, sizes = self.nodes, *(self.lists[k] for k in ("back", "out", "shorter", "sizes"))
+        last, state, seen, n = [-1], 0, self.seen, self.n
         for p, b in enumerate(text, 1):
-            state = int(self.step(zero + state, zero + b)[0])
-            t = int(self.out[state])
-            while (n := int(self.sizes[t])) != p:
-                key = last[p - n] * self.n + t
-                if key not in self.seen:
-                    self.seen[key] = bool(self.fits(zero + last[p - n], zero + t)[0])
-                if self.seen[key]:
+            while state and b not in nodes[state]:
+                state = back[state]
+            state = nodes[state].get(b, 0)
+            t = out[state]
+            while (size := sizes[t]) != p:
+                key = last[p - size] * n + t
+                good = seen.get(key)
+                if good is None:
+                    good = seen[key] = self.fits_one(last[p - size], t)
+                if good:
                     break
-                t = int(self.shorter[t])
+                t = shorter[t]
             last.append(t)
-        if len(self.seen) > 1_000_000:
-            self.seen.clear()
+        if len(seen) > 1_000_000:
+            seen.clear()
         ids, p = [], len(text)
         while p:
             ids.append(last[p])
-            p -= int(self.sizes[last[p]])
+            p -= sizes[last[p]]
         return ids[::-1]
 
     def encode(self, pretokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

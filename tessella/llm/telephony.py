@@ -6,7 +6,9 @@ brought to 16 kHz by a four-tap half-band filter in integers. Media are WAV
 files in a binary column; what is stored is read back from those bytes alone.
 
 Null and empty media or texts are legal: an empty text still has one block of
-64 zero bytes. A media value that is no such WAV gives null samples.
+64 zero bytes. WAVs of 8 kHz (doubled) and 16 kHz (kept) are read: G.711 and
+16-bit PCM of any number of channels, which are averaged, and mono ADPCM of any
+block size. A media value that is none of these gives null samples.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -96,15 +99,30 @@ def wav(kind: int, payload: bytes, rate: int = RATE, bits: int = 8, align: int =
     return b"RIFF" + struct.pack("<I", 20 + len(fmt) + len(payload)) + b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(payload)) + payload
 
 
+class Format(NamedTuple):
+    kind: int
+    channels: int
+    rate: int
+    align: int
+    bits: int
+
+
 def read_wav(media: bytes) -> tuple[int, memoryview] | None:
-    """(format, samples) of a WAV, or None if it is not one."""
+    """(format code, samples) of a WAV, or None if it is not one."""
+    found = read_chunks(media)
+    return found and (found[0].kind, found[1])
+
+
+def read_chunks(media: bytes) -> tuple[Format, memoryview] | None:
+    """(whole format, samples) of a WAV, or None if it is not one."""
     view, kind, at = memoryview(media), None, 12
     if bytes(view[:4]) != b"RIFF" or bytes(view[8:12]) != b"WAVE":
         return None
     while at + 8 <= len(view):
         name, size = bytes(view[at : at + 4]), struct.unpack("<I", view[at + 4 : at + 8])[0]
         if name == b"fmt " and size >= 16:
-            kind = struct.unpack("<H", view[at + 8 : at + 10])[0]
+            code, channels, rate, _, align, bits = struct.unpack("<HHIIHH", view[at + 8 : at + 24])
+            kind = Format(code, channels, rate, align, bits)
         elif name == b"data":
             return None if kind is None or at + 8 + size > len(view) else (kind, view[at + 8 : at + 8 + size])
         at += 8 + size + size % 2
@@ -112,17 +130,34 @@ def read_wav(media: bytes) -> tuple[int, memoryview] | None:
 
 
 def samples(media: bytes) -> np.ndarray | None:
-    """8 kHz samples of a stored WAV in any of the telephony formats."""
-    if not (found := read_wav(media)):
+    """Mono samples of a stored WAV in any of the telephony formats, at its own rate."""
+    if not (found := read_chunks(media)):
+        return None
+    f, data = found[0], np.frombuffer(found[1], np.uint8)
+    if f.kind == IMA:
+        if f.channels != 1 or f.bits != 4 or f.align < 5:
+            return None
+        whole = len(data) // f.align * f.align
+        out = [ima_decode(data[:whole].reshape(-1, f.align)).ravel()]
+        if len(data) - whole >= 4:  # the last block may be shorter
+            out.append(ima_decode(data[None, whole:])[0])
+        return np.concatenate(out)
+    if (f.kind, f.bits) not in ((MULAW, 8), (ALAW, 8), (PCM, 16)) or not f.channels:
+        return None
+    x = {MULAW: lambda: MULAW_TABLE[data], ALAW: lambda: ALAW_TABLE[data], PCM: lambda: data[: len(data) // 2 * 2].view("<i2")}[f.kind]()
+    if f.channels == 1:
+        return x
+    return np.rint(x[: len(x) // f.channels * f.channels].reshape(-1, f.channels).mean(1)).astype(np.int16)
+
+
+def pcm(media: bytes) -> bytes | None:
+    """A stored WAV as PCM at 16 kHz, itself a WAV; None if it cannot be read."""
+    found, x = read_chunks(media), samples(media)
+    if x is None or found[0].rate not in (RATE, 2 * RATE):
         return None
-    kind, data = found[0], np.frombuffer(found[1], np.uint8)
-    if kind == MULAW:
-        return MULAW_TABLE[data]
-    if kind == ALAW:
-        return ALAW_TABLE[data]
-    if kind == IMA:
-        return ima_decode(data[: len(data) // BLOCK * BLOCK].reshape(-1, BLOCK)).ravel()
-    return data[: len(data) // 2 * 2].view("<i2") if kind == PCM else None
+    if found[0].rate == RATE and len(x):
+        x = double_rate(x, np.zeros(1, int))
+    return wav(PCM, x.astype("<i2").tobytes(), 2 * RATE, 16, 2)
 
 
 def to_pcm(df: DataFrame, media: str = "media", out: str = "pcm") -> DataFrame:
@@ -134,8 +169,7 @@ def to_pcm(df: DataFrame, media: str = "media", out: str = "pcm") -> DataFrame:
         for b in pieces(batches, media, 4 << 20):
             made = []
             for x in b.column(media):
-                found = None if x.as_py() is None else samples(x.as_py())
-                made.append(None if found is None else wav(PCM, double_rate(found, np.zeros(min(1, len(found)), int)).astype("<i2").tobytes() if len(found) else b"", 2 * RATE, 16, 2))
+                made.append(None if x.as_py() is None else pcm(x.as_py()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(made, pa.binary())], [*keep, out])
 
     schema = df.select(*keep).withColumn(out, F.lit(None).cast("binary")).schema
@@ -164,7 +198,7 @@ FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_by
 def measure(media: list[bytes]) -> list[list]:
     """FEATURES of stored mu-law WAVs, from their bytes alone. The feature has, of
     the mu-law samples: peak, mean size and sign changes; the peak of the same
-    bytes as A-law; the mean size as ADPCM blocks; the CRC of the resampled PCM."""
+    bytes as A-law; the mean size as ADPCM blocks; the CRC of the resampled PCM, stored and read back."""
     loads = [read_wav(m)[1] for m in media]
     flat = np.frombuffer(b"".join(loads), np.uint8)
     size = np.array([len(x) for x in loads])
@@ -178,11 +212,13 @@ def measure(media: list[bytes]) -> list[list]:
     ima = np.add.reduceat(blocks, starts // BLOCK) // (size // BLOCK * (2 * BLOCK - 7))
     peak, mean, cross = np.maximum.reduceat(far, starts), np.add.reduceat(far.astype(np.int64), starts) // size, np.add.reduceat(signs, starts)
     alaw = np.maximum.reduceat(np.abs(ALAW_TABLE[flat].astype(np.int32)), starts)
-    pcm = memoryview(double_rate(x, starts).astype("<i2", copy=False)).cast("B")
+    wide = memoryview(double_rate(x, starts).astype("<i2", copy=False)).cast("B")
+    stored = [wav(PCM, wide[4 * s : 4 * (s + n)].tobytes(), 2 * RATE, 16, 2) for s, n in zip(starts.tolist(), size.tolist(), strict=True)]
+    crc = [zlib.crc32(read_wav(m)[1]) for m in stored]
     sha = lambda b: hashlib.sha256(b).hexdigest()
     return [
         size.tolist(), [sha(p) for p in loads], [zlib.crc32(p[-BLOCK:]) for p in loads], [len(m) for m in media], [sha(m) for m in media],
-        [f"mulaw peak={a} mean={b} cross={c} alaw peak={d} ima mean={e} pcm16k crc={zlib.crc32(pcm[4 * s : 4 * (s + n)]):08x}" for a, b, c, d, e, s, n in zip(peak, mean, cross, alaw, ima, starts, size, strict=True)],
+        [f"mulaw peak={a} mean={b} cross={c} alaw peak={d} ima mean={e} pcm16k crc={f:08x}" for a, b, c, d, e, f in zip(peak, mean, cross, alaw, ima, crc, strict=True)],
     ]
 
 

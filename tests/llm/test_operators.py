@@ -345,3 +345,183 @@ def test_least_runs_in_parts(monkeypatch):
     g = np.random.default_rng(3).integers(0, 1 << 62, 100).astype(np.uint64)
     monkeypatch.setattr(path_dedup, "PART", 9)
     assert path_dedup.least_runs(g, 15).tolist() == [i + int(g[i : i + 15].argmin()) for i in range(86)]
+
+
+def test_knn_of_any_size(spark):
+    """Components whose bounds are not finite, ties of very many, one id very often."""
+    rows = [(0, [5e-324, 0.0]), (1, [1e200, 0.0]), (2, [3.0, 4.0]), (3, [1e-200, 1.0]), (4, [-2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in block_knn.nearest(df, df, 3).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q, v in rows:
+        want = sorted((-(v[0] * w[0] + v[1] * w[1]), i) for i, w in rows if i != q)[:3]
+        assert got[q] == [i for _, i in want], q
+    same = spark.createDataFrame([(i % 7, [1.0, 1.0]) for i in range(3000)], "vec_id long, embedding array<float>")
+    out = block_knn.nearest(same, same.where("vec_id = 0"), 20).collect()
+    assert len(out) == 20 and {r["vec_id"] for r in out} == {1}
+
+
+def test_wavs_of_other_kinds():
+    rng = np.random.default_rng(6)
+    x = rng.integers(-9000, 9000, 400).astype("<i2")
+    read = lambda m: np.frombuffer(telephony.read_wav(telephony.pcm(m))[1], "<i2")
+    assert (read(telephony.wav(telephony.PCM, x.tobytes(), 16_000, 16, 2)) == x).all()
+    two = telephony.wav(telephony.PCM, np.repeat(x, 2).tobytes(), 16_000, 16, 4)
+    two = two[:22] + b"\x02\0" + two[24:]
+    assert (read(two) == x).all()
+    assert telephony.pcm(telephony.wav(telephony.PCM, x.tobytes(), 44_100, 16, 2)) is None
+    assert telephony.pcm(telephony.wav(telephony.PCM, x.tobytes(), 8000, 24, 3)) is None and telephony.pcm(b"RIFF") is None
+    blocks = rng.integers(0, 256, (3, 512)).astype(np.uint8)
+    whole = telephony.ima_decode(blocks).ravel()
+    assert (telephony.samples(telephony.wav(telephony.IMA, blocks.tobytes(), 8000, 4, 512)) == whole).all()
+    short = telephony.samples(telephony.wav(telephony.IMA, blocks.tobytes()[: 512 + 100], 8000, 4, 512))
+    assert len(short) == 1017 + 193 and (short == whole[: len(short)]).all()
+    up = read(telephony.wav(telephony.PCM, x.tobytes(), 8000, 16, 2))
+    at = lambda i: int(x[min(max(i, 0), len(x) - 1)])
+    assert (up[::2] == x).all() and up[1::2].tolist() == [max(-32768, min(32767, (9 * (at(i) + at(i + 1)) - at(i - 1) - at(i + 2) + 8) >> 4)) for i in range(len(x))]
+
+
+def test_telephony_media(spark):
+    for r in telephony.text_features(spark.createDataFrame([(1, "héllo " * 30), (2, None)], "doc_id long, text string")).collect():
+        raw = ("héllo " * 30 if r["doc_id"] == 1 else "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        stored = telephony.wav(telephony.MULAW, payload)
+        x = [int(telephony.MULAW_TABLE[b]) for b in payload]
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        crc = zlib.crc32(telephony.read_wav(telephony.pcm(stored))[1])
+        cross = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        ima = sum(abs(int(v)) for v in telephony.ima_decode(np.frombuffer(payload, np.uint8).reshape(-1, 64)).ravel()) // (len(payload) // 64 * 121)
+        alaw = max(abs(int(telephony.ALAW_TABLE[b])) for b in payload)
+        assert r["feature"] == f"mulaw peak={max(map(abs, x))} mean={sum(map(abs, x)) // len(x)} cross={cross} alaw peak={alaw} ima mean={ima} pcm16k crc={crc:08x}"
+
+
+def test_preference_empty_and_long(spark):
+    schema = "pair_id long, side string, turn long, role string, text string"
+    assert preference.format_pairs(spark.createDataFrame([], schema)).count() == 0
+    long = "x" * 3_000_000
+    r = preference.format_pairs(spark.createDataFrame([(1, "chosen", 0, "user", long), (1, "rejected", 0, "user", long), (1, "rejected", 0, "user", long)], schema)).first()
+    assert r["n_common"] == 1 and r["chosen"] == "" and len(r["rejected"]) > 3_000_000
+
+
+def test_url_rules_in_number(spark):
+    """Hundreds of rules against brute force, and urls in a column that the result replaces."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(30)]
+    rules = tuple(url_filters.Rule(rng.choice(("block", "allow")), ".".join(rng.choices(words, k=rng.randint(1, 2))) + "/" + "/".join(rng.choices(words, k=rng.randint(0, 2)))) for _ in range(400)) + (url_filters.Rule("block", "a+b.c/x(1)"),)
+    urls = [f"http://{'.'.join(rng.choices(words, k=3))}/{'/'.join(rng.choices(words, k=3))}?q" for _ in range(300)] + ["http://z.a+b.c/x(1)y", None, "x"]
+    df = spark.createDataFrame([(i, u, 1, 2) for i, u in enumerate(urls)], "page_id long, host string, _best int, row int")
+    got = {r["page_id"]: r for r in url_filters.judge(df, url="host", rules=rules).collect()}
+    hits = 0
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        h, _, p = rest.split("?")[0].partition("/")
+        p = "/" + p if rest else ""
+        fit = [(len(r.text), r.verdict, r.text) for r in rules if (h == (rh := r.text.split("/", 1)[0]) or h.endswith("." + rh)) and p.startswith("/" + r.text.split("/", 1)[1])]
+        best = max(fit, default=(0, "allow", None))
+        hits += best[2] is not None
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"], got[i]["_best"]) == (h, p, best[2], best[1], 1)
+    assert hits > 20
+
+
+def test_long_pretokens():
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "ab" * 5000, "é" * 3000]
+    t, bpe = Tokenizer.from_file(path), prefix_bpe.model(path)[0]
+    for x in texts:
+        assert bpe.encode_long(x.encode()) == t.encode(x, add_special_tokens=False).ids
+    start = time.time()
+    bpe.encode_long(("".join(rng.choice("etaoinshr") for _ in range(200_000))).encode())
+    assert time.time() - start < 10
+
+
+def test_isotonic_is_the_least_squares_fit():
+    """Against the max-min formula of the monotone fit."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        m, y = np.round(rng.standard_normal(12), 1), rng.integers(0, 2, 12).astype(float)
+        xs, ys = toxicity.isotonic(m, y)
+        px = np.concatenate([[m.min() - 1e-9], m, [m.max() + 1e-9]])
+        py = np.concatenate([[0.0], y, [1.0]])
+        u = np.unique(px)
+        s, n = np.array([py[px == v].sum() for v in u]), np.array([(px == v).sum() for v in u])
+        fit = [max(min(s[a : b + 1].sum() / n[a : b + 1].sum() for b in range(i, len(u))) for a in range(i + 1)) for i in range(len(u))]
+        assert np.allclose(np.interp(u, xs, ys), fit)
+
+
+def test_toxic_features_by_hand():
+    lexicon_words = ["scum", "vile"]
+    h = toxicity.hashes(toxicity.split(pa.array([" ".join(lexicon_words)])))
+    order = np.argsort(h)
+    lexicon = toxicity.Lexicon(h[order], np.array([4000, 2000])[order])
+    texts = ["You SCUM! are vile", "sc0um 5cum x", "", "Quiet green trees?"]
+    f = toxicity.features(pa.array(texts), lexicon)
+    for text, row in zip(texts, f, strict=True):
+        w = text.split()
+        plain = ["".join(c for c in x.lower() if c.isalnum()) for x in w]
+        fold = ["".join(toxicity.DISGUISE.get(c, c) for c in x.lower()) for x in w]
+        n = max(1, len(w))
+        hit = [p in lexicon_words for p in plain]
+        odd = [any(c.isalpha() for c in x) and any(c in "0123456789@$*#%&_|" for c in x) for x in w]
+        hidden = [o and not t and "".join(c for c in y if c.isalnum()) in lexicon_words for o, t, y in zip(odd, hit, fold, strict=True)]
+        you = [p in toxicity.SECOND_PERSON for p in plain]
+        chars = max(1, sum(map(len, w)))
+        assert row[0] == sum(hit) / n and row[6] == sum(hidden) / n and row[7] == sum(you) / n
+        assert row[8] == sum(c.isupper() for x in w for c in x) / chars and row[10] == text.count("!") / chars and row[13] == sum(odd) / n
+        near = [(a or b) and any(you[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i, (a, b) in enumerate(zip(hit, hidden, strict=True))]
+        assert row[5] == sum(near) / n
+
+
+def test_best_fit_opens_as_few_sequences_as_plain_best_fit_decreasing():
+    rng = random.Random(5)
+    for _ in range(30):
+        top = rng.choice((10, 64, 300))
+        lengths = [rng.randint(1, top) for _ in range(rng.randint(1, 400))]
+        moves = best_fit.plan(collections.Counter(lengths), top)
+        used = max(m[3] + -(-1 // 1) for m in moves.tolist())
+        room = []
+        for n in sorted(lengths, reverse=True):
+            fit = [r for r in room if r >= n]
+            if fit:
+                room.remove(min(fit))
+                room.append(min(fit) - n)
+            else:
+                room.append(top - n)
+        count = collections.Counter(lengths)
+        seen = set()
+        for length, first, each, seq, _ in moves.tolist():
+            last = min([m[1] for m in moves.tolist() if m[0] == length and m[1] > first], default=count[length])
+            seen.update(range(seq, seq + -(-(last - first) // each)))
+        assert len(seen) == len(room) and used <= len(room)
+
+
+def test_shingle_join_splits_hot_buckets(spark, monkeypatch):
+    """Hot tokens dealt under several keys, buckets split by a second shingle."""
+    rng = random.Random(12)
+    line = "a very common line of ten words that all carry".split()
+    rows = []
+    for i in range(60):
+        w = line + [f"d{i // 3}w{k}" for k in range(rng.randint(1, 4))]
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = dict((i, shingles(t)) for i, t in rows)
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                lo, hi = sorted((root(a), root(b)))
+                parent[hi] = lo
+    for name in ("HOT", "SPLIT", "PAIRS"):
+        monkeypatch.setattr(shingle_join, name, 2)
+    assert {r["doc_id"]: r["component_id"] for r in shingle_join.alike(df).collect()} == {i: root(i) for i in sets}
