@@ -173,10 +173,14 @@ def repeated(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             h = p.windows[np.repeat(p.flat[on], n) + step]
             yield sent.batch(h, h, np.repeat(own[on], n), np.repeat(p.start[on], n) + step, np.ones(len(h), np.int32))
 
-    single = docs.mapInArrow(windows, ROWS).withColumns(ends).where(again)
     columns = ["content", "id", "start", "n"]
-    whole = rows.where("again").select(F.lit(0).alias("layer"), *columns, "late")
-    return whole.unionByName(single.select(F.lit(1).alias("layer"), *columns, late.alias("late")))
+    single = shared.table(docs.mapInArrow(windows, ROWS).withColumns(ends).where(again).select(F.lit(1).alias("layer"), *columns, late.alias("late")), "windows")
+    both = rows.where("again").select(F.lit(0).alias("layer"), *columns, "late").unionByName(single)
+    # rows that are repeated in several tasks have one place
+    out = shared.table(both.repartition("layer", "id").dropDuplicates(["layer", "id", "start", "content"]), "places")
+    shared.drop(rows)
+    shared.drop(single)
+    return out
 
 
 def compacted(places: DataFrame) -> DataFrame:
@@ -194,24 +198,28 @@ def compacted(places: DataFrame) -> DataFrame:
     state = edges.select("content", "prev").join(before, ["content", "prev"], "left")
     state = state.select("content", F.when(F.col("ahead").isNull(), F.col("content")).otherwise(F.col("prev")).alias("head"), F.coalesce("ahead", F.lit(0)).cast("long").alias("ahead"), F.col("ahead").isNull().alias("done"))
     state = shared.table(state, "chains")
+    shared.drop(edges)
     while not state.where("not done").isEmpty():
         of = state.select(F.col("content").alias("head"), F.col("head").alias("_head"), F.col("ahead").alias("_ahead"), F.col("done").alias("_done"))
         on = state.where("not done").drop("done").join(of, "head").select("content", F.col("_head").alias("head"), (F.col("ahead") + F.col("_ahead")).alias("ahead"), F.col("_done").alias("done"))
         last, state = state, shared.table(state.where("done").unionByName(on), "chains")
         shared.drop(last)
-    return state.select("content", "head", "ahead")
+    return state
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """id, start, n: windows start .. start + n - 1 of the document also start earlier."""
     docs = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    # rows that are repeated in several tasks have one place
-    places = repeated(docs, window, anchor).repartition("layer", "id").dropDuplicates(["layer", "id", "start", "content"])
-    places = shared.table(places, "places")
-    of = places.where("late").join(compacted(places), "content").groupBy("head", "id", (F.col("start") - F.col("ahead")).alias("origin"))
+    places = repeated(docs, window, anchor)
+    chains = compacted(places)
+    of = places.where("late").join(chains, "content").groupBy("head", "id", (F.col("start") - F.col("ahead")).alias("origin"))
     of = of.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.sum("n").alias("sum"), F.collect_list(F.struct("start", "n")).alias("parts"))
     one = F.array(F.struct("start", F.col("sum").cast("int").alias("n")))
-    return of.select("id", F.explode(F.when(F.col("end") - F.col("start") == F.col("sum"), one).otherwise(F.col("parts"))).alias("s")).select("id", "s.start", "s.n")
+    found = of.select("id", F.explode(F.when(F.col("end") - F.col("start") == F.col("sum"), one).otherwise(F.col("parts"))).alias("s")).select("id", "s.start", "s.n")
+    out = shared.table(found, "spans")
+    shared.drop(places)
+    shared.drop(chains)
+    return out
 
 
 def without(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, str]:
