@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import engine
+from ..operators import engine, kernel
 from ..operators import tables as O
 from ..operators.catalog import Catalog
 from ..operators.index import VectorIndex, centroid, centroid_rows, ranked
@@ -81,11 +81,11 @@ def dot_scores(spark, d):
     return rows.join(F.broadcast(one)).select("id", six(V.dot(F.col("q"), F.col("v")), "score"))
 
 
-@query(E_ + " SELECT a.id AS query_id, b.id, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) AS cosine FROM e a JOIN e b ON a.id < 10 AND b.label = a.label AND a.id <> b.id")
+@query(E_ + """, s AS (SELECT a.id AS query_id, b.id, list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) AS raw FROM e a JOIN e b ON a.id % 50 = 0 AND a.id <> b.id)
+SELECT query_id, id, round(raw, 6) AS cosine FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) <= 10""")
 def cosine_pairs(spark, d):
-    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), V.unit_query(V.doubles(F.col("embedding"))).alias("v"), "label")
-    q = e.where("id < 10").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "label")  # ten rows
-    return e.join(F.broadcast(q), "label").where("id <> query_id").select("query_id", "id", six(V.dot(F.col("q"), F.col("v")), "cosine"))
+    rows = index(spark, d).rows
+    return kernel.top(rows, rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "v"), 10).select("query_id", "id", six(F.col("raw_score"), "cosine"))
 
 
 @query(ONE_ + f" SELECT id, round({CLIP_}, 6) AS score FROM r")
@@ -174,12 +174,11 @@ def search_json_output(spark, d):
     return index(spark, d).like(0, 10).select(F.to_json(F.struct("rank", "id")).alias("line"), six(F.col("score"), "score"))
 
 
-@query("SELECT doc_id AS id, left(sha256(text), 24) IN (SELECT left(sha256(text), 24) FROM documents WHERE doc_id % 2 = 0) AS known FROM documents WHERE doc_id < 100")
+@query("SELECT doc_id AS id, left(sha256(encode(text)[1:163840]), 24) IN (SELECT left(sha256(encode(text)[1:163840]), 24) FROM documents WHERE doc_id % 2 = 0) AS known FROM documents")
 def self_exclusion(spark, d):
-    key = T.content_id(F.col("text").cast("binary"))
-    docs = read(spark, d, "documents")
-    stored = docs.where("doc_id % 2 = 0").select(key.alias("key")).distinct().withColumn("known", F.lit(True))
-    return docs.where("doc_id < 100").select(F.col("doc_id").alias("id"), key.alias("key")).join(stored, "key", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("doc"), T.content_id(F.encode("text", "UTF-8")).alias("id"))
+    stored = Catalog.of(docs.where("doc % 2 = 0").select("id", F.col("doc").cast("string").alias("path")))
+    return stored.contains(docs).select(F.col("doc").alias("id"), "known")
 
 
 @query(S_.format(queries="a.id = 42") + TOP_ + "WHERE rank <= 5")
@@ -271,11 +270,12 @@ def dedupe_keep_first(spark, d):
     return O.keep_first(read(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
-@query("SELECT vec_id AS id, round(embedding[1]::DOUBLE * CASE WHEN vec_id % 10 = 0 THEN 2 ELSE 1 END, 6) AS x FROM embeddings UNION ALL SELECT vec_id + 1000000, round(embedding[1]::DOUBLE, 6) FROM embeddings WHERE vec_id < 50")
+@query("""WITH n AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x * CASE WHEN vec_id % 10 = 0 THEN 2 ELSE 1 END) AS v FROM embeddings
+UNION ALL SELECT vec_id + 1000000000, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 10 = 5) SELECT id, (generate_subscripts(v, 1) - 1)::INTEGER AS i, round(unnest(v), 6) AS x FROM n""")
 def index_union(spark, d):
     i = index(spark, d)
-    new = i.rows.where("id % 10 = 0").select("id", F.transform("v", lambda x: 2 * x).alias("v")).unionByName(i.rows.where("id < 50").select((F.col("id") + 1000000).alias("id"), "v"))
-    return i.upsert(new).rows.select("id", six(F.get("v", F.lit(0)), "x"))
+    new = i.rows.where("id % 10 = 0").select("id", F.transform("v", lambda x: 2 * x).alias("v")).unionByName(i.rows.where("id % 10 = 5").select((F.col("id") + 1000000000).alias("id"), "v"))
+    return i.upsert(new).rows.select("id", F.posexplode("v").alias("i", "x")).select("id", "i", six(F.col("x"), "x"))
 
 
 @query("SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 1)")
@@ -414,9 +414,9 @@ def metadata_first_value(spark, d):
     return O.keep_first(read(spark, d, "conversations"), "conv_id", "turn").select(F.col("conv_id").alias("id"), F.col("role").alias("first"))
 
 
-@query("SELECT 'index-' || p_partkey AS name, p_size * 1048576.0::DOUBLE / 1048576 AS size_mb FROM part WHERE p_partkey <= 20")
+@query("SELECT 'index-' || p_partkey AS name, p_size * 1048576.0::DOUBLE / 1048576 AS size_mb FROM part")
 def registry_list(spark, d):
-    return read(spark, d, "part").where("p_partkey <= 20").select(F.concat(F.lit("index-"), "p_partkey").alias("name"), T.megabytes(F.col("p_size") * F.lit(1048576.0)).alias("size_mb"))
+    return read(spark, d, "part").select(F.concat(F.lit("index-"), "p_partkey").alias("name"), T.megabytes(F.col("p_size") * F.lit(1048576.0)).alias("size_mb"))
 
 
 # validated changes, catalogs, remote catalogs
@@ -534,10 +534,3 @@ def cli_json_rows(spark, d):
     i, c = index(spark, d), catalog(spark, d)
     e = engine.Engine(i, c, i.rows.select("id", F.concat(F.lit("d"), "id").alias("track")), "mock")
     return engine.json_rows(e.like("d0", 10)).select("rank", F.regexp_replace("line", '"score":[^,]*,"raw_score":[^,]*,', "").alias("line"))
-
-
-@query("SELECT doc_id AS id, left(sha256(encode(text)[1:163840]), 24) IN (SELECT left(sha256(encode(text)[1:163840]), 24) FROM documents WHERE doc_id % 2 = 0) AS known FROM documents")
-def self_exclusion_all(spark, d):
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("doc"), T.content_id(F.encode("text", "UTF-8")).alias("id"))
-    stored = Catalog.of(docs.where("doc % 2 = 0").select("id", F.col("doc").cast("string").alias("path")))
-    return stored.contains(docs).select(F.col("doc").alias("id"), "known")
