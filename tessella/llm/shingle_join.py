@@ -303,3 +303,24 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         one = left.join(twice, key, "left_semi").groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias("_row"))
         left = left.join(twice, key, "left_anti").unionByName(one.select("_row.*"))
     return left.select(*docs.columns).unionByName(docs.where(~linked))
+
+
+def keep_unlike(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """keep_first where no id repeats. Where ids do, components are those of texts, not of ids: rows
+    that share an id are judged each by its own text, so unlike ones stay. A component's row is that
+    of its smallest id, among those the least text by hash, among those the least row. Rows without
+    an id or without words stay."""
+    linked = F.col(key).isNotNull() & F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    some = docs.where(linked)
+    if some.groupBy(key).count().where("count > 1").isEmpty():
+        return keep_first(docs, key, text)
+    node = F.xxhash64(key, text)
+    own = some.select(F.col(key).alias("id"), node.alias("node")).distinct()
+    found = alike(some.select(node.alias("node"), F.col(text).alias("text")), "node", "text").select("node", "component_id").distinct()
+    first = found.join(own, "node").groupBy("component_id").agg(F.min(F.struct("id", "node"))["node"].alias("node"))
+    first = shared.table(first.select(F.col("node").alias("_first")), "first")
+    twice = some.groupBy(node.alias("_first")).count().where("count > 1").join(first, "_first", "left_semi")
+    twice = shared.table(twice.select(F.col("_first").alias("_twice")), "twice")
+    left = some.join(first, node == first["_first"], "left_semi")
+    least = left.join(twice, node == twice["_twice"], "left_semi").groupBy(node.alias("_node")).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("_row"))
+    return left.join(twice, node == twice["_twice"], "left_anti").unionByName(least.select("_row.*")).unionByName(docs.where(~linked))
