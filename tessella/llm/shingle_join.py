@@ -145,8 +145,8 @@ def near(pairs: DataFrame, maps: DataFrame, share: int = SHARE) -> DataFrame:
     return sized.select("x", "y", "nx", "ny", "mapx", "mapy").mapInArrow(measure, "x long, y long, far long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, share: int = SHARE) -> DataFrame:
-    """Those of the distinct pairs x, y whose sets are alike. Texts go to their pairs, and sets are
+def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, share: int = SHARE, k: int = WORDS) -> DataFrame:
+    """Those of the distinct pairs x, y whose sets (of k-word shingles) are alike. Texts go to their pairs, and sets are
     made where they are compared. The end of more pairs is x, so that no y has many; an x of many
     pairs is sent to as many places as they need, so one that a third of all rows are compared with
     is no hot task. Filters of fixed size keep out documents without pairs; what they let through
@@ -177,7 +177,7 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, share: int
             texts, hit = b.column("text"), []
             new = np.ones(len(texts), bool)  # a text of several rows together is split once
             new[1:] = pc.fill_null(pc.not_equal(texts[1:], texts[:-1]), True).to_numpy(zero_copy_only=False)
-            bounds, found = shingle_sets(texts.filter(pa.array(new)))
+            bounds, found = shingle_sets(texts.filter(pa.array(new)), k)
             for x, y, part, i in zip(*(b.column(c).to_pylist() for c in ("x", "y", "part")), (np.cumsum(new) - 1).tolist(), strict=True):
                 one = found[bounds[i] : bounds[i + 1]]
                 if y is None:

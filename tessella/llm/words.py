@@ -61,12 +61,12 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def split(texts: pa.Array, lower: bool = False) -> Words:
-    """The words of each text, optionally with A-Z lower-cased."""
+def split(texts: pa.Array, lower: bool = False, space: np.ndarray = _SPACE) -> Words:
+    """The words of each text, optionally with A-Z lower-cased; space: which bytes are between words."""
     data, bounds = raw(texts)
     if lower:
         data = _LOWER[data]
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
