@@ -61,18 +61,20 @@ class Catalog:
 
     def contains(self, df: DataFrame, key: str = "id") -> DataFrame:
         """df with `known`: whether its key is a track's id."""
-        ids = self.rows.select(F.col("id").alias("_id")).distinct()
-        return df.join(ids, df[key] == ids["_id"], "left").select(*[df[c] for c in df.columns if c != "known"], F.col("_id").isNotNull().alias("known"))
+        ids = self.rows.select(F.struct(F.col("id")).alias("there")).distinct()
+        rows = df.select(F.struct(*df.columns).alias("row"))
+        met = rows.join(ids, F.col("row")[key] == F.col("there.id"), "left")
+        return met.select(*[F.col("row")[c].alias(c) for c in df.columns if c != "known"], F.col("there").isNotNull().alias("known"))
 
     def ids(self) -> DataFrame:
         return self.rows.select("id")
 
     def enrich(self, side: DataFrame, by: Column, key: str, keys: list[str]) -> Catalog:
         """Tracks whose `by` is a key of side get its columns `keys` in extra; others stay."""
-        side = side.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*keys)).alias("_side"))
-        met = self.rows.withColumn("_by", by).join(side, F.col("_by") == F.col("_key"), "left")
-        extra = F.when(F.col("_key").isNull(), F.col("extra")).otherwise(put(F.col("extra"), {k: F.col(f"_side.{k}").cast("string") for k in keys}))
-        return Catalog(met.withColumn("extra", extra).select(*FIELDS), self.library)
+        side = side.groupBy(F.col(key).alias("key")).agg(F.max(F.struct(*keys)).alias("side"))
+        met = self.rows.select(F.struct(*FIELDS).alias("row"), by.alias("by")).join(side, F.col("by") == F.col("key"), "left")
+        extra = F.when(F.col("key").isNull(), F.col("row.extra")).otherwise(put(F.col("row.extra"), {k: F.col("side")[k].cast("string") for k in keys}))
+        return Catalog(met.select(*[extra.alias(c) if c == "extra" else F.col(f"row.{c}").alias(c) for c in FIELDS]), self.library)
 
     def lines(self) -> DataFrame:
         """One JSON object a track."""

@@ -19,6 +19,7 @@ from ..functions import resolve, text as T
 from . import store
 from .catalog import Catalog, FIELDS
 from .index import VectorIndex
+from .stored import StoredIndex
 
 TOP, SCORES = (1, 100), (-1.0, 1.0)
 
@@ -70,22 +71,20 @@ def json_rows(found: DataFrame) -> DataFrame:
 
 @dataclass
 class Engine:
-    """ids: which track id each number of the index stands for (id long, track string)."""
+    """ids: which track id each id of the index stands for (id, track string); None where they are the same."""
 
     index: VectorIndex
     catalog: Catalog
-    ids: DataFrame
+    ids: DataFrame | None
     embedder: str
     chain: resolve.Chain = field(default_factory=resolve.Chain)
 
     @classmethod
     def load(cls, spark, root: str, embedder: str | None = None) -> Engine:
-        at = store.current(spark, root)
-        if at is None:
+        if store.current(spark, root) is None:
             raise NoIndex(f"no index at {root}")
-        vectors = store.load(spark, root, "vectors", embedder)
-        numbered = vectors.select(F.xxhash64("id").alias("id"), F.col("id").alias("track"), "v")
-        return cls(VectorIndex(numbered.select("id", "v"), at["dim"]), Catalog(store.load(spark, root, "catalog", embedder)), numbered.select("id", "track"), at["embedder"])
+        held = StoredIndex.open(spark, root, embedder)
+        return cls(held.index(), Catalog(held.log.read("catalog")), None, held.embedder)
 
     def _embed_file(self, path: str) -> list[float]:
         make, dim = E.find(self.embedder)
@@ -104,15 +103,18 @@ class Engine:
                 key = hashlib.sha256(f.read(T.SAMPLE_BYTES)).hexdigest()[: T.ID_LETTERS]
             query = self._embed_file(path)
             if not self.catalog.get(key).isEmpty():
-                exclude = [r["id"] for r in self.ids.where(F.col("track") == key).collect()]  # one track
+                exclude = [key] if self.ids is None else [r["id"] for r in self.ids.where(F.col("track") == key).collect()]  # one track
         else:
             query = E.embed_text(self.embedder, source).astype(float).tolist()
         return self.results(self.index.search(query, k, least, exclude))
 
     def like(self, track: str, k: int = 10, least: float = -1.0) -> DataFrame:
+        if self.ids is None:
+            return self.results(self.index.like(track, k, least))
         one = self.ids.where(F.col("track") == track).first()
         return self.results(self.index.like(one["id"] if one else -1, k, least))
 
     def results(self, ranked: DataFrame) -> DataFrame:
         tracks = self.catalog.rows.select(*FIELDS)
-        return ranked.join(self.ids, "id").drop("id").join(tracks, F.col("track") == F.col("id")).select("rank", "score", "raw_score", *FIELDS).orderBy("rank")
+        named = ranked.withColumnRenamed("id", "track") if self.ids is None else ranked.join(self.ids, "id").drop("id")
+        return named.join(tracks, F.col("track") == F.col("id")).select("rank", "score", "raw_score", *FIELDS).orderBy("rank")

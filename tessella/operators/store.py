@@ -1,20 +1,19 @@
-"""Versioned Parquet tables of a library: new versions are written whole, then a pointer moves.
+"""Libraries as versions of keyed tables: whole versions are saved here, changes go by operators/delta.py.
 
-The pointer is a small file with a rising number that only one writer can
-create; the highest number is the current version. A writer that based its work
-on an older number fails and changes nothing.
+A version is published by a file that only one writer can create (see there for which file systems
+this holds). A writer that based its work on an older number fails and changes nothing.
 """
 
 from __future__ import annotations
 
-import datetime
-import json
-import uuid
-
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .delta import Log, Moved
+from .files import at as _fs
+from .files import remove
+
+__all__ = ["ConcurrentWrite", "EmbedderMismatch", "SCHEMA_VERSION", "SchemaError", "checked", "current", "disk_usage", "load", "remove", "save"]
 SCHEMA_VERSION = 1
 
 
@@ -30,47 +29,26 @@ class ConcurrentWrite(RuntimeError):
     pass
 
 
-def _fs(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    fs, at = _fs(spark, path)
-    fs.delete(at, True)
-
-
-def save(root: str, tables: dict[str, DataFrame], embedder: str, dim: int, after: int | None = None, library: str = "") -> str:
-    """Publishes a version behind number `after` (the current one, if not given)."""
+def save(root: str, tables: dict[str, DataFrame], embedder: str, dim: int, after: int | None = None, library: str = "", facts: dict | None = None) -> int:
+    """Publishes whole tables, each with a row an id, behind number `after` (the current one, if not given); gives the version's number."""
     spark = next(iter(tables.values())).sparkSession
-    if after is None:
-        after = (current(spark, root) or {"number": 0})["number"]
-    version = f"v-{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/{version}/{name}")
-    head = {"number": after + 1, "version": version, "schema_version": SCHEMA_VERSION, "embedder": embedder, "dim": dim, "library": library, "built_at": datetime.datetime.now(datetime.timezone.utc).isoformat()}
-    fs, at = _fs(spark, f"{root}/current/{after + 1:012d}.json")
+    log = Log(spark, root)
+    based = log.version()["number"] if after is None else after
+    head = {"schema_version": SCHEMA_VERSION, "embedder": embedder, "dim": dim, "library": library}
     try:
-        out = fs.create(at, False)
-    except Py4JJavaError as e:
-        if fs.exists(at):
-            raise ConcurrentWrite(f"another writer published number {after + 1}") from e
-        raise
-    out.write(bytearray(json.dumps(head).encode()))
-    out.close()
-    return version
+        return log.replace({name: (df, "id") for name, df in tables.items()}, (facts or {}) | head, based)
+    except Moved as e:
+        raise ConcurrentWrite(f"another writer published a version after {based}") from e
 
 
 def current(spark: SparkSession, root: str) -> dict | None:
-    """The pointer of the current version."""
-    fs, at = _fs(spark, f"{root}/current")
-    names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
-    names = [n for n in names if n.endswith(".json")]
-    return json.loads(spark.read.text(f"{root}/current/{names[-1]}", wholetext=True).first()[0]) if names else None
+    """number, built_at, schema_version, embedder, dim, library and further facts of the current version."""
+    head = Log(spark, root).version()
+    return head["facts"] | {"number": head["number"], "built_at": head["built_at"]} if head["number"] else None
 
 
-def load(spark: SparkSession, root: str, name: str, embedder: str | None = None) -> DataFrame:
-    """A table of the current version; vectors of another width than the pointer's fail the query."""
+def checked(spark: SparkSession, root: str, embedder: str | None = None) -> dict:
+    """What `current` gives, of a store that can be read with this embedder."""
     at = current(spark, root)
     if at is None:
         raise FileNotFoundError(f"no index at {root}")
@@ -78,7 +56,13 @@ def load(spark: SparkSession, root: str, name: str, embedder: str | None = None)
         raise SchemaError(f"version {at['schema_version']} is not {SCHEMA_VERSION}")
     if embedder and at["embedder"] != embedder:
         raise EmbedderMismatch(f"the index was built with {at['embedder']}, not {embedder}")
-    out = spark.read.parquet(f"{root}/{at['version']}/{name}")
+    return at
+
+
+def load(spark: SparkSession, root: str, name: str, embedder: str | None = None) -> DataFrame:
+    """A table of the current version; vectors of another width than the store's fail the query."""
+    at = checked(spark, root, embedder)
+    out = Log(spark, root).read(name, at["number"])
     if name == "vectors":
         wrong = F.raise_error(F.lit(f"a vector is not of width {at['dim']}")).cast("boolean")
         out = out.where(F.when(F.size("v") == at["dim"], True).otherwise(wrong))
