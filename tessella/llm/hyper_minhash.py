@@ -5,19 +5,23 @@ sequence as one shingle, one without words none. Two documents link when
 100 * common >= 80 * all shingles of both.
 
 A shingle's hash names one of REGISTERS buckets by its upper bits; of the least rest in a bucket
-a register keeps the number of leading zeros (6 bits) and the next MANTISSA bits: 2 bytes. An
-empty register borrows from a filled one, by the least entry of a fixed table of hashes
-(register, bucket), so two registers agree as often as the sets are alike, in small sets too.
+a register keeps the number of leading zeros (4 bits, at most 15) and the next MANTISSA bits: a byte.
+An empty register borrows from the first filled one in an order of its own, fixed by hashes,
+so two registers agree as often as the sets are alike, in small sets too.
 
 1. Documents of one set are one class, aggregated before anything meets.
-2. Each BAND registers in a row make a key, so linked classes share none of the keys with a chance
-   of (1 - 0.8^BAND)^(REGISTERS // BAND) at most, 3e-6.
-3. Each class meets the first one of its buckets. The share of agreeing registers, corrected for
-   registers that agree by accident, estimates the Jaccard coefficient; the nearest one whose estimate
-   is within SIGMAS deviations of the threshold is verified on the full sets. That gives components.
-4. Buckets of several components: classes of different components and of like size meet, are estimated
-   and verified likewise. Buckets of more than SPLIT rows are split by further keys in common, again
-   and again until they are small; there, two linked classes need several of their keys in common.
+2. Each BAND registers in a row make a key, KEYS of them in all, so linked classes share none of the
+   keys with a chance of (1 - 0.8^BAND)^KEYS at most, 8e-6.
+3. Of the first classes of its buckets each class meets the one it shares most keys with. The share of
+   agreeing registers, corrected for registers that agree by accident, estimates the Jaccard coefficient;
+   where it is within SIGMAS deviations of the threshold the full sets are compared. That gives components.
+4. In buckets of more than SPLIT rows and several components, classes meet one other of their bucket, again
+   and again as long as that links a MERGE-th of them.
+5. Registers of the classes in buckets of several components go to these buckets, where classes of
+   different components and of like size are estimated, each pair at the first key it shares; the sets of
+   those within SIGMAS deviations are compared (true links are missed with a chance of 3e-5 at the very
+   threshold). Buckets that still have more than SPLIT rows are split by further keys in common, again and again until
+   they are small; there, two linked classes need several of their keys in common.
 Pairs that never meet are in one component already, so components are those of all links found.
 
 A bucket's first row, size and components are aggregates that are joined to its rows, a join whose
@@ -42,18 +46,34 @@ from .shingle_join import blobs, shingle_sets, verified
 from .words import U64, pieces, release, splitmix
 
 WORDS, SHARE = 2, 80
-REGISTERS, MANTISSA, BAND, SIGMAS = 256, 10, 6, 6
+REGISTERS, MANTISSA, BAND, KEYS, SIGMAS = 1024, 4, 8, 64, 4
+MERGE = 50  # while at least one of so many classes in large buckets finds a link, they meet again
 SPLIT = 1024  # rows of a bucket of several components from which on it is split by further keys
+FEW = 32  # filled registers up to which all of them are looked at for each empty one
 _REST = 64 - REGISTERS.bit_length() + 1  # bits of a hash below the bucket's
-_DRAWN = splitmix(np.arange(REGISTERS * REGISTERS, dtype=U64) + U64(1 << 44)).reshape(REGISTERS, REGISTERS)
-KEYS = REGISTERS // BAND
+_ORDER = np.argsort(splitmix(np.arange(REGISTERS * REGISTERS, dtype=U64) + U64(1 << 44)).reshape(REGISTERS, REGISTERS), axis=1).astype(np.int16)
+_PLACE = np.argsort(_ORDER, axis=1).astype(np.int16)
 
 
 def zeros_and_mantissa(rest: np.ndarray) -> np.ndarray:
-    """Leading zeros of the least bits of a hash, and the bits behind its leading one; smaller hashes give no larger codes of zeros."""
+    """Leading zeros of the lower bits of a hash, and the bits behind its leading one."""
     bits = min(_REST, 53)
     part, length = np.frexp((rest >> U64(_REST - bits)).astype(np.float64))
-    return ((bits - length).astype(np.uint16) << np.uint16(MANTISSA)) | ((2 * part - 1).clip(0) * (1 << MANTISSA)).astype(np.uint16)
+    return (np.minimum(bits - length, 15).astype(np.uint8) << np.uint8(MANTISSA)) | ((2 * part - 1).clip(0) * (1 << MANTISSA)).astype(np.uint8)
+
+
+def lenders(filled: np.ndarray) -> np.ndarray:
+    """For each empty register the filled one that comes first in its order."""
+    own, none = np.flatnonzero(filled), np.flatnonzero(~filled)
+    if len(own) <= FEW:
+        return own[_PLACE[none[:, None], own].argmin(1)]
+    out, left, step = np.empty(len(none), np.int64), np.arange(len(none)), 0
+    while len(left):
+        at = _ORDER[none[left], step]
+        hit = filled[at]
+        out[left[hit]] = at[hit]
+        left, step = left[~hit], step + 1
+    return out
 
 
 def registers(ends: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -62,13 +82,12 @@ def registers(ends: np.ndarray, found: np.ndarray) -> np.ndarray:
     cell = np.repeat(np.arange(n, dtype=np.int64) * REGISTERS, np.diff(ends)) + (found >> U64(_REST)).astype(np.int64)
     new = np.ones(len(cell), bool)
     new[1:] = cell[1:] != cell[:-1]  # the least hash of a bucket comes first
-    out, filled = np.zeros(n * REGISTERS, np.uint16), np.zeros(n * REGISTERS, bool)
+    out, filled = np.zeros(n * REGISTERS, np.uint8), np.zeros(n * REGISTERS, bool)
     out[cell[new]] = zeros_and_mantissa(found[new] & U64((1 << _REST) - 1))
     filled[cell[new]] = True
     out, filled = out.reshape(n, REGISTERS), filled.reshape(n, REGISTERS)
     for d in np.flatnonzero(filled.any(1) & ~filled.all(1)):
-        own, none = np.flatnonzero(filled[d]), np.flatnonzero(~filled[d])
-        out[d, none] = out[d, own[_DRAWN[none[:, None], own].argmin(1)]]
+        out[d, ~filled[d]] = out[d, lenders(filled[d])]
     return out
 
 
@@ -76,9 +95,10 @@ def accidental(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The chance that a register of two sets of n and m shingles without a common one agrees. In a cell of width w
     at x the least of n is with density n e^(-nx) w; cells of one count of zeros are summed as an integral."""
     n, m = (np.maximum(1.0, v / REGISTERS) for v in (n, m))
-    level = np.arange(54)[:, None]
+    level = np.arange(16)[:, None]
+    low = np.where(level < 15, np.exp2(-(level + 1.0)), 0)  # the last count stands for all further ones
     width = np.exp2(-(level + 1.0 + MANTISSA))
-    return (n * m * width / (n + m) * (np.exp(-(n + m) * np.exp2(-(level + 1.0))) - np.exp(-(n + m) * np.exp2(-1.0 * level)))).sum(0)
+    return (n * m * width / (n + m) * (np.exp(-(n + m) * low) - np.exp(-(n + m) * np.exp2(-1.0 * level)))).sum(0)
 
 
 def estimated(agree: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -92,8 +112,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 ends, found = shingle_sets(part.column("text"), WORDS)
                 total = lambda x: pa.array(splitmix(np.diff(np.concatenate([np.zeros(1, U64), np.cumsum(x, dtype=U64)])[ends])).view(np.int64))  # noqa: B023, E731
                 regs = registers(ends, found)
@@ -103,14 +123,17 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def rows_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+
+
+def bands(regs: np.ndarray) -> np.ndarray:
+    """The registers of each band, as a number."""
+    return np.ascontiguousarray(regs[:, : KEYS * BAND]).view(np.dtype(f"u{BAND}"))
 
 
 def keys(regs: np.ndarray) -> np.ndarray:
-    """A key for each band of registers."""
-    odd = splitmix(np.arange(BAND, dtype=U64) + U64(1 << 45)) | U64(1)
-    bands = (regs[:, : KEYS * BAND].reshape(-1, KEYS, BAND).astype(U64) + U64(1)) * odd
-    return splitmix(bands.sum(2, dtype=U64) + splitmix(np.arange(KEYS, dtype=U64)))
+    """A key for each band."""
+    return splitmix(bands(regs) ^ splitmix(np.arange(KEYS, dtype=U64) + U64(1 << 45)))
 
 
 def banded(members: DataFrame) -> DataFrame:
@@ -129,19 +152,64 @@ def like(nx: Column, ny: Column, share: int) -> Column:
     return (100 * nx >= share * ny) & (100 * ny >= share * nx)
 
 
+def within(share: int) -> float:
+    """The least estimate of two sets that may link."""
+    j = share / 100
+    return j - SIGMAS * (j * (1 - j) / REGISTERS) ** 0.5
+
+
 def near(pairs: DataFrame, members: DataFrame, share: int) -> DataFrame:
-    """x, y, far of the distinct pairs x, y whose registers allow a link; far: registers that differ."""
-    bound = share / 100 - SIGMAS * (share / 100 * (1 - share / 100) / REGISTERS) ** 0.5
+    """Those of the distinct pairs x, y (few of each y) whose registers allow a link."""
     x, y = (members.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"regs{s}")) for s in "xy")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "regsx", 1 << 20):
-            same = (rows_of(b.column("regsx")) == rows_of(b.column("regsy"))).sum(1)
-            hit = pa.array(estimated(same / REGISTERS, b.column("nx").to_numpy(), b.column("ny").to_numpy()) >= bound)
-            yield pa.RecordBatch.from_arrays([b.column("x").filter(hit), b.column("y").filter(hit), pa.array(REGISTERS - same).filter(hit)], ["x", "y", "far"])
+            same = (rows_of(b.column("regsx")) == rows_of(b.column("regsy"))).mean(1)
+            hit = pa.array(estimated(same, b.column("nx").to_numpy(), b.column("ny").to_numpy()) >= within(share))
+            yield pa.RecordBatch.from_arrays([b.column("x").filter(hit), b.column("y").filter(hit)], ["x", "y"])
 
     met = pairs.join(x, "x").join(y, "y").where(like(F.col("nx"), F.col("ny"), share))
-    return met.select("x", "y", "nx", "ny", "regsx", "regsy").mapInArrow(measure, "x long, y long, far long")
+    return met.select("x", "y", "nx", "ny", "regsx", "regsy").mapInArrow(measure, "x long, y long")
+
+
+def met(rows: DataFrame, members: DataFrame, share: int) -> DataFrame:
+    """x, y of different components and of like size in one bucket whose registers allow a link. rows: tok, at, deep, rep, n, c of
+    buckets of bounded size; deep: whether the bucket is one of several keys. Registers go to the buckets, and pairs
+    are made where they are compared; a pair is made at the first key that it shares."""
+
+    def pairs(rep: np.ndarray, n: np.ndarray, c: np.ndarray, regs: np.ndarray, at: int, deep: bool) -> Iterator[tuple]:
+        band = bands(regs)
+        for i in range(len(rep) - 1):
+            j = i + 1 + np.flatnonzero((c[i + 1 :] != c[i]) & (100 * n[i + 1 :] >= share * n[i]) & (100 * n[i] >= share * n[i + 1 :]))
+            if not deep and len(j):
+                j = j[(band[j] == band[i]).argmax(1) == at]
+            if len(j):
+                j = j[estimated((regs[j] == regs[i]).mean(1), np.full(len(j), n[i]), n[j]) >= within(share)]
+            for k in j.tolist():
+                yield (int(rep[i]), int(rep[k])) if rep[i] < rep[k] else (int(rep[k]), int(rep[i]))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in pieces(batches, "regs", 1 << 20):
+            both = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+            tok = both.column("tok").to_numpy()
+            ends = np.flatnonzero(tok[1:] != tok[:-1]) + 1  # the last bucket may go on in the next batch
+            last = int(ends[-1]) if len(ends) else 0
+            yield found(both.slice(0, last), np.concatenate([[0], ends]))
+            held = both.slice(last).combine_chunks().to_batches()[0]
+        if held is not None:
+            yield found(pa.Table.from_batches([held]), np.array([0, held.num_rows]))
+
+    def found(table: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+        out: list[tuple] = []
+        rep, n, c, at, deep = (table.column(x).to_numpy() for x in ("rep", "n", "c", "at", "deep"))
+        for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out += pairs(rep[a:z], n[a:z], c[a:z], rows_of(table.column("regs").slice(a, z - a)), int(at[a]), bool(deep[a]))
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["x", "y"])
+
+    dealt = rows.join(members.select("rep", "n", "regs"), ["rep", "n"]).select("tok", "at", "deep", "rep", "n", "c", "regs")
+    dealt = dealt.repartition(shared.partitions(rows.sparkSession), "tok").sortWithinPartitions("tok", "rep")
+    return dealt.mapInArrow(compare, "x long, y long").distinct()
 
 
 def mixed(rows: DataFrame, split: int) -> DataFrame:
@@ -169,31 +237,42 @@ def _alike(docs: DataFrame, key: str, text: str, share: int, split: int) -> Data
     last, buckets = index, shared.table(buckets, "buckets")
     shared.drop(last)
 
-    star = buckets.where((F.col("rep") != F.col("first")) & like(F.col("n"), F.col("first_n"), share)).select(F.col("first").alias("x"), F.col("rep").alias("y")).distinct()
-    nearest = near(star, members, share).groupBy("y").agg(F.min_by("x", F.struct("far", "x")).alias("x"))
-    links = verified(docs, nearest.select("x", "y"), key, text, share, WORDS)
+    star = buckets.where((F.col("rep") != F.col("first")) & like(F.col("n"), F.col("first_n"), share)).groupBy(F.col("first").alias("x"), F.col("rep").alias("y")).count()
+    nearest = star.groupBy("y").agg(F.min_by("x", F.struct(-F.col("count"), F.col("x"))).alias("x"))
+    links = verified(docs, near(nearest, members, share).select("x", "y"), key, text, share, WORDS)
     # rows that share an id are one node
     own = rows.where(linked).join(members.select("n", "a", "b", "rep"), ["n", "a", "b"])
     twice = own.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y")
     links = links.unionByName(own.join(twice.select("id", "x"), "id").select("x", F.col("rep").alias("y")).where("x <> y"))
     known = components(links)
 
-    placed = buckets.select("tok", "at", "rep", "n").join(known.withColumnRenamed("node", "rep"), "rep", "left")
-    at = mixed(placed.select("tok", "at", "rep", "n", F.coalesce("component", "rep").alias("c")), split)
-    cold = at.where("NOT hot")
+    def several(known: DataFrame) -> DataFrame:
+        placed = buckets.select("tok", "at", "rep", "n").join(known.withColumnRenamed("node", "rep"), "rep", "left")
+        return mixed(placed.select("tok", "at", "rep", "n", F.coalesce("component", "rep").alias("c")), split)
+
+    at, turn = several(known), 0
+    while (many := at.where("hot").select("rep").distinct().count()) > 0:  # large buckets: all meet another one of their bucket each time, while that links many
+        hot = at.where("hot")
+        lead = hot.groupBy("tok").agg(F.min_by(F.struct("rep", "n", "c"), F.xxhash64("rep", F.lit(turn))).alias("lead"))
+        star = hot.join(lead, "tok").where((F.col("c") != F.col("lead.c")) & like(F.col("n"), F.col("lead.n"), share))
+        star = star.groupBy(F.col("lead.rep").alias("x"), F.col("rep").alias("y")).count()
+        nearest = star.groupBy("y").agg(F.min_by("x", F.struct(-F.col("count"), F.col("x"))).alias("x"))
+        new = verified(docs, near(nearest, members, share).select("x", "y"), key, text, share, WORDS)
+        if (found := new.count()) > 0:
+            known = components(known.select(F.col("component").alias("x"), F.col("node").alias("y")).unionByName(new))
+            shared.drop(at)
+            at = several(known)
+        if found * MERGE < many:
+            break
+        turn += 1
+    cold = at.where("NOT hot").withColumn("deep", F.lit(False))
     while not (hot := at.where("hot")).isEmpty():
         further = banded(members.join(hot.select("rep").distinct(), "rep", "left_semi")).select(F.col("tok").alias("_tok"), F.col("at").alias("_at"), F.col("rep").alias("_rep"))
         deeper = hot.join(further, (F.col("rep") == F.col("_rep")) & (F.col("at") < F.col("_at")))
         at = mixed(deeper.select(F.xxhash64("tok", "_tok").alias("tok"), F.col("_at").alias("at"), "rep", "n", "c"), split)
-        cold = cold.unionByName(at.where("NOT hot"))
-    # sizes of linked sets lie in one band or in two that follow each other
-    cold = cold.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / share)) + 1e-9).cast("int"))
-    x, y = (cold.select("tok", *[F.col(c).alias(f"{c}{s}") for c in ("rep", "n", "c", "size")]) for s in "xy")
-    apart = (F.col("cx") != F.col("cy")) & like(F.col("nx"), F.col("ny"), share)
-    met = x.withColumn("size", F.col("sizex")).join(y.withColumn("size", F.col("sizey")), ["tok", "size"]).where(apart & (F.col("repx") < F.col("repy")))
-    met = met.unionByName(x.withColumn("size", F.col("sizex") + 1).join(y.withColumn("size", F.col("sizey")), ["tok", "size"]).where(apart))
-    met = near(met.select(F.least("repx", "repy").alias("x"), F.greatest("repx", "repy").alias("y")).distinct(), members, share)
-    more = verified(docs, met.select("x", "y").distinct(), key, text, share, WORDS)
+        cold = cold.unionByName(at.where("NOT hot").withColumn("deep", F.lit(True)))
+    met_ = shared.table(met(cold, members, share), "met")
+    more = verified(docs, met_, key, text, share, WORDS)
     final = known if more.isEmpty() else components(known.select(F.col("component").alias("x"), F.col("node").alias("y")).unionByName(more))
     final = members.select("n", "a", "b", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component_id"))
     found = rows.where(linked).join(final, ["n", "a", "b"]).select("id", "n", "component_id")

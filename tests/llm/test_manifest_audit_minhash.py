@@ -65,9 +65,21 @@ def linked(rows):
     return collections.Counter((r[0], len(sets[i]), c := least[find(i)] if i in live else r[0], r[0] == c) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("split", [hyper_minhash.SPLIT, 3])
-def test_minhash(spark, rows, split):
-    got = collections.Counter(tuple(r) for r in hyper_minhash.alike(table(spark, rows).repartition(3), split=split).collect())
+def test_minhash(spark, rows):
+    got = collections.Counter(tuple(r) for r in hyper_minhash.alike(table(spark, rows).repartition(3)).collect())
+    assert got == linked(rows)
+
+
+def test_minhash_of_large_families(spark):
+    """Buckets above the bound: copies of one text with some words changed, alike to many or to few of the others."""
+    rng = random.Random(12)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice((2, 6, 9))):
+            w[rng.randrange(120)] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", "a", None))
+    got = collections.Counter(tuple(r) for r in hyper_minhash.alike(table(spark, rows).repartition(3), split=20).collect())
     assert got == linked(rows)
 
 
@@ -91,21 +103,29 @@ def test_registers_estimate_the_coefficient():
 
 
 def test_registers_hold_zeros_and_mantissa():
-    rest = np.array([0, 1, 2, 3, (1 << 56) - 1, 1 << 55, (1 << 55) + (1 << 54)], np.uint64)
-    codes = hyper_minhash.zeros_and_mantissa(rest).tolist()
-    assert codes[4] == 1023 and codes[5] == 0 and codes[6] == 512 and codes[0] == 53 << 10
-    assert (np.diff(hyper_minhash.zeros_and_mantissa(np.left_shift(1, np.arange(3, 56)).astype(np.uint64)).astype(int)) == -1024).all()
+    top = hyper_minhash._REST - 1
+    rest = np.array([0, (1 << top + 1) - 1, 1 << top, (1 << top) + (1 << top - 1), 1 << top - 3, 1], np.uint64)
+    assert hyper_minhash.zeros_and_mantissa(rest).tolist() == [15 << 4, 15, 0, 8, 3 << 4, 15 << 4]
+
+
+def test_lenders_are_the_first_in_order():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 32, 33, 200, 1000):
+        filled = np.zeros(hyper_minhash.REGISTERS, bool)
+        filled[rng.choice(hyper_minhash.REGISTERS, n, replace=False)] = True
+        want = [next(int(b) for b in hyper_minhash._ORDER[i] if filled[b]) for i in np.flatnonzero(~filled)]
+        assert hyper_minhash.lenders(filled).tolist() == want
 
 
 def test_accidental_agreement():
     rng = np.random.default_rng(8)
-    n = 256 * 40
+    n = hyper_minhash.REGISTERS * 10
     same = 0
     for _ in range(40):
         both = rng.integers(0, 1 << 64, 2 * n, dtype=np.uint64)
         r = hyper_minhash.registers(np.array([0, n, 2 * n]), np.concatenate([np.sort(both[:n]), np.sort(both[n:])]))
         same += int((r[0] == r[1]).sum())
-    want = 40 * 256 * hyper_minhash.accidental(np.array([n]), np.array([n]))[0]
+    want = 40 * hyper_minhash.REGISTERS * hyper_minhash.accidental(np.array([n]), np.array([n]))[0]
     assert abs(same - want) < 5 * max(want, 1) ** 0.5
 
 
