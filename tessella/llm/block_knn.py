@@ -1,8 +1,8 @@
 """Nearest neighbours by inner product: a block matrix join with int8 tiles.
 
 Vectors are quantised to int8 with one scale each. A tile is the product of a
-block of queries with a block of candidates in int8 (held as float32, exact for
-integers of this size); with the norms of what quantisation left out it bounds
+block of queries with a block of candidates in int8 (held as float32 and summed over at
+most EXACT components at a time, so every integer is exact); with the norms of what quantisation left out it bounds
 every inner product from both sides. Pairs whose upper bound reaches the query's
 k-th best lower bound survive, as do those whose bound is not finite (very small
 or large components), and are recomputed in double precision, components added in
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_QUERIES, BLOCK_ROWS, TILE = 4096, 16384, 256
+EXACT = (1 << 24) // 127**2  # int8 products whose sum float32 holds exactly
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -54,6 +55,14 @@ def ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of int8 codes, exact in any width."""
+    out = np.zeros((len(a), len(b)))
+    for d in range(0, a.shape[1], EXACT):
+        out += a[:, d : d + EXACT] @ b[:, d : d + EXACT].T
+    return out
+
+
 @np.errstate(all="ignore")
 def block_best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score) of the k nearest candidates of each query in this block, by tiles."""
@@ -66,7 +75,7 @@ def block_best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k
         rows = slice(at, at + TILE)
         for left in range(0, len(cid), BLOCK_QUERIES):
             cols = slice(left, left + BLOCK_QUERIES)
-            near = (qc[rows] @ cc[cols].T).astype(np.float64) * qs[rows, None] * cs[cols]
+            near = code_products(qc[rows], cc[cols]) * qs[rows, None] * cs[cols]
             # q.c = q'.c' + q'.(c - c') + (q - q').c, with |q'| <= |q| + |q - q'|
             off = (qn[rows, None] + qe[rows, None]) * ce[cols] + qe[rows, None] * cn[cols] + slack[rows]
             low = near - off

@@ -39,7 +39,7 @@ from .elias_fano import EliasFano
 from .words import U64, hashes, pieces, split, splitmix
 
 SLICE = 2 << 20  # bytes of text handled together: n-grams of larger pieces repeat more
-ORDER, LEAST, DISCOUNT = 3, 2, 0.5
+ORDER, LEAST, DISCOUNT = 3, 1, 0.5
 STEP = 4096  # quantisation: 1 / STEP of a decimal logarithm
 END = splitmix(np.array([1 << 44], U64))[0]
 HELD, MARKS, FILE_TOKENS = 1_500_000, 64, 4_000_000

@@ -24,8 +24,8 @@ documents share is a few rows a task when edges meet. All windows of all
 documents take part; nothing is collected.
 
 Null texts have no words. Rows without an id lose nothing and count for nobody.
-Rows that share an id are one document: what is removed from one goes at the
-same places from the others, and what stands at one place is no copy of itself.
+Rows that share an id and a text are one document, and lose the same words; unlike
+texts of one id are documents of their own, one behind the other by a hash of their texts.
 Texts of any length and columns of any name are fine. Empty tables give empty
 results.
 """
@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared, sketches
+from .merkle import numbered
 from .words import U64, Words, hashes, inside, pieces, runs, split, splitmix
 
 WINDOW, ANCHOR = 20, 6
@@ -222,13 +223,37 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     return out
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A name that no column begins with."""
+    while any(c.startswith(name) for c in docs.columns):
+        name += "_"
+    return name
+
+
+def apart(docs: DataFrame, key: str, text: str) -> DataFrame | None:
+    """_id, _hash, _place: the order of all distinct (id, text) where unlike texts share an id; None where none do."""
+    own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"))
+    texts = shared.table(own.groupBy("_id").agg(F.min("_hash").alias("_hash"), F.max("_hash").alias("_last")), "texts")
+    if texts.where("_hash < _last").isEmpty():
+        shared.drop(texts)
+        return None
+    found = shared.table(own.distinct().withColumn("grp", F.lit("")), "texts")
+    return numbered(found, ["_id", "_hash"]).select("_id", "_hash", F.col("idx").alias("_place"))
+
+
 def without(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, str]:
     """docs with one more column, and its name: [start, n, ...] of the removed windows, or null."""
-    name = "_spans"
-    while name in docs.columns or f"{name}_id" in docs.columns:
-        name += "_"
-    found = spans(docs, key, text, window).groupBy(F.col("id").alias(f"{name}_id")).agg(F.flatten(F.collect_list(F.array("start", "n"))).alias(name))
-    return docs.join(found, F.col(key).cast("long") == F.col(f"{name}_id"), "left").drop(f"{name}_id"), name
+    name = free(docs, "_spans")
+    gathered = F.flatten(F.collect_list(F.array("start", "n"))).alias(name)
+    of = apart(docs, key, text)
+    if of is None:
+        found = spans(docs, key, text, window).groupBy(F.col("id").alias(f"{name}_id")).agg(gathered)
+        return docs.join(found, F.col(key).cast("long") == F.col(f"{name}_id"), "left").drop(f"{name}_id"), name
+    of = shared.table(of.select(F.col("_id").alias(f"{name}_id"), F.col("_hash").alias(f"{name}_hash"), F.col("_place").alias(f"{name}_place")), "places")
+    its = (F.col(key).cast("long") == F.col(f"{name}_id")) & (F.xxhash64(text) == F.col(f"{name}_hash"))
+    rows = shared.table(docs.join(of, its, "left").drop(f"{name}_id", f"{name}_hash"), "rows")
+    found = spans(rows, f"{name}_place", text, window).groupBy(F.col("id").alias(f"{name}_id")).agg(gathered)
+    return rows.join(found, F.col(f"{name}_place") == F.col(f"{name}_id"), "left").drop(f"{name}_id", f"{name}_place"), name
 
 
 def kept(texts: pa.Array, removed: pa.Array, window: int = WINDOW) -> Iterator[tuple[int, int, bytes]]:

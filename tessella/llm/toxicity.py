@@ -229,7 +229,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     k = F.col(key)
     known = labels.where(k.isNotNull() & F.col(label).isNotNull() & (fold(k) != 0)).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
     known = known.orderBy(F.xxhash64(key), key).limit(sample).withColumn("_fold", fold(k))
-    chosen = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(known), key)  # at most `sample` rows
+    # at most `sample` rows: of an id that documents repeat, the text of least hash
+    chosen = docs.select(k.alias("_key"), F.col(text).alias("_text")).join(F.broadcast(known.withColumnRenamed(key, "_key")), "_key")
+    chosen = chosen.groupBy("_key", "_y", "_fold").agg(F.min(F.struct(F.xxhash64("_text"), "_text")).alias("_one")).select("_y", "_fold", F.col("_one._text").alias("_text"))
     count = {(r["_fold"], r["_y"]): r["count"] for r in known.groupBy("_fold", "_y").count().collect()}
     total = [sum(n for (_, y), n in count.items() if y == v) for v in (0, 1)]
     share = total[1] / max(1, sum(total))

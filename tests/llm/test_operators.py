@@ -160,7 +160,8 @@ def test_elias_fano():
         assert got.tolist() == [place.get(int(x), -1) for x in ask]
 
 
-def test_ngram_trie(docs, none):
+@pytest.mark.parametrize("least", [2, 1])
+def test_ngram_trie(docs, none, least):
     D = [(i, WORD.findall((t or "").translate(LOWER)) + [None], i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows_of(docs)]
     c1, c2, c3 = (collections.Counter() for _ in range(3))
     for _, w, held in D:
@@ -168,7 +169,7 @@ def test_ngram_trie(docs, none):
             s = [None, *w]
             c1.update(w), c2.update(zip(s, s[1:])), c3.update(zip(s, s[1:], s[2:]))
     n, v = sum(c1.values()), len(c1)
-    k2, k3 = ({k: c for k, c in x.items() if c >= 2} for x in (c2, c3))
+    k2, k3 = ({k: c for k, c in x.items() if c >= least} for x in (c2, c3))
     s2, s3 = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(lambda: [0, 0])
     for kept, s, m in ((k2, s2, 1), (k3, s3, 2)):
         for k, c in kept.items():
@@ -180,7 +181,7 @@ def test_ngram_trie(docs, none):
     p3 = lambda a, b, w: mix(k2[a, b], k3.get((a, b, w), 0), s3[a, b], p2(b, w)) if (a, b) in k2 else p2(b, w)
     assert abs(sum(p3(None, "the", w) for w in c1) + p3(None, "the", "unseen") - 1) < 1e-9
     want = sorted((len(w), sum(c1[x] > 0 for x in w), sum(math.log10(p1(x)) for x in w), math.log10(p2(None, w[0])) + sum(math.log10(p3(*t)) for t in zip([None, *w], w, w[1:]))) for _, w, _ in D)
-    got = sorted((r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in ngram_trie.judge(docs).collect())
+    got = sorted((r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in (ngram_trie.judge(docs) if least == 1 else ngram_trie.judge(docs, least=least)).collect())
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 and abs(a[3] - b[3]) < 4e-4 * a[0]
