@@ -16,8 +16,10 @@ from tessella.llm.queries import read, vocabulary
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic; labels of documents teach the score."""
-    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_toxicity").where(F.col("_toxicity") < 0.5).select(*docs.columns)
+    model, out = toxicity.train(docs, read(spark, sf_dir, "labels")), "_toxicity"
+    while out in docs.columns:
+        out += "_"
+    return toxicity.score(docs, model, out=out).where(F.col(out) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .moments import pooled
+
 
 def _one(df: DataFrame, key: str, pick: Column) -> DataFrame:
     return df.groupBy(F.col(key).alias("key")).agg(pick.alias("row")).select("row.*")
@@ -79,6 +81,5 @@ def feature_stats(df: DataFrame, group: str, feature: str) -> DataFrame:
 
 
 def mean_pool(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """group, i, x: the mean of each component over the vectors of a group."""
-    parts = df.select(group, F.posexplode(vector).alias("i", "x"))
-    return parts.groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    """group, i, x: the mean of each component over the vectors of a group; only means are taken apart into components."""
+    return pooled(df, [group], vector).select(group, F.posexplode("mean").alias("i", "x"))

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import engine, kernel
+from ..operators import blocks, changes, engine, kernel, moments, rejects, store
 from ..operators import tables as O
 from ..operators.catalog import Catalog
+from ..operators.delta import Log
+from ..operators.files import scratch
 from ..operators.index import VectorIndex, centroid, centroid_rows, ranked
+from ..operators.stored import StoredIndex
 from ..sources import library, remote
+from ..streaming import continuous, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -295,6 +299,12 @@ def mean_pool(spark, d):
     return O.mean_pool(read(spark, d, "embeddings"), "label", "embedding").select("label", "i", six(F.col("x"), "x"))
 
 
+@query(C_ + " SELECT label, count(*) AS n, (i - 1)::INTEGER AS i, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM d JOIN e USING (id) GROUP BY label, i")
+def pooled_moments(spark, d):
+    p = moments.pooled(read(spark, d, "embeddings"), ["label"], "embedding")
+    return p.select("label", "n", F.posexplode(F.arrays_zip("mean", "std")).alias("i", "s")).select("label", "n", "i", six(F.col("s.mean"), "mean"), six(F.col("s.std"), "std"))
+
+
 @query("SELECT l_returnflag, round(avg(l_quantity), 4) AS mean, round(stddev_pop(l_quantity), 4) AS std FROM lineitem GROUP BY 1")
 def feature_mean_std(spark, d):
     return O.feature_stats(read(spark, d, "lineitem"), "l_returnflag", "l_quantity").select("l_returnflag", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
@@ -302,11 +312,7 @@ def feature_mean_std(spark, d):
 
 @query(E_ + ", d AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e), s AS (SELECT id, avg(x) AS m, stddev_pop(x) AS s FROM d GROUP BY id) SELECT id, (i - 1)::INTEGER AS i, round((x - m) / (s + 1e-6), 5) AS x FROM d JOIN s USING (id)")
 def patch_standardise(spark, d):
-    v = F.col("v")
-    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
-    rows = raw(spark, d).withColumn("m", mean)
-    std = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - F.col("m")) * (x - F.col("m"))) / F.size(v))
-    return rows.withColumn("s", std).select("id", F.posexplode(F.transform(v, lambda x: (x - F.col("m")) / (F.col("s") + 1e-6))).alias("i", "x")).select("id", "i", F.round("x", 5).alias("x"))
+    return moments.standardised(raw(spark, d), "v").select("id", F.posexplode("v").alias("i", "x")).select("id", "i", F.round("x", 5).alias("x"))
 
 
 @query("SELECT doc_id AS id, unnest(range(n_chars // 96))::INTEGER AS patch, 96 * patch AS first FROM documents WHERE n_chars >= 96")
@@ -534,3 +540,84 @@ def cli_json_rows(spark, d):
     i, c = index(spark, d), catalog(spark, d)
     e = engine.Engine(i, c, i.rows.select("id", F.concat(F.lit("d"), "id").alias("track")), "mock")
     return engine.json_rows(e.like("d0", 10)).select("rank", F.regexp_replace("line", '"score":[^,]*,"raw_score":[^,]*,', "").alias("line"))
+
+
+# stored indexes, streams, change feeds
+def spread(df: DataFrame) -> DataFrame:
+    return df.select("id", F.posexplode("v").alias("i", "x")).select("id", "i", six(F.col("x"), "x"))
+
+
+@query(E_ + """, a AS (SELECT id, list_transform(v, lambda x: x * CASE WHEN id % 10 = 0 THEN 2 ELSE 1 END) AS v FROM e WHERE id % 7 <> 3
+UNION ALL SELECT id + 1000000000, v FROM e WHERE id % 10 = 5 UNION ALL SELECT id, list_transform(v, lambda x: 3 * x) FROM e WHERE id % 21 = 3)
+SELECT id, (generate_subscripts(v, 1) - 1)::INTEGER AS i, round(unnest(v), 6) AS x FROM a""")
+def index_delta_merge(spark, d):
+    rows, log = index(spark, d).rows, Log(spark, scratch(spark, "delta"))
+    log.replace({"vectors": (rows, "id")})
+    log.change({"vectors": rows.where("id % 10 = 0").select("id", F.transform("v", lambda x: 2 * x).alias("v"))})
+    log.change({"vectors": rows.where("id % 10 = 5").select((F.col("id") + 1000000000).alias("id"), "v")}, {"vectors": rows.where("id % 7 = 3").select("id")})
+    log.change({"vectors": rows.where("id % 21 = 3").select("id", F.transform("v", lambda x: 3 * x).alias("v"))})
+    return spread(log.read("vectors"))
+
+
+@query(E_ + """, a AS (SELECT id, list_transform(v, lambda x: x * CASE WHEN id % 10 = 0 THEN 2 ELSE 1 END) AS v FROM e WHERE id % 7 <> 3),
+d AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a) SELECT (i - 1)::INTEGER AS i, round(avg(x), 6) AS m, (SELECT count(*) FROM a) AS n FROM d GROUP BY i""")
+def stored_centroid(spark, d):
+    start = index(spark, d)
+    held = StoredIndex.create(start, scratch(spark, "stored"), "mock")
+    gone = start.rows.where("id % 7 = 3").select("id")
+    held.change(start.rows.where("id % 10 = 0 AND id % 7 <> 3").select("id", F.transform("v", lambda x: 2 * x).alias("v")), gone)
+    known = held.index().known
+    return spark.createDataFrame([(i, x, known.n) for i, x in enumerate(known.mean())], "i int, m double, n long").select("i", six(F.col("m"), "m"), "n")
+
+
+@query(S_.format(queries="a.id % 5 = 0") + " SELECT query_id, id, rank::INTEGER AS rank, round(raw, 6) AS raw_score FROM r WHERE rank <= 10")
+def search_blocks(spark, d):
+    i = index(spark, d)
+    found = blocks.top(blocks.pack(i.rows, DIM), i.rows.where("id % 5 = 0").select(F.col("id").alias("query_id"), "v"), 10, i.centre, DIM)
+    return found.rows.select("query_id", "id", "rank", six(F.col("raw_score"), "raw_score"))
+
+
+@query("SELECT id, why AS reason FROM (SELECT vec_id AS id, CASE vec_id % 9 WHEN 1 THEN 'null' WHEN 2 THEN 'dimension' WHEN 3 THEN 'not finite' WHEN 4 THEN 'not finite' END AS why FROM embeddings) WHERE why IS NOT NULL")
+def rejected_vectors(spark, d):
+    v, n = F.col("v"), F.col("id") % 9
+    bad = F.when(n == 1, F.lit(None)).when(n == 2, F.slice(v, 1, DIM - 1)).when(n == 3, F.transform(v, lambda x: x * float("nan"))).when(n == 4, F.transform(v, lambda x: F.lit(float("inf")))).otherwise(v)
+    return rejects.sift(raw(spark, d).withColumn("v", bad), scratch(spark, "rejects"), DIM).rejected.select("id", "reason")
+
+
+FEED_ = """WITH f AS (SELECT '/p' || doc_id AS path, CASE WHEN doc_id % 8 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'c' || (doc_id + 1) WHEN doc_id % 11 = 0 THEN 'new' || doc_id WHEN doc_id % 13 = 0 THEN 'all' ELSE 'c' || doc_id END AS id, n_chars AS stamp FROM documents WHERE doc_id % 17 <> 0),
+k AS (SELECT 'c' || doc_id AS id, '/p' || doc_id AS path FROM documents WHERE doc_id % 3 <> 0),
+w AS (SELECT f.*, k.path AS home, max(f.path) OVER (PARTITION BY f.id) AS last, coalesce(bool_or(f.path = k.path) OVER (PARTITION BY f.id), false) AS stays FROM f LEFT JOIN k ON f.id = k.id WHERE f.id IS NOT NULL),
+r AS (SELECT *, CASE WHEN path = home THEN 'same' WHEN stays OR path <> last THEN 'duplicate' WHEN home IS NOT NULL THEN 'moved' ELSE 'added' END AS role FROM w),
+lost AS (SELECT * FROM k WHERE id NOT IN (SELECT id FROM f WHERE id IS NOT NULL) AND path NOT IN (SELECT path FROM f WHERE id IS NULL))
+SELECT role AS status, path, id, stamp, CASE WHEN role = 'moved' THEN home END AS old_path, NULL AS old_id FROM r WHERE role <> 'added'
+UNION ALL SELECT CASE WHEN lost.id IS NULL THEN 'added' WHEN r.id IS NULL THEN 'deleted' ELSE 'changed' END, r.path, r.id, r.stamp, CASE WHEN r.id IS NULL THEN lost.path END, lost.id
+FROM (SELECT * FROM r WHERE role = 'added') r FULL JOIN lost ON r.path = lost.path"""
+
+
+@query(FEED_)
+def library_changes(spark, d):
+    n, docs = F.col("doc_id"), read(spark, d, "documents")
+    own = F.when(n % 8 == 0, F.lit(None)).when(n % 5 == 0, F.concat(F.lit("c"), n + 1)).when(n % 11 == 0, F.concat(F.lit("new"), n)).when(n % 13 == 0, "all").otherwise(F.concat(F.lit("c"), n))
+    path = F.concat(F.lit("/p"), n).alias("path")
+    found = docs.where(n % 17 != 0).select(path, own.alias("id"), F.col("n_chars").alias("mtime"))
+    return changes.feed(found, docs.where(n % 3 != 0).select(F.concat(F.lit("c"), n).alias("id"), path)).select("status", "path", "id", "stamp", "old_path", "old_id")
+
+
+@query(E_ + " SELECT id, (generate_subscripts(v, 1) - 1)::INTEGER AS i, round(unnest(v), 6) AS x FROM e WHERE id % 6 <> 5")
+def stream_index(spark, d):
+    path = f"{d}/embeddings.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    made = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit(0).alias("seq"), (F.col("vec_id") % 6 == 5).alias("gone"))
+    root = scratch(spark, "stream")
+    continuous.index_stream(spark, made, root, f"{root}-checkpoint", "mock", DIM).awaitTermination()
+    return spread(store.load(spark, root, "vectors", "mock"))
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def stream_keep_last(spark, d):
+    path, root = f"{d}/events.parquet", scratch(spark, "last")
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).select("user_id", "ts", "event_id", "event_type")
+    last = keyed.keep_last(rows, "user_id", "ts", "event_id", "1 day", "36500 days")
+    last.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/batch={n}")).outputMode("update").option("checkpointLocation", f"{root}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    given = spark.read.schema(rows.schema).parquet(f"{root}/batch=*")
+    return O.keep_last(given, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
