@@ -543,6 +543,10 @@ def cli_json_rows(spark, d):
 
 
 # stored indexes, streams, change feeds
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.readStream.schema(read(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern: a stream's path is no single file
+
+
 def spread(df: DataFrame) -> DataFrame:
     return df.select("id", F.posexplode("v").alias("i", "x")).select("id", "i", six(F.col("x"), "x"))
 
@@ -605,8 +609,7 @@ def library_changes(spark, d):
 
 @query(E_ + " SELECT id, (generate_subscripts(v, 1) - 1)::INTEGER AS i, round(unnest(v), 6) AS x FROM e WHERE id % 6 <> 5")
 def stream_index(spark, d):
-    path = f"{d}/embeddings.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    rows = stream(spark, d, "embeddings")
     made = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit(0).alias("seq"), (F.col("vec_id") % 6 == 5).alias("gone"))
     root = scratch(spark, "stream")
     continuous.index_stream(spark, made, root, f"{root}-checkpoint", "mock", DIM).awaitTermination()
@@ -615,8 +618,7 @@ def stream_index(spark, d):
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_keep_last(spark, d):
-    path, root = f"{d}/events.parquet", scratch(spark, "last")
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).select("user_id", "ts", "event_id", "event_type")
+    root, rows = scratch(spark, "last"), stream(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
     last = keyed.keep_last(rows, "user_id", "ts", "event_id", "1 day", "36500 days")
     last.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/batch={n}")).outputMode("update").option("checkpointLocation", f"{root}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     given = spark.read.schema(rows.schema).parquet(f"{root}/batch=*")

@@ -9,6 +9,7 @@ A key's state goes when the watermark is `expiry` behind its time (that of the r
 latest); a row that comes after that is a new key. With an expiry longer than a key lives,
 the results are those of operators/tables.py. Rows behind the watermark (later than `delay`
 after the latest event seen) are late: Spark drops them before state. Rows without key or time are dropped.
+Times without a zone are the session's.
 """
 
 from __future__ import annotations
@@ -20,15 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
+WHOLE = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}  # times to the microsecond
+
 
 def _keyed(rows: DataFrame, key: str, time: str, order: str, delay: str, run: Callable) -> DataFrame:
     shape = StructType.fromJson(rows.schema.jsonValue())
-    own = rows.where(F.col(key).isNotNull() & F.col(time).isNotNull()).withWatermark(time, delay)
-    body = F.to_json(F.struct(*rows.columns))
+    body = F.to_json(F.struct(*rows.columns), WHOLE)
+    at = F.col(time).cast("timestamp")
     # the state is the place of the row in its order, and the row
-    thin = own.select(F.col(key).alias("key"), F.col(time), F.unix_micros(time).alias("micros"), F.col(order).cast("long").alias("place"), body.alias("row"))
+    thin = rows.where(F.col(key).isNotNull() & at.isNotNull()).select(F.col(key).alias("key"), at.alias("at"), F.unix_micros(at).alias("micros"), F.col(order).cast("long").alias("place"), body.alias("row"))
+    thin = thin.withWatermark("at", delay)
     out = thin.groupBy("key").applyInPandasWithState(run, "row string", "micros long, place long, row string, given boolean", "update", GroupStateTimeout.EventTimeTimeout)
-    return out.select(F.from_json("row", shape).alias("r")).select("r.*")
+    return out.select(F.from_json("row", shape, WHOLE).alias("r")).select("r.*")
 
 
 def _wait(state: GroupState, at: int) -> None:
