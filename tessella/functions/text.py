@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 EXTENSIONS = (".aac", ".aif", ".aiff", ".flac", ".m4a", ".mp3", ".ogg", ".opus", ".wav", ".wma")
 SAMPLE_BYTES, ID_LETTERS = 163_840, 24
 TRACK_URL = r"^https?://open\.spotify\.com/track/([A-Za-z0-9]+)"
+# Media types by extension.
 MIME = {".mp3": "audio/mpeg", ".flac": "audio/flac", ".wav": "audio/wav", ".ogg": "audio/ogg", ".m4a": "audio/mp4", ".aac": "audio/aac", ".opus": "audio/opus"}
 
 
+def first_element(values: Column) -> Column:
+    """The first of a list of tag values; null of none."""
+    return F.get(values, F.lit(0))
+
+
 def content_id(content: Column) -> Column:
     """Of binary content: the first letters of the sha-256 of its first bytes."""
     return F.left(F.sha2(F.substring(content, 1, SAMPLE_BYTES), 256), F.lit(ID_LETTERS))
@@ -30,8 +36,10 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"^(\.*[^.].*?)\.[^.]*$", "$1")
 
 
-def is_audio(path: Column) -> Column:
-    return extension(path).isin(*EXTENSIONS)
+def is_audio(path: Column, extensions: tuple[str, ...] = EXTENSIONS, depth: int | None = None) -> Column:
+    """Whether a file is one a scan takes: by its extension, and at most `depth` folders down."""
+    known = extension(path).isin(*extensions)
+    return known if depth is None else known & (F.size(F.split(path, "/")) <= depth)
 
 
 def mime(path: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import frames
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import blocks, changes, engine, kernel, moments, rejects, store
@@ -110,8 +111,8 @@ def get_vector(spark, d):
 
 @query("SELECT vec_id AS id, 0.0::DOUBLE AS score FROM embeddings")
 def zero_query(spark, d):
-    zero = F.array_repeat(F.lit(0.0), DIM)
-    return raw(spark, d).select("id", V.dot(V.unit_query(zero), F.col("v")).alias("score"))
+    i = index(spark, d)  # a query at the centroid is zero once it is centred
+    return i.scored(i.centre).select("id", (F.col("raw_score") + 0.0).alias("score"))
 
 
 @query(C_ + " SELECT (i - 1)::INTEGER AS i, round(m, 6) AS m FROM m")
@@ -216,7 +217,7 @@ def file_extension(spark, d):
 
 @query(f"SELECT page_id, p AS path FROM ({PATHS_}) WHERE regexp_extract(p, '(\\.[^./]*)$', 1) = '.html' AND len(string_split(p, '/')) <= 3")
 def scan_filter(spark, d):
-    return paths(spark, d).where((T.extension(F.col("p")) == ".html") & (F.size(F.split("p", "/")) <= 3)).select("page_id", F.col("p").alias("path"))
+    return paths(spark, d).where(T.is_audio(F.col("p"), (".html",), 3)).select("page_id", F.col("p").alias("path"))
 
 
 SOURCES_ = "SELECT 'p' || page_id AS id, url AS s FROM pages UNION ALL SELECT 'b' || item_id, text FROM benchmark UNION ALL SELECT 't' || page_id, 'https://open.spotify.com/track/' || substr(sha256(url), 1, 22) || '?si=1' FROM pages"
@@ -317,15 +318,14 @@ def patch_standardise(spark, d):
 
 @query("SELECT doc_id AS id, unnest(range(n_chars // 96))::INTEGER AS patch, 96 * patch AS first FROM documents WHERE n_chars >= 96")
 def patch_tiling(spark, d):
-    n = (F.floor(F.col("n_chars") / 96)).cast("int")
-    tiles = read(spark, d, "documents").where("n_chars >= 96").select(F.col("doc_id").alias("id"), F.explode(F.sequence(F.lit(0), n - 1)).alias("patch"))
-    return tiles.select("id", "patch", (F.col("patch") * 96).cast("long").alias("first"))
+    tiles = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(frames.tiles(F.col("n_chars"))).alias("patch", "first"))
+    return tiles.select("id", "patch", "first")
 
 
 @query("SELECT doc_id AS id, round(n_chars * 0.1, 6)::DOUBLE AS start, least(n_chars - n_chars * 0.1, 180)::DOUBLE AS seconds FROM documents")
 def clip_offset(spark, d):
-    n = F.col("n_chars").cast("double")
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), six(n * 0.1, "start"), F.round(F.least(n - n * 0.1, F.lit(180.0)), 6).alias("seconds"))
+    n = F.col("n_chars")
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), six(frames.clip_start(n), "start"), six(frames.clip_length(n), "seconds"))
 
 
 # parsing and enrichment
@@ -417,7 +417,9 @@ def pending_downloads(spark, d):
 
 @query("SELECT conv_id AS id, arg_min(role, turn) AS first FROM conversations GROUP BY conv_id")
 def metadata_first_value(spark, d):
-    return O.keep_first(read(spark, d, "conversations"), "conv_id", "turn").select(F.col("conv_id").alias("id"), F.col("role").alias("first"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    told = read(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.transform(turns, lambda t: t["role"]).alias("roles"))
+    return told.select("id", T.first_element(F.col("roles")).alias("first"))
 
 
 @query("SELECT 'index-' || p_partkey AS name, p_size * 1048576.0::DOUBLE / 1048576 AS size_mb FROM part")

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import os
 import wave
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.files import scratch
 
 
 def listing(root: str, max_depth: int = 20) -> list[str]:
-    """Audio files below root, sorted. Linked directories are not entered; a directory
+    """Audio files below root, sorted, by this process alone (`walk` asks the executors). Linked directories are not entered; a directory
     at max_depth or deeper gives nothing; hidden names count like others."""
     found, todo = [], [(root, 0)]
     while todo:
@@ -134,8 +137,8 @@ def check_folder(path: str) -> None:
         raise NotADirectoryError(f"{path} is no folder")
 
 
-def rows_of(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A row a file. Only the first bytes of each are read, on the executors."""
+def measured(paths: DataFrame) -> DataFrame:
+    """A row a file (path). Only the first bytes of each are read, on the executors."""
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -149,14 +152,44 @@ def rows_of(spark: SparkSession, paths: list[str]) -> DataFrame:
                     rows.append((p, None, None, None, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["path", "id", "mtime", "title", "artist", "album", "duration_seconds", "error"])
 
+    return paths.select("path").mapInPandas(measure, SCHEMA)
+
+
+def rows_of(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A row a file of a few that are named."""
     n = max(1, min(len(paths), spark.sparkContext.defaultParallelism))
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartitionByRange(n, "path").mapInPandas(measure, SCHEMA)
+    return measured(spark.createDataFrame([(p,) for p in paths], "path string").repartitionByRange(n, "path"))
+
+
+def walk(spark: SparkSession, root: str, max_depth: int = 20) -> DataFrame:
+    """path of the files that `listing` gives, in its order, found on the executors: each level of directories is dealt by range
+    of paths, listed and written to the shared folder, and the directories it holds are the next level. Only whether
+    there are any comes to the driver. Folders must be mounted on all executors."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in b.column("path").to_pylist():
+                with os.scandir(at) as entries:
+                    found = ((e.path, e.is_dir(follow_symlinks=False)) for e in entries if e.is_dir(follow_symlinks=False) or e.is_file() and os.path.splitext(e.name)[1].lower() in T.EXTENSIONS)
+                    while some := list(itertools.islice(found, 10_000)):
+                        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some]), pa.array([d for _, d in some])], ["path", "folder"])
+
+    folder, schema = scratch(spark, "walk"), "path string, folder boolean"
+    level = spark.createDataFrame([(root,)], "path string")
+    found = spark.createDataFrame([], schema)
+    for depth in range(max_depth):
+        level.repartitionByRange(spark.sparkContext.defaultParallelism, "path").mapInArrow(look, schema).write.parquet(f"{folder}/depth={depth}")
+        there = spark.read.schema(schema).parquet(f"{folder}/depth={depth}")
+        found, level = found.unionByName(there), there.where("folder").select("path")
+        if level.isEmpty():
+            break
+    return found.where("NOT folder").select("path").orderBy("path")
 
 
 def scan(spark: SparkSession, root: str, max_depth: int = 20) -> DataFrame:
     """A row a file of a library, partitions in the order of paths."""
     check_folder(root)
-    return rows_of(spark, listing(root, max_depth))
+    return measured(walk(spark, root, max_depth))
 
 
 def resampled(x: np.ndarray, own: int, rate: int, half: int = 16) -> np.ndarray:

@@ -67,6 +67,7 @@ def pages(read: Callable[[int], list[dict]], size: int = 200, limit: int = 0) ->
         at += size
 
 
+# Fields of the JSON that these services answer with, and columns of track files.
 SPOTIFY = "id string, name string, preview_url string, duration_ms string, artists array<struct<name: string>>, album struct<name: string, images: array<struct<url: string>>>"
 ALBUM = "id string, title string, cover_medium string, cover_big string, cover string"
 DEEZER = f"id string, title string, preview string, duration string, artist struct<name: string>, album struct<{ALBUM}>"

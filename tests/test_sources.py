@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators.tables import keep_first, keep_last
-from tessella.sources import paged
+from tessella.sources import library, paged
 from tessella.streaming import keyed
 
 
@@ -122,3 +122,14 @@ def test_a_key_expires(spark, tmp_path):
     steps = [[(1, "2026-01-01 10:00", 1, "a")], [(2, "2026-01-05 10:00", 1, "b")], [(2, "2026-01-05 11:00", 2, "b")], [(1, "2026-01-05 12:00", 3, "again")], [(3, "2026-02-01 00:00", 1, "c")], [(3, "2026-02-02 00:00", 1, "c")]]
     got = played(spark, tmp_path / "first", keyed.keep_first, steps, expiry="1 day")
     assert [r[3] for r in got if r[0] == 1] == ["a", "again"]
+
+
+def test_walk_is_the_listing(spark, tmp_path):
+    for name in ("a.mp3", ".h.wav", "no.txt", "d/x.FLAC", "d/e/y.ogg", "d/e/f/z.mp3", ".hid/q.mp3", "é/ü.wav", "d a/s p.mp3", "empty/none"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).touch()
+    (tmp_path / "link").symlink_to(tmp_path / "d", target_is_directory=True)
+    (tmp_path / "file_link.mp3").symlink_to(tmp_path / "a.mp3")
+    (tmp_path / "broken.mp3").symlink_to(tmp_path / "nowhere")
+    for depth in (0, 1, 2, 3, 20):
+        assert [r["path"] for r in library.walk(spark, str(tmp_path), depth).collect()] == library.listing(str(tmp_path), depth)
