@@ -47,8 +47,8 @@ from .words import U64, pieces, release, splitmix
 
 WORDS, SHARE = 2, 80
 REGISTERS, MANTISSA, BAND, KEYS, SIGMAS = 1024, 4, 8, 64, 4
-MERGE = 50  # while at least one of so many classes in large buckets finds a link, they meet again
-SPLIT = 1024  # rows of a bucket of several components from which on it is split by further keys
+MERGE = 5  # while at least one of so many classes in large buckets finds a link, they meet again
+SPLIT = 4096  # rows of a bucket of several components from which on it is split by further keys
 FEW = 32  # filled registers up to which all of them are looked at for each empty one
 _REST = 64 - REGISTERS.bit_length() + 1  # bits of a hash below the bucket's
 _ORDER = np.argsort(splitmix(np.arange(REGISTERS * REGISTERS, dtype=U64) + U64(1 << 44)).reshape(REGISTERS, REGISTERS), axis=1).astype(np.int16)

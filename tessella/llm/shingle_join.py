@@ -25,9 +25,10 @@ about a bit a shingle, and the maps of two sets differ in at most as many bits
 as the sets in shingles, which linked sets do in a ninth of all at most. Maps
 are an eightieth of the sets. Sets are compared exactly, by 64-bit hashes.
 
-Copies are one class, so a hot class is aggregated before any shuffle. A shingle
-that may be in more than HOT documents (by the table of counts) is dealt under
-several keys, and what all of them need is aggregated and sent to each. Rows
+Copies are one class, so a hot class is aggregated before any shuffle. Where the
+table of counts says that a shingle may be in more than HOT rows of the index, they
+are counted, and one that is in more is dealt under several keys; what all of them
+need is aggregated and sent to each. Rows
 without an id link with nothing and have a null component; rows that share an
 id are one node of the graph. Empty tables give empty results.
 """
@@ -151,7 +152,8 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, share: int
     pairs is sent to as many places as they need, so one that a third of all rows are compared with
     is no hot task. Filters of fixed size keep out documents without pairs; what they let through
     besides meets nothing."""
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("e")).groupBy("e").count()
+    one = lambda s: pairs.groupBy(F.col(s).alias("e")).count()
+    ends = one("x").unionByName(one("y")).groupBy("e").agg(F.sum("count").alias("count"))
     x_n, y_n = (ends.select(F.col("e").alias(s), F.col("count").alias(f"of_{s}")) for s in "xy")
     turn = F.struct("of_x", "x") < F.struct("of_y", "y")
     pick = lambda s, t: F.when(turn, F.col(t)).otherwise(F.col(s))
@@ -197,6 +199,15 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, share: int
     return out
 
 
+def real_parts(rows: DataFrame) -> DataFrame:
+    """rows whose `parts` (above 1 where a token may be in more than HOT rows) come from the token's own number of rows.
+    Only rows of such tokens are counted, and no row is copied for a count that was too high."""
+    maybe = rows.where("parts > 1")
+    hot = maybe.groupBy("tok").count().where(F.col("count") > HOT).select("tok", F.ceil(F.col("count") / HOT).cast("int").alias("real"))
+    met = maybe.join(shared.table(hot, "hot"), "tok", "left").withColumn("parts", F.coalesce("real", F.lit(1))).select(*rows.columns)
+    return rows.where("parts <= 1").unionByName(met)
+
+
 def by_token(rows: DataFrame, made: dict[str, Column]) -> DataFrame:
     """rows (tok, parts, ...) with aggregates over all rows of their token. Tokens of one part
     meet in a window; those of more are aggregated and the result is sent to each of their parts."""
@@ -241,8 +252,9 @@ def _alike(docs: DataFrame, key: str, text: str, share: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(tok), *(b.column(c).take(row) for c in ("gid", "n")), pa.array(pos, pa.int32()), b.column("several").take(row), pa.array(parts)], ["tok", "gid", "n", "pos", "several", "parts"])
 
     index = groups.select("gid", "n", "prefix", "several").mapInArrow(unpack, "tok long, gid long, n long, pos int, several boolean, parts int")
-    index = by_token(index, {"m": F.count("*"), "leader": F.min(F.struct("gid", "n", "pos"))}).where("m > 1 or several and pos = 0")  # members of one group meet at its first shingle
-    buckets = shared.table(index.select("tok", "gid", "n", "pos", "parts", F.col("leader.gid").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.pos").alias("leader_pos")), "buckets")
+    full = parts_of[common.max()] > 1  # else no token can be in more than HOT rows
+    index = by_token(real_parts(index) if full else index, {"m": F.count("*"), "leader": F.min(F.struct("gid", "n", "pos"))}).where("m > 1 or several and pos = 0")  # members of one group meet at its first shingle
+    buckets = shared.table(index.select("tok", "gid", "n", "pos", F.col("leader.gid").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.pos").alias("leader_pos")), "buckets")
 
     # Before the first shingle that two sets have in common there is none, so what is left
     # of both has to hold all common ones. Other common shingles may fail this; the first may not.
@@ -258,8 +270,9 @@ def _alike(docs: DataFrame, key: str, text: str, share: int) -> DataFrame:
     known = components(links)
 
     placed = members.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "n", "rep", F.coalesce("component", "rep").alias("c"))
-    at = buckets.select("tok", "gid", "n", "pos", "parts").join(placed, ["gid", "n"])
-    at = by_token(at, {"c0": F.min("c"), "c1": F.max("c"), "size": F.count("*")}).where("c0 < c1")
+    at = buckets.select("tok", "gid", "n", "pos").join(placed, ["gid", "n"])
+    per = at.groupBy("tok").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 < c1")
+    at = at.join(shared.table(per.select("tok", "size"), "several"), "tok")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / share)) + 1e-9).cast("int")  # of linked sets these differ by 1 at most
     at = shared.table(at.select("tok", "gid", "rep", "n", "pos", "c", band.alias("band"), (F.col("size") > SPLIT).alias("hot")), "mixed")
 

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessella.llm import block_knn, path_dedup, toxicity
+from pyspark.sql import functions as F
+
+from tessella.llm import block_knn, path_dedup, shingle_join, sketches, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DIR = "/root/testdata/sf0.001"
@@ -109,3 +111,23 @@ def test_training_reads_no_more_than_its_sample(spark, monkeypatch):
     assert seen and seen[0] <= 80
     again = toxicity.train(docs.repartition(7), labels, sample=80)
     assert np.array_equal(model.lexicon[0], again.lexicon[0]) and np.array_equal(model.trees[1], again.trees[1])
+
+
+def test_tokens_are_split_by_their_own_rows(spark):
+    single = spark.range(1000).selectExpr("id AS tok", "id AS gid", "4000 AS parts")
+    many = spark.range(1000).selectExpr("-1L AS tok", "id AS gid", "4000 AS parts")
+    rows = shingle_join.real_parts(single.unionByName(many))
+    assert {(r["tok"] < 0, r["parts"], r["count"]) for r in rows.groupBy("tok", "parts").count().collect()} == {(True, 4, 1000), (False, 1, 1)}
+    got = shingle_join.by_token(rows, {"m": F.count("*"), "least": F.min("gid")})
+    assert got.count() == 2000 and got.where("tok < 0 AND (m <> 1000 OR least <> 0) OR tok >= 0 AND m <> 1").isEmpty()
+
+
+def test_full_cells_change_nothing(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice((4, 9, 30))))) for i in range(120)]
+    rows += [(200 + i, rows[3][1] + f" {i}") for i in range(30)]
+    df = table(spark, rows)
+    want = sorted(map(tuple, shingle_join.alike(df).collect()))
+    monkeypatch.setattr(shingle_join, "HOT", 2)
+    monkeypatch.setattr(sketches, "count_of", lambda codes: np.where(np.asarray(codes) >= 0, 1e6, 0))
+    assert sorted(map(tuple, shingle_join.alike(df).collect())) == want
