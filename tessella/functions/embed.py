@@ -20,19 +20,27 @@ from ..sources.library import clip
 
 Embed = Callable[[str, bytes | None], np.ndarray]
 _REGISTRY: dict[str, tuple[Callable[[], Embed], int]] = {}
+_AUDIO: dict[str, dict[str, object]] = {}
 
 
 class UnknownEmbedder(KeyError):
     pass
 
 
-def register(name: str, make: Callable[[], Embed], dim: int) -> None:
-    """make is called once in each worker, so models load there."""
+def register(name: str, make: Callable[[], Embed], dim: int, audio: dict[str, object] | None = None) -> None:
+    """make is called once in each worker, so models load there. audio: how it loads sound (rate, seconds, hop, ...; plain
+    values), kept with every index that is built with it."""
     if name in _REGISTRY:
         raise ValueError(f"{name} is registered already")
     if dim <= 0:
         raise ValueError("an embedder has a width")
     _REGISTRY[name] = make, dim
+    _AUDIO[name] = dict(audio or {})
+
+
+def audio_config(name: str) -> dict[str, object]:
+    find(name)
+    return dict(_AUDIO[name])
 
 
 def names() -> list[str]:

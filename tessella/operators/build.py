@@ -70,7 +70,7 @@ def build(spark: SparkSession, root: str, files: DataFrame | str, embedder: str,
     made, work = _embedded(spark, root, plan.where("status = 'index'").drop("status"), embedder)
     good = made.where("status = 'index'")
     if fresh:
-        StoredIndex.create(VectorIndex(good.select("id", "v"), dim), root, embedder, tracks(good), at["number"] if at else 0)
+        StoredIndex.create(VectorIndex(good.select("id", "v"), dim), root, embedder, tracks(good), at["number"] if at else 0, audio=E.audio_config(embedder))
     else:
         held.change(good.select("id", "v"), catalog=tracks(good))
         held.compact()
@@ -89,7 +89,7 @@ def sync(spark: SparkSession, root: str, files: DataFrame | str, embedder: str,
     found = library.scan(spark, files, max_depth) if isinstance(files, str) else files
     if store.current(spark, root) is None:
         nothing = found.where("false")
-        StoredIndex.create(VectorIndex(nothing.select("id", F.lit(None).cast("array<double>").alias("v")), dim), root, embedder, tracks(nothing), 0)
+        StoredIndex.create(VectorIndex(nothing.select("id", F.lit(None).cast("array<double>").alias("v")), dim), root, embedder, tracks(nothing), 0, audio=E.audio_config(embedder))
     held = StoredIndex.open(spark, root, embedder)
     known = held.log.read("catalog")
     if partial:

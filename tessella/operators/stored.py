@@ -31,11 +31,11 @@ class StoredIndex:
     dim: int
 
     @classmethod
-    def create(cls, index: VectorIndex, root: str, embedder: str, catalog: DataFrame | None = None, after: int | None = None, library: str = "") -> StoredIndex:
-        """A whole version from an index of one row an id."""
+    def create(cls, index: VectorIndex, root: str, embedder: str, catalog: DataFrame | None = None, after: int | None = None, library: str = "", audio: dict | None = None) -> StoredIndex:
+        """A whole version from an index of one row an id. audio: how its embedder loads sound."""
         spark = index.rows.sparkSession
         tables = {"vectors": index.rows} | ({"catalog": catalog} if catalog is not None else {})
-        store.save(root, tables, embedder, index.dim, after, library, {"sums": sums(index.rows, index.dim).to_json()})
+        store.save(root, tables, embedder, index.dim, after, library, {"sums": sums(index.rows, index.dim).to_json(), "audio": audio or {}})
         return cls(Log(spark, root), embedder, index.dim)
 
     @classmethod
