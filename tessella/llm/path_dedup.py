@@ -8,10 +8,12 @@ The windows of 20 words are the edges of a graph whose nodes are runs of 19.
    Paths of an anchor with several contents are also taken apart into windows,
    which meet by window. Edges that occur once leave here.
 2. Compaction by joins: an edge of the repeated graph (a path or a window) and
-   its successor are one where the node between them does not branch: every
+   its successor are linked where the node between them does not branch: every
    occurrence of the first is followed by the second, and every one of the
-   second follows the first. Chains are joined by pointer doubling, in a number
-   of rounds that grows with the logarithm of the longest chain.
+   second follows the first. Edges are joined with their successors for that, and
+   the links with all occurrences of their edges. As a link holds wherever its edges
+   occur, each occurrence of a compacted path is a run of linked places in its
+   document, and its head is the last place before that is not linked.
 3. The source coordinates of all occurrences of a compacted path verify it: what
    lies end to end in its document is one span, and all but the earliest
    occurrence are removed.
@@ -185,7 +187,7 @@ def repeated(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def compacted(places: DataFrame) -> DataFrame:
-    """content, head, ahead: the first edge of each edge's chain, and how many windows it lies behind that one's start."""
+    """places with origin: where the compacted path that a place is part of starts in its document."""
     w = Window.partitionBy("layer", "id").orderBy("start", "content")
     step = lambda f, c: f(c).over(w)
     beside = places.withColumns({
@@ -193,33 +195,25 @@ def compacted(places: DataFrame) -> DataFrame:
         "prev": F.when(step(F.lag, "start") + step(F.lag, "n") == F.col("start"), step(F.lag, "content")),
     })
     only = lambda c: F.when((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.min(c)).alias(c)
-    edges = shared.table(beside.groupBy("content").agg(F.first("n").alias("n"), only("next"), only("prev")), "edges")
-    before = edges.select(F.col("content").alias("prev"), F.col("next").alias("content"), F.col("n").alias("ahead"))
+    edges = shared.table(beside.groupBy("content").agg(only("next"), only("prev")).where("next IS NOT NULL OR prev IS NOT NULL"), "edges")
+    before = edges.select(F.col("content").alias("prev"), F.col("next").alias("content"))
     # the node between prev and content has one edge in and one out, and no occurrence begins or ends there
-    state = edges.select("content", "prev").join(before, ["content", "prev"], "left")
-    state = state.select("content", F.when(F.col("ahead").isNull(), F.col("content")).otherwise(F.col("prev")).alias("head"), F.coalesce("ahead", F.lit(0)).cast("long").alias("ahead"), F.col("ahead").isNull().alias("done"))
-    state = shared.table(state, "chains")
+    linked = shared.table(edges.select("content", "prev").join(before, ["content", "prev"]).select("content", F.lit(True).alias("linked")), "linked")
     shared.drop(edges)
-    while not state.where("not done").isEmpty():
-        of = state.select(F.col("content").alias("head"), F.col("head").alias("_head"), F.col("ahead").alias("_ahead"), F.col("done").alias("_done"))
-        on = state.where("not done").drop("done").join(of, "head").select("content", F.col("_head").alias("head"), (F.col("ahead") + F.col("_ahead")).alias("ahead"), F.col("_done").alias("done"))
-        last, state = state, shared.table(state.where("done").unionByName(on), "chains")
-        shared.drop(last)
-    return state
+    head = F.last(F.when(F.col("linked").isNull(), F.col("start")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return places.join(linked, "content", "left").withColumn("origin", head).drop("linked")
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """id, start, n: windows start .. start + n - 1 of the document also start earlier."""
     docs = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     places = repeated(docs, window, anchor)
-    chains = compacted(places)
-    of = places.where("late").join(chains, "content").groupBy("head", "id", (F.col("start") - F.col("ahead")).alias("origin"))
+    of = compacted(places).where("late").groupBy("layer", "id", "origin")
     of = of.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.sum("n").alias("sum"), F.collect_list(F.struct("start", "n")).alias("parts"))
     one = F.array(F.struct("start", F.col("sum").cast("int").alias("n")))
     found = of.select("id", F.explode(F.when(F.col("end") - F.col("start") == F.col("sum"), one).otherwise(F.col("parts"))).alias("s")).select("id", "s.start", "s.n")
     out = shared.table(found, "spans")
     shared.drop(places)
-    shared.drop(chains)
     return out
 
 
