@@ -1,7 +1,7 @@
 """Telephony audio: G.711 and IMA ADPCM in, resampled 16-bit PCM out.
 
 mu-law and A-law bytes are expanded by 256-entry tables, ADPCM blocks are
-decoded step by step over all blocks of a batch at once, and 8 kHz samples are
+encoded and decoded step by step over all blocks of a batch at once, and 8 kHz samples are
 brought to 16 kHz by a four-tap half-band filter in integers. Media are WAV
 files in a binary column; what is stored is read back from those bytes alone.
 
@@ -78,6 +78,35 @@ def ima_decode(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
+def ima_encode(x: np.ndarray) -> np.ndarray:
+    """Mono IMA blocks of samples, one row a block: (n, 2 * size - 7) int16 to (n, size) uint8. A block starts
+    with its first sample and with the step next to the mean change in it, so blocks do not hang on each other."""
+    n, width = x.shape
+    wide = x.astype(np.int32).T
+    sample = wide[0].copy()
+    index = np.searchsorted(STEPS[:-1], np.abs(np.diff(wide, axis=0)).sum(0) // max(1, width - 1)).astype(np.int32)
+    out = np.zeros((n, 4 + width // 2), np.uint8)
+    out[:, :2] = x[:, :1].astype("<i2").view(np.uint8)
+    out[:, 2] = index
+    index *= 16
+    for k in range(width - 1):
+        gap = wide[k + 1] - sample
+        code = np.minimum(7, 4 * np.abs(gap) // STEPS[index >> 4]) | np.where(gap < 0, 8, 0)
+        at = index + code
+        sample = np.clip(sample + DELTAS[at], -32768, 32767)
+        index = NEXT[at]
+        out[:, 4 + k // 2] |= (code << 4 * (k % 2)).astype(np.uint8)
+    return out
+
+
+def ima_blocks(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks of signals in a flat x, and how many each has; a last block repeats the last sample."""
+    width = 2 * size - 7
+    n = -(-sizes // width)
+    first = np.repeat(starts, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * width
+    return ima_encode(x[np.minimum(first[:, None] + np.arange(width), np.repeat(starts + sizes - 1, n)[:, None])]), n
+
+
 def double_rate(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Twice the rate; starts: where each signal of the flat x begins. Ends repeat."""
     wide = x.astype(np.int32)
@@ -192,13 +221,15 @@ def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return df.select(key, text).mapInArrow(store, df.select(key, F.lit(0).cast("long").alias("n_bytes"), F.lit(b"").alias("media")).schema)
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string, ima_bytes long, ima_sha256 string, ima_error long"
 
 
 def measure(media: list[bytes]) -> list[list]:
     """FEATURES of stored mu-law WAVs, from their bytes alone. The feature has, of
     the mu-law samples: peak, mean size and sign changes; the peak of the same
-    bytes as A-law; the mean size as ADPCM blocks; the CRC of the resampled PCM, stored and read back."""
+    bytes as A-law; the mean size as ADPCM blocks; the CRC of the resampled PCM, stored and read back.
+    pcm is the stored 16 kHz PCM; ima the samples stored as ADPCM, and ima_error the mean size of what
+    they differ by when they are read back and decoded."""
     loads = [read_wav(m)[1] for m in media]
     flat = np.frombuffer(b"".join(loads), np.uint8)
     size = np.array([len(x) for x in loads])
@@ -216,9 +247,17 @@ def measure(media: list[bytes]) -> list[list]:
     stored = [wav(PCM, wide[4 * s : 4 * (s + n)].tobytes(), 2 * RATE, 16, 2) for s, n in zip(starts.tolist(), size.tolist(), strict=True)]
     crc = [zlib.crc32(read_wav(m)[1]) for m in stored]
     sha = lambda b: hashlib.sha256(b).hexdigest()
+    made, n = ima_blocks(x, starts, size)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    coded = [wav(IMA, made[a:z].tobytes(), RATE, 4, BLOCK) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    back = ima_decode(np.frombuffer(b"".join(read_wav(m)[1] for m in coded), np.uint8).reshape(-1, BLOCK))
+    width = back.shape[1]
+    place = np.repeat(ends[:-1] * width, size) + np.arange(len(x)) - np.repeat(starts, size)
+    error = np.add.reduceat(np.abs(back.ravel()[place].astype(np.int64) - x), starts) // size
     return [
         size.tolist(), [sha(p) for p in loads], [zlib.crc32(p[-BLOCK:]) for p in loads], [len(m) for m in media], [sha(m) for m in media],
         [f"mulaw peak={a} mean={b} cross={c} alaw peak={d} ima mean={e} pcm16k crc={f:08x}" for a, b, c, d, e, f in zip(peak, mean, cross, alaw, ima, crc, strict=True)],
+        [len(m) for m in stored], [sha(m) for m in stored], [len(m) for m in coded], [sha(m) for m in coded], error.tolist(),
     ]
 
 
@@ -233,7 +272,9 @@ def text_features(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 raw = (x.as_py() or "").encode()
                 n.append(len(raw))
                 media.append(store_text(raw))
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n, pa.int64()), *[pa.array(v, t) for v, t in zip(measure(media), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            names = [f.split(" ")[0] for f in FEATURES.split(", ")]
+            kinds = [pa.string() if f.endswith("string") else pa.int64() for f in FEATURES.split(", ")]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n, pa.int64()), *[pa.array(v, t) for v, t in zip(measure(media), kinds, strict=True)]], [key, "n_bytes", *names])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(both, f"`{key}` {kind}, n_bytes long, {FEATURES}")
