@@ -14,7 +14,8 @@ so two registers agree as often as the sets are alike, in small sets too.
    keys with a chance of (1 - 0.8^BAND)^KEYS at most, 8e-6.
 3. Of the first classes of its buckets each class meets the one it shares most keys with. The share of
    agreeing registers, corrected for registers that agree by accident, estimates the Jaccard coefficient;
-   where it is within SIGMAS deviations of the threshold the full sets are compared. That gives components.
+   where it is within SIGMAS deviations of the threshold, and parity maps of PARITY bits a shingle do not rule a
+   link out (they differ in no more bits than the sets in shingles), the full sets are compared. That gives components.
 4. In buckets of more than SPLIT rows and several components, classes meet one other of their bucket, again
    and again as long as that links a MERGE-th of them.
 5. Registers of the classes in buckets of several components go to these buckets, where classes of
@@ -42,13 +43,14 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .links import components
-from .shingle_join import blobs, shingle_sets, verified
+from .shingle_join import blobs, differing, parity_maps, shingle_sets, verified
 from .words import U64, pieces, release, splitmix
 
 WORDS, SHARE = 2, 80
 REGISTERS, MANTISSA, BAND, KEYS, SIGMAS = 1024, 4, 8, 64, 4
 MERGE = 5  # while at least one of so many classes in large buckets finds a link, they meet again
 SPLIT = 4096  # rows of a bucket of several components from which on it is split by further keys
+PARITY = 4
 FEW = 32  # filled registers up to which all of them are looked at for each empty one
 _REST = 64 - REGISTERS.bit_length() + 1  # bits of a hash below the bucket's
 _ORDER = np.argsort(splitmix(np.arange(REGISTERS * REGISTERS, dtype=U64) + U64(1 << 44)).reshape(REGISTERS, REGISTERS), axis=1).astype(np.int16)
@@ -108,7 +110,7 @@ def estimated(agree: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """id, n, a, b (hashes of the set), regs of docs (id, text)."""
+    """id, n, a, b (hashes of the set), regs, map of docs (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -117,9 +119,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 ends, found = shingle_sets(part.column("text"), WORDS)
                 total = lambda x: pa.array(splitmix(np.diff(np.concatenate([np.zeros(1, U64), np.cumsum(x, dtype=U64)])[ends])).view(np.int64))  # noqa: B023, E731
                 regs = registers(ends, found)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(ends), pa.int64()), total(splitmix(found)), total(splitmix(found ^ U64(1 << 42))), blobs(regs.ravel(), np.arange(len(regs) + 1) * REGISTERS)], ["id", "n", "a", "b", "regs"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(ends), pa.int64()), total(splitmix(found)), total(splitmix(found ^ U64(1 << 42))), blobs(regs.ravel(), np.arange(len(regs) + 1) * REGISTERS), parity_maps(ends, found, PARITY)], ["id", "n", "a", "b", "regs", "map"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, a long, b long, regs binary")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, a long, b long, regs binary, map binary")
 
 
 def rows_of(column: pa.Array) -> np.ndarray:
@@ -158,18 +160,24 @@ def within(share: int) -> float:
     return j - SIGMAS * (j * (1 - j) / REGISTERS) ** 0.5
 
 
+def may_link(a: pa.Array, b: pa.Array, n: np.ndarray, m: np.ndarray, share: int) -> np.ndarray:
+    """Whether parity maps allow that sets of n and m shingles link: true of all that do."""
+    return (100 + share) * differing(a, b) <= (100 - share) * (n + m)
+
+
 def near(pairs: DataFrame, members: DataFrame, share: int) -> DataFrame:
     """Those of the distinct pairs x, y (few of each y) whose registers allow a link."""
-    x, y = (members.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"regs{s}")) for s in "xy")
+    x, y = (members.select(F.col("rep").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("n", "regs", "map")]) for s in "xy")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "regsx", 1 << 20):
             same = (rows_of(b.column("regsx")) == rows_of(b.column("regsy"))).mean(1)
-            hit = pa.array(estimated(same, b.column("nx").to_numpy(), b.column("ny").to_numpy()) >= within(share))
+            nx, ny = b.column("nx").to_numpy(), b.column("ny").to_numpy()
+            hit = pa.array((estimated(same, nx, ny) >= within(share)) & may_link(b.column("mapx"), b.column("mapy"), nx, ny, share))
             yield pa.RecordBatch.from_arrays([b.column("x").filter(hit), b.column("y").filter(hit)], ["x", "y"])
 
     met = pairs.join(x, "x").join(y, "y").where(like(F.col("nx"), F.col("ny"), share))
-    return met.select("x", "y", "nx", "ny", "regsx", "regsy").mapInArrow(measure, "x long, y long")
+    return met.select("x", "y", "nx", "ny", "regsx", "regsy", "mapx", "mapy").mapInArrow(measure, "x long, y long")
 
 
 def met(rows: DataFrame, members: DataFrame, share: int) -> DataFrame:
@@ -177,7 +185,7 @@ def met(rows: DataFrame, members: DataFrame, share: int) -> DataFrame:
     buckets of bounded size; deep: whether the bucket is one of several keys. Registers go to the buckets, and pairs
     are made where they are compared; a pair is made at the first key that it shares."""
 
-    def pairs(rep: np.ndarray, n: np.ndarray, c: np.ndarray, regs: np.ndarray, at: int, deep: bool) -> Iterator[tuple]:
+    def pairs(rep: np.ndarray, n: np.ndarray, c: np.ndarray, regs: np.ndarray, maps: pa.Array, at: int, deep: bool) -> Iterator[tuple]:
         band = bands(regs)
         for i in range(len(rep) - 1):
             j = i + 1 + np.flatnonzero((c[i + 1 :] != c[i]) & (100 * n[i + 1 :] >= share * n[i]) & (100 * n[i] >= share * n[i + 1 :]))
@@ -185,6 +193,8 @@ def met(rows: DataFrame, members: DataFrame, share: int) -> DataFrame:
                 j = j[(band[j] == band[i]).argmax(1) == at]
             if len(j):
                 j = j[estimated((regs[j] == regs[i]).mean(1), np.full(len(j), n[i]), n[j]) >= within(share)]
+            if len(j):
+                j = j[may_link(maps.take(pa.array(np.full(len(j), i))), maps.take(pa.array(j)), n[i], n[j], share)]
             for k in j.tolist():
                 yield (int(rep[i]), int(rep[k])) if rep[i] < rep[k] else (int(rep[k]), int(rep[i]))
 
@@ -204,10 +214,10 @@ def met(rows: DataFrame, members: DataFrame, share: int) -> DataFrame:
         out: list[tuple] = []
         rep, n, c, at, deep = (table.column(x).to_numpy() for x in ("rep", "n", "c", "at", "deep"))
         for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            out += pairs(rep[a:z], n[a:z], c[a:z], rows_of(table.column("regs").slice(a, z - a)), int(at[a]), bool(deep[a]))
+            out += pairs(rep[a:z], n[a:z], c[a:z], rows_of(table.column("regs").slice(a, z - a)), table.column("map").slice(a, z - a).combine_chunks(), int(at[a]), bool(deep[a]))
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["x", "y"])
 
-    dealt = rows.join(members.select("rep", "n", "regs"), ["rep", "n"]).select("tok", "at", "deep", "rep", "n", "c", "regs")
+    dealt = rows.join(members.select("rep", "n", "regs", "map"), ["rep", "n"]).select("tok", "at", "deep", "rep", "n", "c", "regs", "map")
     dealt = dealt.repartition(shared.partitions(rows.sparkSession), "tok").sortWithinPartitions("tok", "rep")
     return dealt.mapInArrow(compare, "x long, y long").distinct()
 
@@ -228,7 +238,7 @@ def _alike(docs: DataFrame, key: str, text: str, share: int, split: int) -> Data
     rows = shared.table(signatures(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))), "signatures")
     linked = F.col("id").isNotNull() & (F.col("n") > 0)
     some = rows.where(linked)
-    members = shared.table(some.groupBy("n", "a", "b").agg(F.min("id").cast("long").alias("rep"), F.first("regs").alias("regs")), "members")
+    members = shared.table(some.groupBy("n", "a", "b").agg(F.min("id").cast("long").alias("rep"), F.first("regs").alias("regs"), F.first("map").alias("map")), "members")
     whole, rows = rows, shared.table(rows.select("id", "n", "a", "b"), "rows")
     shared.drop(whole)
     index = shared.table(banded(members), "index")

@@ -79,11 +79,11 @@ def blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def parity_maps(ends: np.ndarray, found: np.ndarray) -> pa.Array:
+def parity_maps(ends: np.ndarray, found: np.ndarray, per: int = 1) -> pa.Array:
     """Of each set: bit i tells whether an odd number of its shingles falls on i, by their low
-    bits. A map has the least power of two of bits that holds the set, 64 at least."""
+    bits. A map has the least power of two of bits that holds `per` bits a shingle, 64 at least."""
     n = np.diff(ends)
-    size = np.left_shift(1, np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)))
+    size = np.left_shift(1, np.maximum(6, np.ceil(np.log2(np.maximum(per * n, 1))).astype(np.int64)))
     begin = np.concatenate([[0], np.cumsum(size)])
     at = (splitmix(found) & (np.repeat(size, n) - 1).astype(U64)).astype(np.int64) + np.repeat(begin[:-1], n)
     odd = (np.bincount(at, minlength=int(begin[-1])) & 1).astype(np.uint8)
