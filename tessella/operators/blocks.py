@@ -28,6 +28,7 @@ from . import kernel
 
 SIZE, PIVOTS = 256, 512
 PIVOT_BYTES = 8 << 20
+TILE = 32 << 20  # bytes of vectors in a group of queries or of blocks, where the queries are too many to go to all tasks
 SLACK = 1e-9  # of bounds and of products, beyond their rounding
 
 
@@ -95,47 +96,68 @@ class Found:
 
 
 def top(blocks: DataFrame, queries: DataFrame, k: int, centre: list[float] | None, dim: int, without: list | None = None) -> Found:
-    """The k best rows of each query (query_id, v; as few as kernel.SENT bytes), never the query's own id nor those of `without`."""
+    """The k best rows of each query (query_id, v), never the query's own id nor those of `without`. As few queries as
+    kernel.SENT bytes go to all tasks. More of them are dealt into groups, as are the blocks, and a task has one group of each."""
     if k < 0:
         raise ValueError("k must not be negative")
     queries = queries.select("query_id", "v")
     n, sent = kernel.asked(queries, dim)
-    if sent is None:
-        raise ValueError(f"{n} queries are more than a task holds: take kernel.top")
     origin = np.zeros(dim) if centre is None else np.asarray(centre)
-    wanted = kernel.named(sent.column("query_id").combine_chunks()), kernel.unit(kernel.matrix(sent.column("v")), centre, 0) if n else np.zeros((0, dim))
     id_type = blocks.schema["ids"].dataType.elementType
     kinds = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(id_type)
     out = np.array(sorted(without)) if without else None
+    result = f"query_id {kernel.kind(queries, 'query_id')}, id {id_type.simpleString()}, raw_score double, blocks long, skipped long"
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, asked = kernel.Best(*wanted, k), wanted[1]
+    def named(asked: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return kernel.named(asked.column("query_id").combine_chunks()), kernel.unit(kernel.matrix(asked.column("v")), centre, 0) if len(asked) else np.zeros((0, dim))
+
+    def search(wanted: tuple[np.ndarray, np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """kernel.QUERIES of the queries at a time meet a batch of blocks."""
+        best = [kernel.Best(*(x[at : at + kernel.QUERIES] for x in wanted), k) for at in range(0, len(wanted[0]), kernel.QUERIES)]
         seen = skipped = 0
         for b in batches:
-            if not b.num_rows or not n or not k:
+            if not b.num_rows or not best or not k:
                 continue
-            bound = bounds(asked, kernel.matrix(b.column("centre")), b.column("radius").to_numpy(), origin)
+            centres, radius, used = kernel.matrix(b.column("centre")), b.column("radius").to_numpy(), np.zeros(b.num_rows, bool)
+            for own in best:
+                asked = own.queries
+                bound = bounds(asked, centres, radius, origin)
+                for i in np.argsort(-bound.max(0), kind="stable").tolist():
+                    may = bound[:, i] >= own.floor
+                    if not may.any():
+                        continue
+                    used[i] = True
+                    ids = kernel.named(b.column("ids")[i].values)
+                    x = np.frombuffer(b.column("v")[i].as_buffer(), "<f8").reshape(len(ids), dim)
+                    if out is not None:
+                        stay = ~np.isin(ids, out)
+                        ids, x = ids[stay], x[stay]
+                    if len(ids):
+                        own.take(ids, products(x, asked, origin, may), lambda q, j, x=x, asked=asked: (asked[q] * kernel.unit(x[j], centre)).sum(1))
             seen += b.num_rows
-            for i in np.argsort(-bound.max(0), kind="stable").tolist():
-                may = bound[:, i] >= best.floor
-                if not may.any():
-                    skipped += 1
-                    continue
-                ids = kernel.named(b.column("ids")[i].values)
-                x = np.frombuffer(b.column("v")[i].as_buffer(), "<f8").reshape(len(ids), dim)
-                if out is not None:
-                    stay = ~np.isin(ids, out)
-                    ids, x = ids[stay], x[stay]
-                if len(ids):
-                    best.take(ids, products(x, asked, origin, may), lambda q, j, x=x: (asked[q] * kernel.unit(x[j], centre)).sum(1))
-        found = best.table(kinds)
-        none = pa.nulls(1, kinds[0]), pa.nulls(1, kinds[1]), pa.nulls(1, pa.float64())
-        both = [pa.concat_arrays([found.column(j), none[j]]) for j in range(3)]
-        count = lambda v: pa.concat_arrays([pa.nulls(found.num_rows, pa.int64()), pa.array([v], pa.int64())])
-        yield pa.RecordBatch.from_arrays([*both, count(seen), count(skipped)], ["query_id", "id", "raw_score", "blocks", "skipped"])
-
+            skipped += b.num_rows - int(used.sum())
+        names = ["query_id", "id", "raw_score", "blocks", "skipped"]
+        for own in best:
+            found = own.table(kinds)
+            yield pa.RecordBatch.from_arrays([*found.columns, *[pa.nulls(found.num_rows, pa.int64())] * 2], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kinds[0]), pa.nulls(1, kinds[1]), pa.nulls(1, pa.float64()), pa.array([seen], pa.int64()), pa.array([skipped], pa.int64())], names)
+
+    held = blocks.select("ids", "v", "centre", "radius")
+    if sent is not None:
+        wanted = named(sent)
+        rows = held.mapInArrow(lambda batches: search(wanted, batches), result)
+    else:
+        number = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+        q_parts, b_parts = -(-n * 8 * dim // TILE), max(1, -(-(blocks.agg(F.sum(F.size("ids"))).first()[0] or 0) * 8 * dim // TILE))
+        left = queries.select("query_id", "v", number("query_id", q_parts).alias("q"), every(b_parts).alias("b"))
+        right = held.select("*", number("ids", b_parts).alias("b"), every(q_parts).alias("q"))
+
+        def meet(asked: pa.Table, met: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(search(named(asked), iter(met.combine_chunks().to_batches())))
+
+        rows = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(meet, result)
     watch = Observation()
-    rows = blocks.select("ids", "v", "centre", "radius").mapInArrow(search, f"query_id {kernel.kind(queries, 'query_id')}, id {id_type.simpleString()}, raw_score double, blocks long, skipped long")
     rows = rows.observe(watch, F.sum("blocks").alias("blocks"), F.sum("skipped").alias("skipped")).where(F.col("raw_score").isNotNull()).drop("blocks", "skipped")
     order = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "id")
     return Found(rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), watch)

@@ -85,8 +85,10 @@ class Best:
         if self.ids.dtype.kind == ids.dtype.kind:
             score[self.ids[:, None] == ids] = -np.inf
         floor = self.floor
-        if score.shape[1] >= self.k:
-            floor = np.maximum(floor, np.partition(score, -self.k, axis=1)[:, -self.k])
+        many = np.flatnonzero((score >= floor[:, None]).sum(1) > self.k)
+        if len(many):
+            floor = floor.copy()
+            floor[many] = np.maximum(floor[many], np.partition(score[many], -self.k, axis=1)[:, -self.k])
         q, j = np.nonzero((score >= floor[:, None] - SLACK) & (score > -np.inf))
         q, i, s = np.concatenate([self.q, q]), np.concatenate([self.id, ids[j]]) if len(self.id) else ids[j], np.concatenate([self.score, exact(q, j)])
         order = np.lexsort((i, -s, q))
