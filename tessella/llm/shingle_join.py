@@ -262,7 +262,10 @@ def _alike(docs: DataFrame, key: str, text: str, share: int) -> DataFrame:
     star = buckets.where((F.col("gid") != F.col("leader")) & enough(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos"))).select(F.col("leader").alias("x"), F.col("gid").alias("y")).distinct()
     nearest = near(star, maps, share).groupBy("y").agg(F.min_by("x", F.struct("far", "x")).alias("x"))
     inner = near(members.where("gid <> rep").select(F.col("gid").alias("x"), F.col("rep").alias("y")), maps, share)
-    links = verified(docs, nearest.select("x", "y").unionByName(inner.select("x", "y")).distinct(), key, text, share)
+    # verified reads its pairs several times: they are a table, so that they are measured once and its plans stay small
+    pairs = shared.table(nearest.select("x", "y").unionByName(inner.select("x", "y")).distinct(), "near")
+    links = verified(docs, pairs, key, text, share)
+    shared.drop(pairs)
     # rows that share an id are one node
     own = rows.where(linked).join(members.select("n", "a", "b", "rep"), ["n", "a", "b"])
     twice = own.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y")
@@ -293,7 +296,9 @@ def _alike(docs: DataFrame, key: str, text: str, share: int) -> DataFrame:
     met = x.withColumn("band", F.col("bandx")).join(y.withColumn("band", F.col("bandy")), [*same, "band"]).where(apart & (F.col("repx") < F.col("repy")))
     met = met.unionByName(x.withColumn("band", F.col("bandx") + 1).join(y.withColumn("band", F.col("bandy")), [*same, "band"]).where(apart))
     met = near(met.select(F.least("repx", "repy").alias("x"), F.greatest("repx", "repy").alias("y")).distinct(), maps, share)
-    more = verified(docs, met.select("x", "y").distinct(), key, text, share)
+    pairs = shared.table(met.select("x", "y"), "near")
+    more = verified(docs, pairs, key, text, share)
+    shared.drop(pairs)
     if more.isEmpty():
         final = known
     else:
