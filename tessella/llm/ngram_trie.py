@@ -10,9 +10,9 @@ context, words with add-one smoothing, so the probabilities of all words and of
 an unknown one sum to 1 in every context.
 
 A level is a list of nodes in the order (parent, word). Files of a level hold a
-range of that order: pointers from parents to their first nodes and the nodes'
-words relative to the context, both as Elias-Fano lists, and probabilities and
-back-off weights in 16 bits. Tasks map the files of the shared folder and look
+range of that order: pointers from parents to their first nodes, the nodes' words
+relative to the context as an Elias-Fano list, and probabilities and back-off
+weights in 16 bits. Tasks map the files of the shared folder and look
 up distinct n-grams of a batch. Ranges are dealt by counts, so that a context
 that follows everywhere is split by the word after it.
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import elias_fano, shared
 from .elias_fano import EliasFano
-from .words import U64, hashes, pieces, split, splitmix
+from .words import U64, distinct, hashes, pieces, rising, split, splitmix
 
 SLICE = 2 << 20  # bytes of text handled together: n-grams of larger pieces repeat more
 ORDER, LEAST, DISCOUNT = 3, 1, 0.5
@@ -142,17 +142,17 @@ def look_up(m: Model, n: int, parent: np.ndarray, word: np.ndarray) -> tuple[np.
     Negative parents or words have no node, and negative parents weigh nothing."""
     node, prob, back = np.full(len(parent), -1, np.int64), np.zeros(len(parent), np.int64), np.zeros(len(parent), np.int64)
     some = np.flatnonzero(parent >= 0)
-    keys, where = np.unique(m.keys(parent[some], np.where(word[some] >= 0, word[some], m.v)), return_inverse=True)
+    keys, where = distinct(m.keys(parent[some], np.where(word[some] >= 0, word[some], m.v)))
     level, (own, last) = m.levels[n - 2], m.parts(keys)
     k_node, k_prob, k_back = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     for f, at in ranges(np.searchsorted(level.cuts, keys, "right")):
         held, weights = opened(f"{m.path}/nodes{n}-{f}"), opened(f"{m.path}/weights{n}-{f}")
-        start, words = EliasFano(held, "start"), EliasFano(held, "words")
+        start, words = held["start"], EliasFano(held, "words")
         low = int(held["low"][0])
         first = np.flatnonzero(np.diff(own[at], prepend=-1))  # keys are sorted, so parents are
         many = np.diff(first, append=at.stop - at.start)
         new = own[at][first] - low
-        begin, end = (np.repeat(start.get(new + j).astype(np.int64), many) for j in (0, 1))
+        begin, end = (np.repeat(start[new + j].astype(np.int64), many) for j in (0, 1))
         k_back[at] = np.repeat(weights["back"][new], many)
         known = np.flatnonzero((begin < end) & (last[at] < m.v))
         i = words.find(keys[at][known] - U64(low * m.base), begin[known], end[known])
@@ -175,9 +175,17 @@ def unplanes(x: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(back, counts, len(keys)).astype(np.int64)
+def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in rising order and the sums of their counts (without counts: how often they occur)."""
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = rising(keys)
+        keys, counts = keys[order], counts[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(new)
+    return keys[first], np.diff(first, append=len(keys)) if counts is None or not len(keys) else np.add.reduceat(counts, first)
 
 
 def tally(found: Iterator[np.ndarray], file_of, schema=("file", "keys", "counts")) -> Iterator[pa.RecordBatch]:
@@ -186,7 +194,8 @@ def tally(found: Iterator[np.ndarray], file_of, schema=("file", "keys", "counts"
 
     def merge() -> None:
         nonlocal keys, counts, waiting, size
-        keys, counts = summed(np.concatenate([keys, *waiting]), np.concatenate([counts, np.ones(size, np.int64)]))
+        more, times = summed(np.concatenate([keys[:0], *waiting]))
+        keys, counts = summed(np.concatenate([keys, more]), np.concatenate([counts, times])) if len(keys) else (more, times)
         waiting, size = [], 0
 
     def flush() -> pa.RecordBatch:
@@ -324,9 +333,9 @@ def grow(docs: DataFrame, m: Model, n: int, cuts: np.ndarray, parents: int, text
     def put_nodes(f: int, keys: np.ndarray, counts: np.ndarray) -> None:
         low, high = span_of(f)
         size = np.bincount(m.parts(keys)[0] - low, minlength=high - low)
-        start = elias_fano.encode(np.concatenate([[0], np.cumsum(size)]).astype(U64), len(keys) + 1)
+        start = narrow(np.concatenate([[0], np.cumsum(size)]))
         words = elias_fano.encode(keys - U64(low * m.base), max(1, high - low) * m.base)
-        elias_fano.save(f"{folder}/nodes{n}-{f}", {f"start.{a}": v for a, v in start.items()} | {f"words.{a}": v for a, v in words.items()} | {"low": np.array([low])})
+        elias_fano.save(f"{folder}/nodes{n}-{f}", {"start": start, "low": np.array([low])} | {f"words.{a}": v for a, v in words.items()})
         elias_fano.save(f"{folder}/counts{n}-{f}", {"count": narrow(counts)})
 
     def keep(part: pa.Table) -> pa.Table:
@@ -398,17 +407,23 @@ def node_values(m: Model, n: int, nodes: np.ndarray, name: str) -> np.ndarray:
 def lower(m: Model, n: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The probability of the words in the contexts without their first word."""
     if n == 2:
-        ids, back = np.unique(word, return_inverse=True)
+        ids, back = distinct_ids(word)
         return ((word_counts(m, ids) + 1) / (m.n + m.v + 1))[back]
-    ids, back = np.unique(parent, return_inverse=True)
+    ids, back = distinct_ids(parent)
     shorter = node_values(m, n - 1, ids, "word")[back]  # of (a, b): b
     if n > 3:
         raise ValueError("at most three words")
     return 10 ** (-score_from(m, 2, [shorter], word) / STEP)
 
 
+def distinct_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids (none negative) in rising order, and of each its place among them."""
+    keys, back = distinct(ids.astype(U64))
+    return keys.astype(np.int64), back
+
+
 def known_ids(m: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(h, return_inverse=True)
+    keys, back = distinct(h)
     ids, counts = word_ids(m, keys)
     return ids[back], counts[back]
 
@@ -416,7 +431,7 @@ def known_ids(m: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def score_from(m: Model, n: int, contexts: list[np.ndarray], word: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
     """Quantised minus log10 probability of words after contexts[k] (the node of their last k + 1 words, or -1)."""
     if counts is None:
-        ids, back = np.unique(word, return_inverse=True)
+        ids, back = distinct_ids(word)
         counts = word_counts(m, ids)[back]
     out = quantise((counts + 1) / (m.n + m.v + 1)).astype(np.int64)
     for k in range(min(n - 1, len(contexts))):
